@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import bpe, common, tokens
@@ -220,7 +220,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) ->
         one = placed.select("shard", F.inline(F.arrays_zip(F.col("items").alias("item"), F.col("assign").alias("bin"), F.sequence(F.lit(0), F.size("items") - 1).alias("at"))))
         one = common.stage(one, "packing-placed")
         in_bin = F.sum("item.length").over(_by())
-        before = F.sum("item.length").over(_by().orderBy("at").rowsBetween(-(2**62), -1))
+        before = F.sum("item.length").over(_by().orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
         seq = (F.lit(level).cast("bigint") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id")
         done = one.select("*", in_bin.alias("fill"), F.coalesce(before, F.lit(0)).alias("offset"), seq)
         full = F.col("fill") >= capacity - int(SLACK * capacity)
@@ -236,9 +236,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) ->
         n, level = left, level + 1
 
 
-def _by():
-    from pyspark.sql import Window
-
+def _by() -> WindowSpec:
     return Window.partitionBy("shard", "bin")
 
 
