@@ -3,33 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
-import sys
 import tempfile
 import uuid
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 _LOCAL: list[str] = []
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate() table that lower-cases A-Z and leaves every other byte, so UTF-8 stays valid.
 LOWER_BYTES = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when it runs from a source folder (clusters ship it with --py-files)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    return spark
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -122,11 +111,3 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         step = m.select(F.col("node").alias("root"), F.col("root").alias("next"))
         out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return out
-
-
-def session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is None:
-        print("no active Spark session", file=sys.stderr)
-        raise RuntimeError("no active Spark session")
-    return active
