@@ -5,12 +5,27 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+
+def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A pandas UDF that is made at its first use, so that importing needs no session."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def call(*cols: Column) -> Column:
+            return F.pandas_udf(f, kind)(*cols)
+
+        return call
+
+    return wrap
+
 
 # Unicode ranges of Hebrew points and letters.
 _POINTS = "[\\u0591-\\u05BD\\u05BF-\\u05C7]"
@@ -22,7 +37,7 @@ def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, _POINTS, "")
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def strip_marks(s: pd.Series) -> pd.Series:
     """Without nonspacing marks of the Hebrew block: decomposed, filtered, composed again."""
     keep = lambda t: "".join(x for x in unicodedata.normalize("NFD", t) if not ("֑" <= x <= "ׇ" and unicodedata.category(x) == "Mn"))
@@ -163,7 +178,7 @@ def path_regex(parts: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, r"([\\.^$|?*+()\[\]{}])", r"\\$1")), "/"), F.lit("(/|$)"))
 
 
-@pandas_udf("array<struct<start:int,end:int>>")
+@arrow_udf("array<struct<start:int,end:int>>")
 def footnote_spans(s: pd.Series) -> pd.Series:
     return s.map(_footnotes, na_action="ignore")
 
@@ -188,7 +203,7 @@ def _footnotes(text: str) -> list[dict]:
     return out
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def remove_footnotes(s: pd.Series) -> pd.Series:
     def clean(t: str) -> str:
         for f in reversed(_footnotes(t)):
@@ -198,7 +213,7 @@ def remove_footnotes(s: pd.Series) -> pd.Series:
     return s.map(clean, na_action="ignore")
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def escape_inner_quotes(s: pd.Series) -> pd.Series:
     """Quotes inside JSON strings get a backslash: those not next to a structural character."""
     return s.map(lambda t: re.sub(r'(?<![\[{:,\s\\])"(?!\s*[\]},:])', r'\\"', t), na_action="ignore")
@@ -230,12 +245,12 @@ def split_sentences(text: str) -> list[str]:
     return out
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def sentences(s: pd.Series) -> pd.Series:
     return s.map(split_sentences, na_action="ignore")
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def rejoin_numerals(s: pd.Series) -> pd.Series:
     """Sentences that are but a Roman numeral join the next one."""
 
@@ -257,7 +272,7 @@ def diff_spans(old: str, new: str) -> list[dict]:
     return [{"start": a, "end": b, "text": new[c:d]} for tag, a, b, c, d in ops if tag != "equal"]
 
 
-@pandas_udf("array<struct<start:int,end:int,text:string>>")
+@arrow_udf("array<struct<start:int,end:int,text:string>>")
 def edits(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([diff_spans(a or "", b or "") for a, b in zip(old, new, strict=True)])
 
@@ -275,12 +290,12 @@ def realign(old: str, new: str, spans: list[dict]) -> list[dict]:
     return [{"start": (s := at(x["start"], False)), "end": (e := at(x["end"], True)), "text": new[s:e]} for x in spans]
 
 
-@pandas_udf("array<struct<start:int,end:int,text:string>>")
+@arrow_udf("array<struct<start:int,end:int,text:string>>")
 def realign_spans(old: pd.Series, new: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([realign(a, b, list(s)) for a, b, s in zip(old, new, spans, strict=True)])
 
 
-@pandas_udf("struct<offset:int,ratio:double>")
+@arrow_udf("struct<offset:int,ratio:double>")
 def best_substring(text: pd.Series, part: pd.Series) -> pd.DataFrame:
     """Where a text holds the most similar run of the part's length; the first of equals."""
     out = []
@@ -295,7 +310,7 @@ def best_substring(text: pd.Series, part: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["offset", "ratio"])
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def wrap_entities(text: pd.Series, spans: pd.Series) -> pd.Series:
     """Each span between {{ and }}."""
 
@@ -307,7 +322,7 @@ def wrap_entities(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([wrap(t, list(s)) for t, s in zip(text, spans, strict=True)])
 
 
-@pandas_udf("array<struct<start:int,end:int,text:string>>")
+@arrow_udf("array<struct<start:int,end:int,text:string>>")
 def parse_entities(s: pd.Series) -> pd.Series:
     """Spans of {{...}} in the text without the braces."""
 
@@ -321,7 +336,7 @@ def parse_entities(s: pd.Series) -> pd.Series:
     return s.map(parse, na_action="ignore")
 
 
-@pandas_udf("boolean")
+@arrow_udf("boolean")
 def is_subsequence(part: pd.Series, whole: pd.Series) -> pd.Series:
     def test(p: str, w: str) -> bool:
         it = iter(w)
@@ -330,7 +345,7 @@ def is_subsequence(part: pd.Series, whole: pd.Series) -> pd.Series:
     return pd.Series([test(p or "", w or "") for p, w in zip(part, whole, strict=True)])
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def punctuate(bare: pd.Series, punctuated: pd.Series) -> pd.Series:
     """Punctuation of one text carried over to another with the same words, word by word."""
 
@@ -350,7 +365,7 @@ def punctuate(bare: pd.Series, punctuated: pd.Series) -> pd.Series:
     return pd.Series([carry(b or "", p or "") for b, p in zip(bare, punctuated, strict=True)])
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def insert_tokens(text: pd.Series, places: pd.Series) -> pd.Series:
     """text with strings put in at character places: array of struct(start, text)."""
 
@@ -362,7 +377,7 @@ def insert_tokens(text: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([put(t, list(p)) for t, p in zip(text, places, strict=True)])
 
 
-@pandas_udf("array<struct<start:int,text:string,spans:array<struct<start:int,end:int>>>>")
+@arrow_udf("array<struct<start:int,text:string,spans:array<struct<start:int,end:int>>>>")
 def break_up(text: pd.Series, spans: pd.Series) -> pd.Series:
     """Parts of at most 800 characters cut at white space outside spans, with the spans counted from each part's start."""
 

@@ -61,10 +61,11 @@ def posterior(rankings: DataFrame, items: DataFrame, draws: int = 80) -> DataFra
         place = {x: i for i, x in enumerate(names)}
         own = [[place[x] for x in r] for _, r in sorted(zip(left["ranking"], left["items"], strict=True))]
         s = gibbs(own, len(names), draws, seed=0)
-        return pd.DataFrame({"problem": right["problem"].iloc[0], "draw": np.repeat(np.arange(draws), len(names)), "item": names * draws, "score": s.ravel()})
+        return pd.DataFrame({"problem": key[0], "draw": np.repeat(np.arange(draws), len(names)), "item": names * draws, "score": s.ravel()})
 
     kind = {f.name: f.dataType.simpleString() for f in items.schema}
-    return rankings.groupBy("problem").cogroup(items.groupBy("problem")).applyInPandas(run, f"problem {kind['problem']}, draw bigint, item {kind['item']}, score double")
+    own = items.select(F.col("problem").alias("of"), "item")
+    return rankings.groupBy("problem").cogroup(own.groupBy("of")).applyInPandas(run, f"problem {kind['problem']}, draw bigint, item {kind['item']}, score double")
 
 
 def pair_utilities(draws: DataFrame) -> DataFrame:
