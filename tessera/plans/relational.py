@@ -273,10 +273,10 @@ def text_views(spark: SparkSession, d: str) -> DataFrame:
     return g.select("conv_id", F.when(F.col("n") > 0, F.col("own")).alias("own"), "whole")
 
 
-@query("SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
+@query("SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, coalesce(lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS before FROM conversations")
 def context_of_turn(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next_role"), F.lag(F.length("text")).over(w).cast("bigint").alias("before"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next_role"), F.coalesce(F.lag(F.length("text")).over(w), F.lit(-1)).cast("bigint").alias("before"))
 
 
 @query("""WITH t AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0), e AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t),
