@@ -108,7 +108,7 @@ def balanced_concat(spark: SparkSession, d: str) -> DataFrame:
 i AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM m)
 SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(event_id) AS first_event FROM i GROUP BY user_id, island""")
 def gap_islands(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").select("event_id", "user_id", F.unix_micros("ts").alias("at"))
+    ev = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return ordering.islands(ev, ["user_id"], "at", 600_000_000).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 

@@ -17,12 +17,14 @@ def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total): works on batch and streaming frames alike."""
     w = F.window("ts", width)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, n): built-in session windows."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
