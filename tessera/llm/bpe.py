@@ -216,6 +216,13 @@ def load(path: str) -> tuple[Bpe, tokens.ChunkEncoder]:
     return bpe, tokens.ChunkEncoder(bpe.encode_chunks)
 
 
+def forget(path: str) -> None:
+    """Empties the worker's caches; the vocabulary stays."""
+    bpe, enc = load(path)
+    bpe.pieces.clear()
+    enc.cache.clear()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids: array<int>) of each row's whole text; null counts as empty, which has no ids. Extra columns are ignored."""
     common.prepare(docs.sparkSession)
@@ -229,7 +236,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column("id"), ids], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run, lambda: forget(path)), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -253,4 +260,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("id"), ids, pa.array(texts, type=pa.string())], [id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+    return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(common.freeing(run), f"`{id_col}` {kind}, ids array<int>, text string")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +87,26 @@ def text_bytes(batch, name: str) -> list[bytes]:
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def freeing(run: Callable[[Iterator], Iterator], clear: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """run for a mapInArrow whose worker gives its memory back at the task's end: workers outlive their tasks, and what one operator's caches hold the next one lacks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            if clear:
+                clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected edges (a, b: bigint): one row (node, root) per node that has an edge.
 

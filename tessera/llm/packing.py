@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECE + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run, lambda: bpe.forget(path)), schema)
 
 
 class Bins:

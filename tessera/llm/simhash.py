@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, words: int =
             fps = np.array([fingerprint(t, shingle, seed, words) for t in texts], dtype=np.uint64).reshape(len(texts), words)
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(words))], ["id", *names])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run), "id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 class Forest:
@@ -292,7 +292,7 @@ def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, b
 def near_edges(classes: DataFrame, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between classes (cid, f0 ...) that span every component of "at most radius bits differ"; never all pairs of a group."""
     rows = candidate_rows(classes, classes.count(), radius, words, bucket_rows).repartition(common.shuffle_partitions(classes.sparkSession), "table", "key", "part")
-    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(_compare(radius, words), "a bigint, b bigint")
+    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(common.freeing(_compare(radius, words)), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, radius: int | None = None, shingle: int = 5, seed: int = 42, words: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Cached chunks before the cache starts anew; about 200 bytes each.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f" [{_SPACE}]")
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")

@@ -343,7 +343,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, type=pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run), f"`{id_col}` {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
@@ -370,4 +370,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
                 found = np.array(scorer.scores([t or "" for t in b.column(names.index("text")).to_pylist()]))
                 yield b.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.freeing(run), docs.schema)
