@@ -23,7 +23,6 @@ from . import common, tokens
 #: Fixed value: the pattern that cuts a text into pieces before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
-_MARKS = tuple(".,;:")
 #: Tree sizes of pieces that are merged many at a time (longer ones go one by one), and how many at a time.
 SIZES, ROWS = (8, 16, 64), 4096
 BATCH_TEXTS = 512
@@ -181,15 +180,6 @@ class Bpe:
         ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
         return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
-    def pieces_of(self, chunk: str) -> list[str]:
-        """The pieces of a chunk without special tokens; chunks of a space, letters and at most one closing mark need no pattern."""
-        bare = chunk[1:] if chunk[:1] == " " else chunk
-        if bare.isalpha():
-            return [chunk]
-        if bare[-1:] in _MARKS and bare[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self._find(chunk)
-
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.pieces) > tokens.CACHE_CHUNKS:
             self.pieces.clear()
@@ -202,11 +192,21 @@ class Bpe:
         return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self._plain([x])[0] for x in self._cut.split(chunk) if x)
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.pieces_of(c) for c in chunks]
-        new = list({p for own in parts for p in own}.difference(self.pieces))
-        self.pieces.update(zip(new, self.merge_many([p.encode() for p in new]), strict=True))
-        get = self.pieces.__getitem__
-        return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in parts]
+        """Chunks of one piece are merged as they are; the pieces of the others are kept, as they recur in other chunks."""
+        single, many = [], []
+        for i, c in enumerate(chunks):
+            (single if (c[1:] if c[:1] == " " else c).isalpha() else many).append(i)
+        out = [b""] * len(chunks)
+        for i, ids in zip(single, self.merge_many([chunks[i].encode() for i in single]), strict=True):
+            out[i] = ids
+        if many:
+            parts = [self._find(chunks[i]) for i in many]
+            new = list({p for own in parts for p in own}.difference(self.pieces))
+            self.pieces.update(zip(new, self.merge_many([p.encode() for p in new]), strict=True))
+            get = self.pieces.__getitem__
+            for i, own in zip(many, parts, strict=True):
+                out[i] = b"".join(map(get, own))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -217,10 +217,11 @@ def load(path: str) -> tuple[Bpe, tokens.ChunkEncoder]:
 
 
 def forget(path: str) -> None:
-    """Empties the worker's caches; the vocabulary stays."""
+    """Empties the worker's caches where they have grown beyond what the next task soon has again; the vocabulary stays."""
     bpe, enc = load(path)
-    bpe.pieces.clear()
-    enc.cache.clear()
+    if len(bpe.pieces) + len(enc.cache) > tokens.CACHE_CHUNKS // 4:
+        bpe.pieces.clear()
+        enc.cache.clear()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

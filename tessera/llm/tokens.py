@@ -1,7 +1,8 @@
 """Encoding whole texts chunk by chunk with a bounded cache, for byte-level BPE vocabularies in the tokenizers library's JSON form.
 
-A space that follows a non-space always starts a new piece in the vocabulary's splitting pattern, so a text
-can be cut there and each chunk encoded on its own, once.
+A space that follows a non-space always starts a new piece in the vocabulary's splitting pattern, and so do a
+single mark between a letter and white space or the text's end, and a single line break between non-spaces and
+what follows it. A text can be cut there and each chunk encoded on its own, once; no special token may hold such a place.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import numpy as np
 CACHE_CHUNKS = 400_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f" [{_SPACE}]")
+_MARK = re.compile(r"(?<=[^\W\d_])([.,;:])(?=[ \n]|\Z)")
+_BREAK = re.compile(f"(?<=[^{_SPACE}])\n(?=[^{_SPACE}])")
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -52,6 +55,9 @@ class ChunkEncoder:
             return []
         if _RUN.search(text) or "\0" in text:
             return ["\0" + c for c in _CHUNKS.findall(text)]
+        text = _MARK.sub(" \0\\1", text)
+        if "\n" in text:
+            text = _BREAK.sub(" \0\n \0", text)
         parts = text.split(" ")
         parts[0] = "\0" + parts[0]
         return parts
