@@ -3,27 +3,29 @@
 All training texts' unigrams and bigrams are counted; a count c is quantised to the level floor(log2 c), and
 an n-gram is put into the filter once for each level from the floor up to its own. A probe asks level after
 level until one is missing, which gives the count back up to its quantisation, and too high only where a bit
-pattern happens to be set. The filter is broadcast: its size follows the corpus up to FILTER_BYTES, beyond
-which the floor of the levels rises (n-grams rarer than the floor then count as unseen), never the error rate.
-Exact unigram counts for the base score travel the other way: each block of documents asks for its own words.
+pattern happens to be set. The filter's size follows the corpus. It is a table of segments of bounded size that
+no machine holds as a whole: each block of documents sends its n-grams to the segments that their hashes name,
+and the levels come back, with exact unigram counts for the base score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the broadcast filter; bits an insertion; probes a level; segments the filter is built in.
+#: Bound of a filter that is collected; bits an insertion; probes a level; least number of segments.
 FILTER_BYTES, BITS_EACH, PROBES, SEGMENTS = 64 << 20, 12, 4, 64
-#: Share of the bigram estimate where both words are known, bytes of text in a block of documents, tokens scored at once.
-MIX, BLOCK_BYTES, CHUNK_TOKENS = 0.6, 6 << 20, 200_000
+#: A segment's bits at most; beyond that there are more segments.
+SEGMENT_BYTES = 4 << 20
+#: Share of the bigram estimate where both words are known, bytes of text in a block of documents.
+MIX, BLOCK_BYTES = 0.6, 6 << 20
 #: Bigrams seen but once are left to the unigrams.
 BIGRAM_LEVEL = 1
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line break
@@ -92,6 +94,32 @@ def count_ngrams(docs: DataFrame, folds: int, held: int) -> DataFrame:
     return rows.groupBy("gram", "n").agg(F.sum("c").alias("c"))
 
 
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    """The segment that each n-gram's hash names."""
+    return (mix(grams ^ _M2) % np.uint64(segments)).astype(np.int32)
+
+
+def levels_in(data: np.ndarray, rows: np.ndarray, grams: np.ndarray, n: int, floor: int = 0) -> np.ndarray:
+    """One more than each n-gram's highest level in its row of data, by repeated probes; 0 if it is unseen."""
+    out = np.zeros(len(grams), dtype=np.int64)
+    width = data.shape[1] * 8
+    live, level = np.arange(len(grams)), floor + (BIGRAM_LEVEL if n == 2 else 0)
+    while len(live) and level < 64:
+        hit = np.ones(len(live), dtype=bool)
+        for at in Filter.bits(grams[live], n, level, width):
+            hit &= data[rows[live], at >> 3] >> (at & 7) & 1 == 1
+        live = live[hit]
+        level += 1
+        out[live] = level
+    return out
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """Estimated counts: the middle of the level's range, in logarithms."""
+    low = np.exp2(level - 1.0)
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, low * 2**0.5))
+
+
 class Filter:
     """The log-frequency filter: PROBES bits for each (n-gram, level), in the segment that the n-gram's hash names."""
 
@@ -106,152 +134,195 @@ class Filter:
         return [((a + np.uint64(k) * step) % np.uint64(width)).astype(np.int64) for k in range(PROBES)]
 
     def levels(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """One more than each n-gram's highest level, by repeated probes; 0 if it is unseen."""
-        out = np.zeros(len(grams), dtype=np.int64)
-        width = self.data.shape[1] * 8
-        seg = (mix(grams ^ _M2) % np.uint64(SEGMENTS)).astype(np.int64)
-        live, level = np.arange(len(grams)), self.floor + (BIGRAM_LEVEL if n == 2 else 0)
-        while len(live) and level < 64:
-            hit = np.ones(len(live), dtype=bool)
-            for at in self.bits(grams[live], n, level, width):
-                hit &= self.data[seg[live], at >> 3] >> (at & 7) & 1 == 1
-            live = live[hit]
-            level += 1
-            out[live] = level
-        return out
-
-    def counts(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """Estimated counts: the middle of the level's range, in logarithms."""
-        level = self.levels(grams, n)
-        low = np.exp2(level - 1.0)
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, low * 2**0.5))
+        return levels_in(self.data, segment_of(grams, SEGMENTS), grams, n, self.floor)
 
 
-def build_filter(counts: DataFrame, limit: int = FILTER_BYTES) -> Filter:
-    """Built by segments on the executors; what reaches the driver is the filter itself, at most limit bytes."""
-    spark = counts.sparkSession
-    own = F.floor(F.log2("c") + 1e-9).cast("int")
-    level = counts.groupBy("n", own.alias("level")).count().collect()  # at most 2 x 64 rows
-    floor = 0
-    while True:
+def own_level() -> Column:
+    return F.floor(F.log2("c") + 1e-9).cast("int")
+
+
+def filter_bytes(counts: DataFrame) -> Callable[[int], int]:
+    """The bytes that a filter of these counts needs, by its lowest level."""
+    level = counts.groupBy("n", own_level().alias("level")).count().collect()  # at most 2 x 64 rows
+
+    def need(floor: int) -> int:
         puts = sum(r["count"] * max(0, r["level"] - floor - (BIGRAM_LEVEL if r["n"] == 2 else 0) + 1) for r in level)
-        size = -(-max(64, puts * BITS_EACH) // (8 * SEGMENTS)) * SEGMENTS
-        if size <= limit:
-            break
-        floor += 1
-    width = size // SEGMENTS * 8
+        return -(-max(64, puts * BITS_EACH) // 8)
+
+    return need
+
+
+def filter_segments(counts: DataFrame, segments: int, each: int, floor: int = 0) -> DataFrame:
+    """(seg, bits, words, cs: binary): each segment's bits, `each` bytes of them, and its words with their exact counts (words sorted, both 64 bits wide)."""
     need = F.when(F.col("n") == 2, floor + BIGRAM_LEVEL).otherwise(floor)
-    rows = counts.withColumn("level", own).where(F.col("level") >= need)
+    rows = counts.withColumn("level", own_level()).where((F.col("level") >= need) | (F.col("n") == 1))
+    width = each * 8
 
     def seg_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             g = b.column("gram").to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((mix(g ^ _M2) % np.uint64(SEGMENTS)).astype(np.int32)), *b.columns], ["seg", "gram", "n", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(segment_of(g, segments)), *b.columns], ["seg", *b.schema.names])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: dict[int, np.ndarray] = {}
+        exact: dict[int, list] = {}
         for b in batches:
-            segs, g, n, top = b.column("seg").to_numpy(), b.column("gram").to_numpy().view(np.uint64), b.column("n").to_numpy(), b.column("level").to_numpy()
+            segs, g, n, c, top = (b.column(k).to_numpy() for k in ("seg", "gram", "n", "c", "level"))
+            g = g.view(np.uint64)
             for s in np.unique(segs).tolist():
-                bits = data.setdefault(s, np.zeros(width // 8, dtype=np.uint8))
+                bits = data.setdefault(s, np.zeros(each, dtype=np.uint8))
                 for size_n in (1, 2):
                     first = floor + (BIGRAM_LEVEL if size_n == 2 else 0)
                     mine = (segs == s) & (n == size_n)
                     for lv in range(first, int(top[mine].max(initial=-1)) + 1):
                         for at in Filter.bits(g[mine & (top >= lv)], size_n, lv, width):
                             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                    if size_n == 1:
+                        exact.setdefault(s, []).append((g[mine], c[mine]))
         for s, bits in data.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["seg", "bits"])
+            words, cs = (np.concatenate(x) for x in zip(*exact.pop(s), strict=True))
+            order = np.argsort(words)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (bits, words[order], cs[order]))], ["seg", "bits", "words", "cs"])
+
+    dealt = rows.select("gram", "n", "c", "level").mapInArrow(seg_of, "seg int, gram bigint, n int, c bigint, level int")
+    return dealt.repartition(segments, "seg").mapInArrow(common.freeing(fill), "seg int, bits binary, words binary, cs binary")
 
-    dealt = rows.select("gram", "n", "level").mapInArrow(seg_of, "seg int, gram bigint, n int, level int")
-    parts = dealt.repartition(min(SEGMENTS, common.shuffle_partitions(spark)), "seg").mapInArrow(fill, "seg int, bits binary")
-    data = np.zeros((SEGMENTS, width // 8), dtype=np.uint8)
-    for r in parts.toLocalIterator():
+
+def build_filter(counts: DataFrame, limit: int = FILTER_BYTES) -> Filter:
+    """The filter in one piece, for tables small enough to collect: at most limit bytes, beyond which its lowest level rises. score_texts has no such bound."""
+    need, floor = filter_bytes(counts), 0
+    while (each := -(-need(floor) // SEGMENTS)) * SEGMENTS > limit:
+        floor += 1
+    data = np.zeros((SEGMENTS, each), dtype=np.uint8)
+    for r in filter_segments(counts, SEGMENTS, each, floor).select("seg", "bits").toLocalIterator():
         data[r["seg"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
     return Filter(data, floor)
 
 
-def log_probability(words: np.ndarray, starts: np.ndarray, lm: Filter, total: int, vocabulary: int) -> np.ndarray:
+def log_probability(uni: np.ndarray, known: np.ndarray, bi: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
     """log10 of each word's smoothed probability: add-one unigrams, mixed with the bigram where the filter has it.
-    The texts lie one after the other, from starts on; the word before each text is an end."""
-    before = np.concatenate([[np.uint64(END)], words[:-1]])
-    before[starts] = END
-    u, inv = np.unique(np.append(words, np.uint64(END)), return_inverse=True)
-    counts = lm.counts(u, 1)
-    uni, known = counts[inv[:-1]], counts[np.searchsorted(u, before)]
-    b, binv = np.unique(bigrams(words, before), return_inverse=True)
-    bi = np.minimum(lm.counts(b, 2)[binv], np.maximum(known, 1))
+    Estimated counts: of the word, of the one before it, and of both together."""
+    bi = np.minimum(bi, np.maximum(known, 1))
     share = np.where((bi > 0) & (known > 0), MIX, 0.0)
     return np.log10((1 - share) * (uni + 1) / (total + vocabulary + 1) + share * bi / np.maximum(known, 1))
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", limit: int = FILTER_BYTES) -> DataFrame:
+def starts_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins among the words of all, and the word before each word: before a text, it is an end."""
+    lens = np.array([len(p) for p in parts])
+    starts = np.cumsum(lens) - lens
+    before = np.concatenate([[np.uint64(END)], *parts])[:-1]
+    before[starts] = END
+    return starts, before
+
+
+def by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted n-grams segment by segment, and how many each segment has."""
+    seg = segment_of(grams, segments)
+    return np.argsort(seg, kind="stable"), np.bincount(seg, minlength=segments)
+
+
+def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", limit: int = SEGMENT_BYTES) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text.
 
     Words are told apart by 64-bit hashes. Null and empty texts are one end; with no training text at all, each
     token has the probability 1; repeated rows stay; an empty table gives an empty result; extra columns are ignored.
+    A segment of the filter has at most limit bytes of bits.
     """
     spark = common.prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = common.stage(count_ngrams(rows, folds, held), "lm-counts")
-    known = counts.where("n = 1").select(F.col("gram").alias("word"), "c")
-    r = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("v")).first()
+    r = counts.where("n = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("v")).first()
     total, vocabulary = r["total"], r["v"]
-    lm = spark.sparkContext.broadcast(build_filter(counts, limit))
+    need = filter_bytes(counts)(0)
+    segments = max(SEGMENTS, -(-need // limit))
+    lm = common.stage(filter_segments(counts, segments, -(-need // segments)), "lm-filter")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition(min(blocks, 4 * common.shuffle_partitions(spark)), "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, need = WordHashes(), {}
+        hashes = WordHashes()
+        asked: dict[int, tuple[list, list]] = {}
+
+        def join(parts: list[np.ndarray]) -> np.ndarray:
+            parts[:] = [np.unique(np.concatenate(parts))]
+            return parts[0]
+
         for b in batches:
             for block, text in zip(b.column("block").to_pylist(), common.text_bytes(b, "text"), strict=True):
-                need.setdefault(block, []).append(np.unique(tokens_of(text, hashes)))
-                if len(need[block]) > 256:
-                    need[block] = [np.unique(np.concatenate(need[block]))]
-        for block, parts in need.items():
-            u = np.unique(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block, np.int64)), pa.array(u.view(np.int64))], ["block", "word"])
-
-    answers = dealt.mapInArrow(ask, "block bigint, word bigint").join(known, "word").select("block", "word", "c")
+                words = tokens_of(text, hashes)
+                for own, flat in zip(asked.setdefault(block, ([], [])), (words, bigrams(words, starts_of([words])[1])), strict=True):
+                    own.append(flat)
+                    if len(own) > 256:
+                        join(own)
+        for block in list(asked):
+            cols = []
+            for flat in map(join, asked.pop(block)):
+                order, n = by_segment(flat, segments)
+                cols.append([x.tobytes() for x in np.split(flat[order], np.cumsum(n)[:-1])])
+            some = [k for k in range(segments) if cols[0][k] or cols[1][k]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *(pa.array([c[k] for k in some], pa.binary()) for c in cols)], ["seg", "block", "ones", "twos"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        bits, words, cs = (np.frombuffer(right.column(k)[0].as_py() if right.num_rows else b"", dtype=t) for k, t in (("bits", np.uint8), ("words", np.uint64), ("cs", np.int64)))
+        data = bits.reshape(1, -1) if len(bits) else np.zeros((1, 1), dtype=np.uint8)
+        for k in range(left.num_rows):
+            one, two = (np.frombuffer(left.column(c)[k].as_py(), dtype=np.uint64) for c in ("ones", "twos"))
+            level = [levels_in(data, np.zeros(len(g), dtype=np.int64), g, n).astype(np.uint8) for n, g in ((1, one), (2, two))]
+            c = np.zeros(len(one), dtype=np.int64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, one), len(words) - 1)
+                c = np.where(words[at] == one, cs[at], 0)
+            out.append((left.column("block")[k].as_py(), left.column("seg")[k].as_py(), c.tobytes(), *(x.tobytes() for x in level)))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["block", "seg", "exact", "ones", "twos"])
+
+    asks = dealt.mapInArrow(common.freeing(ask), "seg int, block bigint, ones binary, twos binary")
+    answers = asks.groupBy("seg").cogroup(lm.groupBy("seg")).applyInArrow(answer, "block bigint, seg int, exact binary, ones binary, twos binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        words = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        words, cs = np.append(words[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(right.column("c").to_numpy()[order], 0)
-        out: list[tuple] = []
-        docs_held: list = []
-        parts: list[np.ndarray] = []
-
-        def flush() -> None:
-            lens = np.array([len(p) for p in parts])
-            starts = np.cumsum(lens) - lens
-            t = np.concatenate(parts)
-            u, inv = np.unique(t, return_inverse=True)
-            at = np.searchsorted(words[:-1], u)
-            c = np.where(words[at] == u, cs[at], 0)
-            base = np.add.reduceat(np.log10((c + 1) / (total + vocabulary + 1))[inv], starts)
-            seen = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
-            full = np.add.reduceat(log_probability(t, starts, lm.value, total, vocabulary), starts)
-            out.extend(zip(docs_held, [common.crc_mod(d, folds) == held for d in docs_held], lens.tolist(), seen.tolist(), [total] * len(lens), base.tolist(), full.tolist(), strict=True))
-            docs_held.clear()
-            parts.clear()
-
-        size = 0
-        for b in left.to_batches():
-            for doc, text in zip(b.column("id").to_pylist(), common.text_bytes(b, "text"), strict=True):
-                docs_held.append(doc)
-                parts.append(tokens_of(text, hashes))
-                size += len(parts[-1])
-                if size > CHUNK_TOKENS:
-                    flush()
-                    size = 0
-        if parts:
-            flush()
-        cols = list(zip(*out, strict=True)) or [()] * 7
         kinds = (left.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        if not left.num_rows:
+            return pa.table([pa.array([], type=k) for k in kinds], names=names)
+        right = right.sort_by("seg")
+        ids, parts = [], []
+        for b in left.to_batches():
+            ids += b.column("id").to_pylist()
+            parts += [tokens_of(text, hashes) for text in common.text_bytes(b, "text")]
+        starts, before = starts_of(parts)
+        t = np.concatenate(parts)
+        lens = [len(p) for p in parts]
+        parts.clear()
+
+        def replies(grams: np.ndarray, *cols: tuple[str, type]) -> list[np.ndarray]:
+            order, _ = by_segment(grams, segments)
+            found = []
+            for name, kind in cols:
+                flat = np.frombuffer(b"".join(right.column(name).to_pylist()), dtype=kind)
+                if len(flat) != len(grams):
+                    raise RuntimeError("the texts of a block are not those that it asked for")
+                back = np.empty(len(grams), dtype=kind)
+                back[order] = flat
+                found.append(back)
+            return found
+
+        u, inv = np.unique(t, return_inverse=True)
+        c, level = replies(u, ("exact", np.int64), ("ones", np.uint8))
+        base = np.add.reduceat(np.log10((c + 1) / (total + vocabulary + 1))[inv], starts)
+        seen = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
+        one = counts_of(level)
+        uni, known = one[inv], np.append(one[inv][:1], one[inv][:-1])
+        known[starts] = one[np.searchsorted(u, np.uint64(END))]
+        b, inv = np.unique(bigrams(t, before), return_inverse=True)
+        bi = counts_of(replies(b, ("twos", np.uint8))[0])[inv]
+        full = np.add.reduceat(log_probability(uni, known, bi, total, vocabulary), starts)
+        cols = (ids, [common.crc_mod(d, folds) == held for d in ids], lens, seen, [total] * len(lens), base, full)
+        return pa.table([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

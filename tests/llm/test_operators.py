@@ -146,6 +146,13 @@ def test_language_model(spark, none):
     assert language_model.score_texts(none).count() == 0
 
 
+def test_language_model_has_no_bound(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k * k) % 900}" for k in range(60))) for i in range(400)], "doc_id bigint, text string")
+    whole = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs).collect()}
+    small = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, limit=256).collect()}
+    assert small == pytest.approx(whole, rel=0.02)  # more, smaller segments; what they hold stays
+
+
 def test_log_frequency_filter(spark):
     rows = spark.createDataFrame([(i * 7919, 1, 1 << (i % 9)) for i in range(4000)], "gram bigint, n int, c bigint")
     lm = language_model.build_filter(rows)
