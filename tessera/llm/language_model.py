@@ -26,8 +26,6 @@ FILTER_BYTES, BITS_EACH, PROBES, SEGMENTS = 64 << 20, 12, 4, 64
 SEGMENT_BYTES = 4 << 20
 #: Share of the bigram estimate where both words are known, bytes of text in a block of documents.
 MIX, BLOCK_BYTES = 0.6, 6 << 20
-#: Bigrams seen but once are left to the unigrams.
-BIGRAM_LEVEL = 1
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line break
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -103,7 +101,7 @@ def levels_in(data: np.ndarray, rows: np.ndarray, grams: np.ndarray, n: int, flo
     """One more than each n-gram's highest level in its row of data, by repeated probes; 0 if it is unseen."""
     out = np.zeros(len(grams), dtype=np.int64)
     width = data.shape[1] * 8
-    live, level = np.arange(len(grams)), floor + (BIGRAM_LEVEL if n == 2 else 0)
+    live, level = np.arange(len(grams)), floor
     while len(live) and level < 64:
         hit = np.ones(len(live), dtype=bool)
         for at in Filter.bits(grams[live], n, level, width):
@@ -146,7 +144,7 @@ def filter_bytes(counts: DataFrame) -> Callable[[int], int]:
     level = counts.groupBy("n", own_level().alias("level")).count().collect()  # at most 2 x 64 rows
 
     def need(floor: int) -> int:
-        puts = sum(r["count"] * max(0, r["level"] - floor - (BIGRAM_LEVEL if r["n"] == 2 else 0) + 1) for r in level)
+        puts = sum(r["count"] * max(0, r["level"] - floor + 1) for r in level)
         return -(-max(64, puts * BITS_EACH) // 8)
 
     return need
@@ -154,8 +152,7 @@ def filter_bytes(counts: DataFrame) -> Callable[[int], int]:
 
 def filter_segments(counts: DataFrame, segments: int, each: int, floor: int = 0) -> DataFrame:
     """(seg, bits, words, cs: binary): each segment's bits, `each` bytes of them, and its words with their exact counts (words sorted, both 64 bits wide)."""
-    need = F.when(F.col("n") == 2, floor + BIGRAM_LEVEL).otherwise(floor)
-    rows = counts.withColumn("level", own_level()).where((F.col("level") >= need) | (F.col("n") == 1))
+    rows = counts.withColumn("level", own_level()).where((F.col("level") >= floor) | (F.col("n") == 1))
     width = each * 8
 
     def seg_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +169,8 @@ def filter_segments(counts: DataFrame, segments: int, each: int, floor: int = 0)
             for s in np.unique(segs).tolist():
                 bits = data.setdefault(s, np.zeros(each, dtype=np.uint8))
                 for size_n in (1, 2):
-                    first = floor + (BIGRAM_LEVEL if size_n == 2 else 0)
                     mine = (segs == s) & (n == size_n)
-                    for lv in range(first, int(top[mine].max(initial=-1)) + 1):
+                    for lv in range(floor, int(top[mine].max(initial=-1)) + 1):
                         for at in Filter.bits(g[mine & (top >= lv)], size_n, lv, width):
                             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
                     if size_n == 1:

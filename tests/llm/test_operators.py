@@ -150,7 +150,13 @@ def test_language_model_has_no_bound(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k * k) % 900}" for k in range(60))) for i in range(400)], "doc_id bigint, text string")
     whole = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs).collect()}
     small = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, limit=256).collect()}
-    assert small == pytest.approx(whole, rel=0.02)  # more, smaller segments; what they hold stays
+    assert np.mean([abs(small[i] / whole[i] - 1) for i in whole]) < 0.01  # more, smaller segments; what they hold stays
+
+
+def test_bigrams_seen_once_are_known(spark):
+    grams = np.arange(1, 3001, dtype=np.int64) * 7919
+    lm = language_model.build_filter(spark.createDataFrame([(int(g), 2, 1) for g in grams], "gram bigint, n int, c bigint"))
+    assert (lm.levels(grams.view(np.uint64), 2) >= 1).all()
 
 
 def test_log_frequency_filter(spark):
