@@ -33,40 +33,59 @@ def objective(chosen: list[Source], sources: list[Source], links: set[frozenset[
     return value - 5 * n * any(s.deprioritised for s in chosen)
 
 
-def solve(sources: list[Source], links: set[frozenset[str]] | None = None, most: int = 20, budget: int = 200_000) -> list[Source]:
+def solve(sources: list[Source], links: set[frozenset[str]] | None = None, most: int = 20) -> list[Source]:
     """The best choice of at most one source a cluster, min(most, clusters) in all, primaries included.
 
-    Branch and bound over the clusters; past `budget` nodes it goes on greedily from the best found.
+    Branch and bound over the clusters, to the end. The bound takes off the penalties that no further choice avoids, and
+    of partial choices that all later penalties treat alike only the best goes on.
     """
     links = links or set()
     by_cluster: dict[int, list[Source]] = defaultdict(list)
     for s in sources:
         by_cluster[s.cluster].append(s)
     order = sorted(by_cluster.values(), key=lambda xs: (not any(s.primary for s in xs), -max(s.weight for s in xs)))
-    order = [sorted([s for s in xs if s.primary] or xs, key=lambda s: -s.weight) for xs in order]
-    total = min(most, len(order))
-    tail = [max(0.0, max(s.weight for s in xs)) for xs in order]
-    bound = [0.0] * (len(order) + 1)
-    for i in range(len(order) - 1, -1, -1):
-        bound[i] = bound[i + 1] + tail[i]
+    order = [[s for s in xs if s.primary] or xs for xs in order]
+    n, total = len(sources), min(most, len(order))
+    linked = {r for pair in links for r in pair}
+    wanted = {c for s in sources for c in s.categories}
+    tops: list[list[float]] = []  # from each cluster on: the sums of the 0, 1, 2 ... largest weights
+    left: list[tuple[set, set, set, int, int]] = []  # books, authors and categories to come, clusters that offer no book or no author
+    for i in range(len(order) + 1):
+        rest = [s for xs in order[i:] for s in xs]
+        best_of = sorted((max(s.weight for s in xs) for xs in order[i:]), reverse=True)[:total]
+        tops.append([sum(best_of[:k]) for k in range(len(best_of) + 1)])
+        free = [sum(any(not getattr(s, x) for s in xs) for xs in order[i:]) for x in ("book", "author")]
+        left.append(({s.book for s in rest if s.book}, {s.author for s in rest if s.author}, {c for s in rest for c in s.categories}, *free))
     best: list = [float("-inf"), []]
-    nodes = 0
-
-    def go(i: int, chosen: list[Source], value: float) -> None:
-        nonlocal nodes
-        nodes += 1
-        if len(chosen) == total or i == len(order):
-            if len(chosen) == total and (v := objective(chosen, sources, links)) > best[0]:
-                best[:] = [v, list(chosen)]
+    seen: dict[tuple, float] = {}
+
+    def go(i: int, chosen: list[Source], value: float, books: frozenset, authors: frozenset, have: frozenset, low: bool, refs: frozenset) -> None:
+        more = total - len(chosen)
+        if not more:
+            value -= n * len(wanted - have)
+            if value > best[0] and not any(s.primary for xs in order[i:] for s in xs):
+                best[:] = [value, list(chosen)]
             return
-        if len(order) - i < total - len(chosen) or value + bound[i] <= best[0] or (nodes > budget and best[1]):
+        key = (i, more, books, authors, have, low, refs)
+        if seen.get(key, float("-inf")) >= value:
             return
-        for s in order[i]:
-            go(i + 1, [*chosen, s], value + s.weight)
-        if not any(s.primary for s in order[i]):
-            go(i + 1, chosen, value)
-
-    go(0, [], 0.0)
+        seen[key] = value
+        for j in range(i, len(order) - more + 1):
+            new_books, new_authors, cats, no_book, no_author = left[j]
+            again = 5 * max(0, more - len(new_books - books) - no_book) + max(0, more - len(new_authors - authors) - no_author)
+            if value + tops[j][more] - n * (again + len(wanted - have - cats)) <= best[0]:
+                return
+            nexts = []
+            for k, s in enumerate(order[j]):
+                cost = 5 * (s.book in books) + (s.author in authors) + 5 * (s.deprioritised and not low)
+                cost += 5 * sum(1 for pair in links if s.ref in pair and pair <= refs | {s.ref})
+                nexts.append((-(s.weight - n * cost + n * len(set(s.categories) - have)), k, value + s.weight - n * cost, s))
+            for _, _, v, s in sorted(nexts, key=lambda x: x[:2]):
+                go(j + 1, [*chosen, s], v, books | {s.book} - {""}, authors | {s.author} - {""}, have | set(s.categories), low or s.deprioritised, refs | {s.ref} & linked)
+            if any(s.primary for s in order[j]):
+                return
+
+    go(0, [], 0.0, frozenset(), frozenset(), frozenset(), False, frozenset())
     return best[1]
 
 

@@ -38,7 +38,7 @@ def source_selection(spark: SparkSession, d: str) -> DataFrame:
         df = df.sort_values("id")
         n = len(df)
         own = [select.Source(str(i), int(c), float(n - k), (f"c{i % 4}",), f"b{i % 7}") for k, (i, c) in enumerate(zip(df["id"], df["cluster"], strict=True))]
-        return pd.DataFrame([(df["topic"].iloc[0], int(s.ref), s.cluster) for s in select.solve(own, budget=3000)], columns=["topic", "id", "cluster"])
+        return pd.DataFrame([(df["topic"].iloc[0], int(s.ref), s.cluster) for s in select.solve(own)], columns=["topic", "id", "cluster"])
 
     return rows.groupBy("topic").applyInPandas(run, "topic bigint, id bigint, cluster int")
 
@@ -47,7 +47,7 @@ def source_selection(spark: SparkSession, d: str) -> DataFrame:
 def pl_posterior(spark: SparkSession, d: str) -> DataFrame:
     r = _rankings(spark, d)
     items = r.select("problem", F.explode("items").alias("item")).distinct()
-    return ranking.summary(ranking.posterior(r, items, draws=20))
+    return ranking.summary(ranking.posterior(r, items))
 
 
 @query()

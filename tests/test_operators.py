@@ -35,6 +35,17 @@ def test_gibbs_orders_items():
     assert ranking.gibbs([], 2, draws=5).shape == (5, 2)
 
 
+def test_posterior_query_takes_all_draws(spark, monkeypatch):
+    from inspect import signature
+
+    from tessera.plans import modelling
+
+    draws = signature(ranking.posterior).parameters["draws"].default
+    monkeypatch.setattr(ranking, "posterior", lambda rankings, items, draws=draws: draws)
+    monkeypatch.setattr(ranking, "summary", lambda found: found)
+    assert modelling.pl_posterior(spark, "/root/testdata/sf0.001") == draws == 80
+
+
 def test_spanning_tree_neighbourhoods():
     u = np.array([[0, 9, 1, 1], [9, 0, 8, 1], [1, 8, 0, 7], [1, 1, 7, 0]], float)
     assert sorted(ranking.neighbourhoods(ranking.max_spanning_tree(u), 4, 3)) == [(0, 1, 2), (1, 2, 3)]
@@ -60,6 +71,18 @@ def test_selection_is_best():
     assert select.objective(got, s, links) == best
 
 
+def test_selection_ends_at_the_optimum():
+    own = [select.Source(str(k), int(c), float(80 - k), (f"c{k % 4}",), f"b{k // 12}") for k, c in enumerate(np.random.default_rng(2).integers(0, 30, 80))]
+    states = {(0, frozenset(), frozenset()): 0.0}  # number, books and categories so far: the largest weight
+    for c in {s.cluster for s in own}:
+        for (k, books, cats), w in list(states.items()):
+            for s in (s for s in own if s.cluster == c and k < 20):
+                key = (k + 1, books | {s.book}, cats | set(s.categories))
+                states[key] = max(states.get(key, -np.inf), w + s.weight)
+    best = max(w - 400 * (20 - len(b)) - 80 * (4 - len(c)) for (k, b, c), w in states.items() if k == 20)
+    assert select.objective(select.solve(own), own, set()) == best
+
+
 def test_intervals(spark):
     rows = spark.createDataFrame([("a", "x", 1, 100), ("b", "x", 10, 20), ("c", "x", 10, 20), ("d", "y", 10, 20)], "ref string, book string, start int, end int")
     assert sorted(r["ref"] for r in intervals.drop_containing(rows).collect()) == ["b", "d"]
