@@ -296,12 +296,13 @@ SELECT problem, item, sum((i < n - 1)::INT) + 1.5::DOUBLE AS shape, sum(least(i
 def pl_sufficient_stats(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import ranking
 
-    return ranking.sufficient_statistics(_rankings(spark, d))
+    return ranking.sufficient_statistics(_rankings(spark, d, "o_custkey % 5 = 0"))
 
 
-def _rankings(spark: SparkSession, d: str) -> DataFrame:
+def _rankings(spark: SparkSession, d: str, of: str = "true") -> DataFrame:
+    """The rankings of the customers of that condition."""
     li = table(spark, d, "lineitem").withColumn("item", F.col("l_partkey") % 12)
-    p = table(spark, d, "orders").where("o_custkey % 5 = 0").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
+    p = table(spark, d, "orders").where(of).join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
     return p.groupBy(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("ranking")).agg(items.alias("items"))
 

@@ -46,6 +46,17 @@ def test_posterior_query_takes_all_draws(spark, monkeypatch):
     assert modelling.pl_posterior(spark, "/root/testdata/sf0.001") == draws == 80
 
 
+def test_posterior_query_takes_all_customers(spark, monkeypatch):
+    from tessera.plans import modelling
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ranking, "posterior", lambda rankings, items: rankings)
+    monkeypatch.setattr(ranking, "summary", lambda found: found)
+    orders, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    want = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select("o_custkey").distinct().count()
+    assert modelling.pl_posterior(spark, d).select("problem").distinct().count() == want
+
+
 def test_spanning_tree_neighbourhoods():
     u = np.array([[0, 9, 1, 1], [9, 0, 8, 1], [1, 8, 0, 7], [1, 1, 7, 0]], float)
     assert sorted(ranking.neighbourhoods(ranking.max_spanning_tree(u), 4, 3)) == [(0, 1, 2), (1, 2, 3)]
