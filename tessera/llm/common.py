@@ -46,10 +46,12 @@ def scratch_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written once to the shared folder and read back: its lineage is cut and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, wide: bool = False):
+        """wide: rows may have megabytes, so the writer looks at its buffer after each."""
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        options = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"} if wide else {}
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -87,6 +89,19 @@ def text_bytes(batch, name: str) -> list[bytes]:
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batch, column: str, size: int) -> Iterator:
+    """The batch in runs of rows of about size bytes of text; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def freeing(run: Callable[[Iterator], Iterator], clear: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
     """run for a mapInArrow whose worker gives its memory back at the task's end: workers outlive their tasks, and what one operator's caches hold the next one lacks."""
 

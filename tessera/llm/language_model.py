@@ -1,33 +1,39 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-All training texts' unigrams and bigrams are counted; a count c is quantised to the level floor(log2 c), and
-an n-gram is put into the filter once for each level from the floor up to its own. A probe asks level after
-level until one is missing, which gives the count back up to its quantisation, and too high only where a bit
-pattern happens to be set. The filter's size follows the corpus. It is a table of segments of bounded size that
-no machine holds as a whole: each block of documents sends its n-grams to the segments that their hashes name,
-and the levels come back, with exact unigram counts for the base score.
+Texts are read once: a block of some texts becomes a row with its distinct words' hashes and every token's word
+number, and is staged. Each block sends its words, and the words that follow each of them, to the segments that the
+hashes of the (first) words name, with their counts in training texts. A segment sums the counts, quantises a count c
+to the level floor(log2 c) + 1, puts the n-gram into its Bloom filter once for each level up to its own, and then
+answers every block by probes that ask level after level until one is missing. So the filter grows with the corpus,
+and no machine holds more than a segment of it.
+
+Model: a word's unigram chance is its quantised count plus one, over the sum for all training words and one for the
+unknown word; after a word h it is (quantised bigram count + T x unigram chance) / (S + T), where S is the sum of the
+quantised bigram counts of h and T the number of words seen after h, both taken from the levels put into the filter.
+So the chances of all words after any word sum to one, but for false positives of the filter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of a filter that is collected; bits an insertion; probes a level; least number of segments.
-FILTER_BYTES, BITS_EACH, PROBES, SEGMENTS = 64 << 20, 12, 4, 64
-#: A segment's bits at most; beyond that there are more segments.
-SEGMENT_BYTES = 4 << 20
-#: Share of the bigram estimate where both words are known, bytes of text in a block of documents.
-MIX, BLOCK_BYTES = 0.6, 6 << 20
+#: Bound of a filter that is collected; bits an insertion; probes a level.
+FILTER_BYTES, BITS_EACH, PROBES = 64 << 20, 12, 4
+#: A segment's bits as planned; text of a block; tokens of a block from which a word counts as possibly hot.
+SEGMENT_BYTES, BLOCK_BYTES, HEAVY = 4 << 20, 6 << 20, 64
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line break
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_GOLD, _LOW40 = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 40) - 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,290 +42,312 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def bigrams(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it."""
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(words))
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment that each hash names; it rises with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for up to 300,000 words."""
+def _hashes(grams: np.ndarray, n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First hash and step of each (n-gram, level)."""
+    a = mix(grams + np.uint64(n * 0x632BE59BD9B4E019 + level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return a, mix(a ^ _M1) | np.uint64(1)
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
 
+def _place(h: np.ndarray, width: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
 
-def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashes of a text's words (A-Z lower-cased, parted by space and 0x09-0x0D) and of one end."""
-    words = text.translate(common.LOWER_BYTES).split()
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    out[-1] = END
-    return out
-
-
-def count_ngrams(docs: DataFrame, folds: int, held: int) -> DataFrame:
-    """(gram: bigint, n: int 1 or 2, c: bigint): counts over the texts outside the held-out fold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held_rows, size = WordHashes(), [], 0
 
-        def flush() -> pa.RecordBatch:
-            grams, ns, cs = [], [], []
-            for n, flat in ((1, np.concatenate(held_rows)), (2, np.concatenate([bigrams(x, np.append(np.uint64(END), x[:-1])) for x in held_rows]))):
-                u, c = np.unique(flat, return_counts=True)
-                grams.append(u)
-                ns.append(np.full(len(u), n, np.int32))
-                cs.append(c.astype(np.int64))
-            held_rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(cs))], ["gram", "n", "c"])
+def level_of(c: np.ndarray) -> np.ndarray:
+    """The level of each count: floor(log2 c) + 1, 0 for none."""
+    return np.where(c > 0, np.frexp(c.astype(np.float64))[1], 0)
 
-        for b in batches:
-            for doc, text in zip(b.column("id").to_pylist(), common.text_bytes(b, "text"), strict=True):
-                if common.crc_mod(doc, folds) == held:
-                    continue
-                held_rows.append(tokens_of(text, hashes))
-                size += len(held_rows[-1])
-                if size > 3_000_000:
-                    yield flush()
-                    size = 0
-        if held_rows:
-            yield flush()
 
-    rows = docs.mapInArrow(run, "gram bigint, n int, c bigint")
-    return rows.groupBy("gram", "n").agg(F.sum("c").alias("c"))
+def twice_count(level: np.ndarray) -> np.ndarray:
+    """Twice the middle of the counts of each level: 2, 5, 11, 23 ...; 0 for none."""
+    return np.where(level > 0, 3 * (np.int64(1) << np.maximum(level, 1).astype(np.int64) - 1) - 1, 0)
 
 
-def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
-    """The segment that each n-gram's hash names."""
-    return (mix(grams ^ _M2) % np.uint64(segments)).astype(np.int32)
+def put(bits: np.ndarray, grams: np.ndarray, n: int, level: np.ndarray, floor: int = 0) -> None:
+    """Sets the bits of each n-gram's levels above floor up to its own."""
+    for at in range(floor, int(level.max(initial=0))):
+        a, step = _hashes(grams[level > at], n, at)
+        for k in range(PROBES):
+            b = _place(a + np.uint64(k) * step, len(bits) * 8)
+            np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype(np.uint8))
 
 
-def levels_in(data: np.ndarray, rows: np.ndarray, grams: np.ndarray, n: int, floor: int = 0) -> np.ndarray:
-    """One more than each n-gram's highest level in its row of data, by repeated probes; 0 if it is unseen."""
-    out = np.zeros(len(grams), dtype=np.int64)
-    width = data.shape[1] * 8
+def probe(bits: np.ndarray, grams: np.ndarray, n: int, floor: int = 0) -> np.ndarray:
+    """Each n-gram's highest level, by repeated probes from floor on until one is missing; 0 if it is unseen."""
+    out = np.zeros(len(grams), dtype=np.uint8)
     live, level = np.arange(len(grams)), floor
     while len(live) and level < 64:
-        hit = np.ones(len(live), dtype=bool)
-        for at in Filter.bits(grams[live], n, level, width):
-            hit &= data[rows[live], at >> 3] >> (at & 7) & 1 == 1
-        live = live[hit]
+        a, step = _hashes(grams[live], n, level)
+        for k in range(PROBES):
+            b = _place(a + np.uint64(k) * step, len(bits) * 8)
+            hit = bits[b >> 3] >> (b & 7).astype(np.uint8) & 1 == 1
+            live, a, step = live[hit], a[hit], step[hit]
         level += 1
         out[live] = level
     return out
 
 
-def counts_of(level: np.ndarray) -> np.ndarray:
-    """Estimated counts: the middle of the level's range, in logarithms."""
-    low = np.exp2(level - 1.0)
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, low * 2**0.5))
-
-
 class Filter:
-    """The log-frequency filter: PROBES bits for each (n-gram, level), in the segment that the n-gram's hash names."""
+    """A log-frequency filter in one piece."""
 
     def __init__(self, data: np.ndarray, floor: int):
-        self.data, self.floor = data.reshape(SEGMENTS, -1), floor
-
-    @staticmethod
-    def bits(grams: np.ndarray, n: int, level: int, width: int) -> list[np.ndarray]:
-        """Bit numbers within a segment of width bits."""
-        a = mix(grams + np.uint64(n * 0x632BE59BD9B4E019 + level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        step = mix(a ^ _M1) | np.uint64(1)
-        return [((a + np.uint64(k) * step) % np.uint64(width)).astype(np.int64) for k in range(PROBES)]
+        self.data, self.floor = data, floor
 
     def levels(self, grams: np.ndarray, n: int) -> np.ndarray:
-        return levels_in(self.data, segment_of(grams, SEGMENTS), grams, n, self.floor)
+        return probe(self.data, grams, n, self.floor)
 
 
-def own_level() -> Column:
-    return F.floor(F.log2("c") + 1e-9).cast("int")
+def build_filter(counts: DataFrame, limit: int = FILTER_BYTES) -> Filter:
+    """The filter of counts (gram, n, c) in one piece, for tables small enough to collect: at most limit bytes, beyond which its lowest level rises. score_texts has no such bound."""
+    level = F.floor(F.log2("c") + 1e-9).cast("int") + 1
+    found = counts.groupBy(level.alias("level")).count().collect()  # at most 64 rows
+    floor = 0
+    while (size := -(-max(64, sum(r["count"] * max(0, r["level"] - floor) for r in found) * BITS_EACH) // 8)) > limit:
+        floor += 1
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype=np.uint8)
+        for b in batches:
+            g, n, c = (b.column(k).to_numpy() for k in ("gram", "n", "c"))
+            for k in (1, 2):
+                put(bits, g.view(np.uint64)[n == k], k, level_of(c[n == k]), floor)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], ["bits"])
+
+    data = np.zeros(size, dtype=np.uint8)
+    for r in counts.select("gram", "n", "c").mapInArrow(fill, "bits binary").toLocalIterator():
+        data |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return Filter(data, floor)
 
-def filter_bytes(counts: DataFrame) -> Callable[[int], int]:
-    """The bytes that a filter of these counts needs, by its lowest level."""
-    level = counts.groupBy("n", own_level().alias("level")).count().collect()  # at most 2 x 64 rows
 
-    def need(floor: int) -> int:
-        puts = sum(r["count"] * max(0, r["level"] - floor + 1) for r in level)
-        return -(-max(64, puts * BITS_EACH) // 8)
+def pack(a: np.ndarray) -> bytes:
+    """Numbers as the narrowest unsigned kind that holds them all."""
+    top = int(a.max(initial=0))
+    return a.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if top < 1 << 8 * w)).tobytes()
 
-    return need
 
+def unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
-def filter_segments(counts: DataFrame, segments: int, each: int, floor: int = 0) -> DataFrame:
-    """(seg, bits, words, cs: binary): each segment's bits, `each` bytes of them, and its words with their exact counts (words sorted, both 64 bits wide)."""
-    rows = counts.withColumn("level", own_level()).where((F.col("level") >= floor) | (F.col("n") == 1))
-    width = each * 8
 
-    def seg_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = b.column("gram").to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(g, segments)), *b.columns], ["seg", *b.schema.names])
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct word hashes, each token's word number, each text's number of tokens); every text ends in END."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = cut.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # leading white space gives empty ones
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    coded = words.filter(real).dictionary_encode()
+    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] + [END], dtype=np.uint64)
+    hashes, number = np.unique(own, return_inverse=True)
+    return hashes, np.insert(number[:-1][coded.indices.to_numpy()], before[1:], number[-1]).astype(np.uint32), np.diff(before) + 1
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data: dict[int, np.ndarray] = {}
-        exact: dict[int, list] = {}
-        for b in batches:
-            segs, g, n, c, top = (b.column(k).to_numpy() for k in ("seg", "gram", "n", "c", "level"))
-            g = g.view(np.uint64)
-            for s in np.unique(segs).tolist():
-                bits = data.setdefault(s, np.zeros(each, dtype=np.uint8))
-                for size_n in (1, 2):
-                    mine = (segs == s) & (n == size_n)
-                    for lv in range(floor, int(top[mine].max(initial=-1)) + 1):
-                        for at in Filter.bits(g[mine & (top >= lv)], size_n, lv, width):
-                            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-                    if size_n == 1:
-                        exact.setdefault(s, []).append((g[mine], c[mine]))
-        for s, bits in data.items():
-            words, cs = (np.concatenate(x) for x in zip(*exact.pop(s), strict=True))
-            order = np.argsort(words)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (bits, words[order], cs[order]))], ["seg", "bits", "words", "cs"])
-
-    dealt = rows.select("gram", "n", "c", "level").mapInArrow(seg_of, "seg int, gram bigint, n int, c bigint, level int")
-    return dealt.repartition(segments, "seg").mapInArrow(common.freeing(fill), "seg int, bits binary, words binary, cs binary")
 
+_BLOCK = "block bigint, ids array<{}>, held binary, lens binary, words binary, numbers binary, tokens bigint, heavy array<struct<w:bigint,c:bigint>>"
 
-def build_filter(counts: DataFrame, limit: int = FILTER_BYTES) -> Filter:
-    """The filter in one piece, for tables small enough to collect: at most limit bytes, beyond which its lowest level rises. score_texts has no such bound."""
-    need, floor = filter_bytes(counts), 0
-    while (each := -(-need(floor) // SEGMENTS)) * SEGMENTS > limit:
-        floor += 1
-    data = np.zeros((SEGMENTS, each), dtype=np.uint8)
-    for r in filter_segments(counts, SEGMENTS, each, floor).select("seg", "bits").toLocalIterator():
-        data[r["seg"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(data, floor)
 
+def blocks_of(rows: DataFrame, folds: int, held: int) -> DataFrame:
+    """Rows (id, text) as blocks of at most BLOCK_BYTES of text, or of one longer text."""
+    kind = rows.schema["id"].dataType.simpleString()
+    pair = pa.struct([("w", pa.int64()), ("c", pa.int64())])
 
-def log_probability(uni: np.ndarray, known: np.ndarray, bi: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-    """log10 of each word's smoothed probability: add-one unigrams, mixed with the bigram where the filter has it.
-    Estimated counts: of the word, of the one before it, and of both together."""
-    bi = np.minimum(bi, np.maximum(known, 1))
-    share = np.where((bi > 0) & (known > 0), MIX, 0.0)
-    return np.log10((1 - share) * (uni + 1) / (total + vocabulary + 1) + share * bi / np.maximum(known, 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, waiting, size, done = TaskContext.get().partitionId() << 32, [], 0, 0
 
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            ids = table.column("id").combine_chunks()
+            words, numbers, lens = _tokens(table.column("text").combine_chunks().cast(pa.large_string()).fill_null(""))
+            out = np.array([common.crc_mod(i, folds) == held for i in ids.to_pylist()])
+            c = np.bincount(numbers[~np.repeat(out, lens)], minlength=len(words))
+            heavy = [{"w": w, "c": n} for w, n in zip(words[c >= HEAVY].view(np.int64).tolist(), c[c >= HEAVY].tolist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            cols = [pa.array([first + done]), lists, *(pa.array([x], pa.binary()) for x in (pack(out), pack(lens), words.tobytes(), pack(numbers)))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([len(numbers)]), pa.array([heavy], pa.list_(pair))], ["block", "ids", "held", "lens", "words", "numbers", "tokens", "heavy"])
+
+        for whole in batches:
+            for b in common.slices(whole, "text", BLOCK_BYTES):
+                n = b.column("text").nbytes
+                if waiting and size + n > BLOCK_BYTES:
+                    yield flush()
+                    size, done = 0, done + 1
+                waiting.append(b)
+                size += n
+        if waiting:
+            yield flush()
 
-def starts_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text begins among the words of all, and the word before each word: before a text, it is an end."""
-    lens = np.array([len(p) for p in parts])
-    starts = np.cumsum(lens) - lens
-    before = np.concatenate([[np.uint64(END)], *parts])[:-1]
-    before[starts] = END
-    return starts, before
+    return rows.mapInArrow(common.freeing(run), _BLOCK.format(kind))
+
+
+class Block:
+    """A block's words and bigrams, in the order in which segments are asked."""
+
+    def __init__(self, row: dict, salts: dict[int, int]):
+        self.ids = row["ids"]
+        n = len(self.ids)
+        self.held, self.lens = unpack(row["held"], n).astype(bool), unpack(row["lens"], n)
+        self.words = np.frombuffer(row["words"], dtype=np.uint64)
+        self.numbers = unpack(row["numbers"], int(self.lens.sum()))
+        self.starts = np.cumsum(self.lens) - self.lens
+        before = np.roll(self.numbers, 1)
+        before[self.starts] = np.searchsorted(self.words, np.uint64(END))
+        self.before = before
+        self.hot = np.array([salts.get(w, 1) for w in self.words.view(np.int64).tolist()]) if salts else np.ones(len(self.words), dtype=np.int64)
+
+    def bigrams(self, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (word before, word) as two numbers in one, and how often each stands in training texts, or each token's place among them."""
+        pair = self.before << 32 | self.numbers
+        if inverse:
+            return np.unique(pair, return_inverse=True)
+        key = np.sort(pair << 1 | np.repeat(self.held, self.lens))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1]))
+        return key[first] >> 1, np.add.reduceat(1 - (key & 1), first)
+
+    def split(self, pairs: np.ndarray, segments: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(segment, salted, keys, words before, places of bigrams, key by key) of everything that is asked; followers of hot words go by salted keys."""
+        ahead, word = pairs >> 32, pairs & 0xFFFFFFFF
+        salt = np.zeros(len(pairs), dtype=np.int64)
+        hot = np.flatnonzero(self.hot[ahead] > 1)
+        salt[hot] = (mix(self.words[word[hot]]) % self.hot[ahead[hot]].astype(np.uint64)).astype(np.int64)
+        plain, salted = np.flatnonzero(salt == 0), np.flatnonzero(salt)
+        yield from self._cut(False, self.words, np.arange(len(self.words)), plain, ahead[plain], segments)
+        if len(salted):
+            key = mix(self.words[ahead[salted]] + salt[salted].astype(np.uint64) * _GOLD)
+            keys, at, entry = np.unique(key, return_index=True, return_inverse=True)
+            order = np.argsort(entry, kind="stable")
+            yield from self._cut(True, keys, ahead[salted][at], salted[order], entry[order], segments)
 
+    @staticmethod
+    def _cut(salted: bool, keys: np.ndarray, base: np.ndarray, places: np.ndarray, entry: np.ndarray, segments: int):
+        seg = segment_of(keys, segments)  # keys are sorted, so segments rise
+        cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])).tolist()
+        ends = np.searchsorted(entry, [*cuts[1:], len(keys)]).tolist()
+        for a, b, x, y in zip(cuts, [*cuts[1:], len(keys)], [0, *ends], ends, strict=False):
+            yield int(seg[a]), salted, keys[a:b], base[a:b], (places[x:y], np.bincount(entry[x:y] - a, minlength=b - a))
 
-def by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts sorted n-grams segment by segment, and how many each segment has."""
-    seg = segment_of(grams, segments)
-    return np.argsort(seg, kind="stable"), np.bincount(seg, minlength=segments)
+
+_ASK = "seg bigint, block bigint, salted boolean, keys binary, of binary, cs binary, ns binary, after binary, times binary"
+_ANSWER = "block bigint, seg bigint, salted boolean, cs binary, levels binary, sums binary, kinds binary, pairs binary, n bigint, v bigint, mass bigint, hot array<struct<w:bigint,s:bigint,t:bigint>>"
+
+
+def _asks(blocks: DataFrame, segments: int, salts: dict[int, int]) -> DataFrame:
+    """One row for each block and segment: keys with counts and numbers of followers, and the followers (40 bits of each word's hash) with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                b = Block(row, salts)
+                pairs, times = b.bigrams(False)
+                c = np.bincount(b.numbers[~np.repeat(b.held, b.lens)], minlength=len(b.words))
+                after = (b.words & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]
+                rows = []
+                for seg, salted, keys, base, (places, ns) in b.split(pairs, segments):
+                    own = np.zeros(len(base), dtype=np.int64) if salted else c[base]
+                    of = b.words[base].tobytes() if salted else b""
+                    rows.append((seg, row["block"], salted, keys.tobytes(), of, pack(own), pack(ns), after[pairs[places] & 0xFFFFFFFF].tobytes(), pack(times[places])))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["seg", "block", "salted", "keys", "of", "cs", "ns", "after", "times"])
+
+    return blocks.mapInArrow(common.freeing(run), _ASK)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A segment: its filter from all blocks' counts, the answers to each block, and a row (block -1) of its sums."""
+    rows = table.select(["seg", "block", "salted", "keys", "of", "cs", "ns", "after", "times"]).to_pylist()
+    keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+    size = [len(k) for k in keys]
+    cs, ns = (np.concatenate([unpack(r[c], n) for r, n in zip(rows, size, strict=True)]) for c in ("cs", "ns"))
+    known, own = np.unique(np.concatenate(keys), return_inverse=True)
+    raw = np.frombuffer(b"".join(r["after"] for r in rows), dtype=np.uint8).reshape(-1, 5)
+    after = np.zeros((len(raw), 8), dtype=np.uint8)
+    after[:, :5] = raw
+    many = [len(r["after"]) // 5 for r in rows]
+    times = np.concatenate([unpack(r["times"], n) for r, n in zip(rows, many, strict=True)])
+    gram = mix(known[np.repeat(own, ns)] * _GOLD + mix(after.view(np.uint64)[:, 0]))
+    grams, at, place = np.unique(gram, return_index=True, return_inverse=True)
+    entry = np.repeat(own, ns)[at]
+    c1 = np.bincount(own, weights=cs, minlength=len(known)).astype(np.int64)
+    c2 = np.bincount(place, weights=times, minlength=len(grams)).astype(np.int64)
+    l1, l2 = level_of(c1), level_of(c2)
+    bits = np.zeros(-(-max(64, int(l1.sum() + l2.sum()) * BITS_EACH) // 8), dtype=np.uint8)
+    put(bits, known, 1, l1)
+    put(bits, grams, 2, l2)
+    found1, found2 = probe(bits, known, 1), probe(bits, grams, 2)[place]
+    sums = np.bincount(entry, weights=twice_count(l2), minlength=len(known)).astype(np.int64)
+    kinds = np.bincount(entry, weights=l2 > 0, minlength=len(known)).astype(np.int64)
+    out, x, y, hot = [], 0, 0, {}
+    for r, n, m in zip(rows, size, many, strict=True):
+        mine = own[x : x + n]
+        if r["salted"]:
+            hot |= dict(zip(known[mine].tolist(), zip(np.frombuffer(r["of"], dtype=np.int64).tolist(), sums[mine].tolist(), kinds[mine].tolist(), strict=True), strict=True))
+        out.append((r["block"], r["seg"], r["salted"], pack(c1[mine]), pack(found1[mine]), pack(sums[mine]), pack(kinds[mine]), pack(found2[y : y + m]), None, None, None, None))
+        x, y = x + n, y + m
+    out.append((-1, rows[0]["seg"], False, *[None] * 5, int(c1.sum()), int((c1 > 0).sum()), int(twice_count(l1).sum()), [dict(zip("wst", v, strict=True)) for v in hot.values()]))
+    cell = pa.struct([("w", pa.int64()), ("s", pa.int64()), ("t", pa.int64())])
+    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5, *[pa.int64()] * 3, pa.list_(cell)]
+    names = ["block", "seg", "salted", "cs", "levels", "sums", "kinds", "pairs", "n", "v", "mass", "hot"]
+    return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def chances(uni: np.ndarray, pair: np.ndarray, sums: np.ndarray, kinds: np.ndarray, mass: int, vocabulary: int) -> np.ndarray:
+    """Each token's probability: from twice the quantised counts of the word and of the bigram, twice the sum of those after the word before, and the number of words seen after it."""
+    single = (uni + 2) / (mass + 2 * (vocabulary + 1))
+    return np.where(sums > 0, (np.minimum(pair, sums) + 2 * kinds * single) / np.maximum(sums + 2 * kinds, 1), single)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", limit: int = SEGMENT_BYTES) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row's whole text.
 
-    Words are told apart by 64-bit hashes. Null and empty texts are one end; with no training text at all, each
-    token has the probability 1; repeated rows stay; an empty table gives an empty result; extra columns are ignored.
-    A segment of the filter has at most limit bytes of bits.
+    Words are told apart by 64-bit hashes, followers of a word by 40 bits. Null and empty texts are one end; with no
+    training text at all, each token has the probability 1; repeated rows stay; an empty table gives an empty result;
+    extra columns are ignored. A segment of the filter has about limit bytes of bits; words so frequent that what
+    follows them would fill a quarter of a segment have their followers dealt over several.
     """
-    spark = common.prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = common.stage(count_ngrams(rows, folds, held), "lm-counts")
-    r = counts.where("n = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("v")).first()
-    total, vocabulary = r["total"], r["v"]
-    need = filter_bytes(counts)(0)
-    segments = max(SEGMENTS, -(-need // limit))
-    lm = common.stage(filter_segments(counts, segments, -(-need // segments)), "lm-filter")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition(min(blocks, 4 * common.shuffle_partitions(spark)), "block")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        asked: dict[int, tuple[list, list]] = {}
-
-        def join(parts: list[np.ndarray]) -> np.ndarray:
-            parts[:] = [np.unique(np.concatenate(parts))]
-            return parts[0]
-
-        for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), common.text_bytes(b, "text"), strict=True):
-                words = tokens_of(text, hashes)
-                for own, flat in zip(asked.setdefault(block, ([], [])), (words, bigrams(words, starts_of([words])[1])), strict=True):
-                    own.append(flat)
-                    if len(own) > 256:
-                        join(own)
-        for block in list(asked):
-            cols = []
-            for flat in map(join, asked.pop(block)):
-                order, n = by_segment(flat, segments)
-                cols.append([x.tobytes() for x in np.split(flat[order], np.cumsum(n)[:-1])])
-            some = [k for k in range(segments) if cols[0][k] or cols[1][k]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *(pa.array([c[k] for k in some], pa.binary()) for c in cols)], ["seg", "block", "ones", "twos"])
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        bits, words, cs = (np.frombuffer(right.column(k)[0].as_py() if right.num_rows else b"", dtype=t) for k, t in (("bits", np.uint8), ("words", np.uint64), ("cs", np.int64)))
-        data = bits.reshape(1, -1) if len(bits) else np.zeros((1, 1), dtype=np.uint8)
-        for k in range(left.num_rows):
-            one, two = (np.frombuffer(left.column(c)[k].as_py(), dtype=np.uint64) for c in ("ones", "twos"))
-            level = [levels_in(data, np.zeros(len(g), dtype=np.int64), g, n).astype(np.uint8) for n, g in ((1, one), (2, two))]
-            c = np.zeros(len(one), dtype=np.int64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, one), len(words) - 1)
-                c = np.where(words[at] == one, cs[at], 0)
-            out.append((left.column("block")[k].as_py(), left.column("seg")[k].as_py(), c.tobytes(), *(x.tobytes() for x in level)))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["block", "seg", "exact", "ones", "twos"])
-
-    asks = dealt.mapInArrow(common.freeing(ask), "seg int, block bigint, ones binary, twos binary")
-    answers = asks.groupBy("seg").cogroup(lm.groupBy("seg")).applyInArrow(answer, "block bigint, seg int, exact binary, ones binary, twos binary")
+    common.prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    staged = common.Staged(blocks_of(rows, folds, held), "lm-blocks", wide=True)
+    blocks = staged.df
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    segments = max(1, -(-2 * tokens * BITS_EACH // (8 * limit)))
+    share = max(1, 2 * tokens // (4 * segments))
+    often = blocks.select(F.explode("heavy").alias("h")).groupBy("h.w").agg(F.sum("h.c").alias("c")).where(F.col("c") > share)
+    salts = {r["w"]: -(-r["c"] // share) for r in often.collect()}  # at most tokens / share, so 2 x segments, rows
+    answers = common.Staged(_asks(blocks.drop("heavy"), segments, salts).groupBy("seg").applyInArrow(_answer, _ANSWER), "lm-answers", wide=True).df
+    r = answers.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "mass")]).first()
+    total, vocabulary, mass = r["n"], r["v"], r["mass"]
+    summed = answers.where("block = -1").select(F.explode("hot").alias("h")).groupBy("h.w").agg(F.sum("h.s").alias("s"), F.sum("h.t").alias("t"))
+    hot = {r["w"]: (r["s"], r["t"]) for r in summed.collect()}  # no more rows than salts has
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        kinds = (left.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        types = (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         if not left.num_rows:
-            return pa.table([pa.array([], type=k) for k in kinds], names=names)
-        right = right.sort_by("seg")
-        ids, parts = [], []
-        for b in left.to_batches():
-            ids += b.column("id").to_pylist()
-            parts += [tokens_of(text, hashes) for text in common.text_bytes(b, "text")]
-        starts, before = starts_of(parts)
-        t = np.concatenate(parts)
-        lens = [len(p) for p in parts]
-        parts.clear()
-
-        def replies(grams: np.ndarray, *cols: tuple[str, type]) -> list[np.ndarray]:
-            order, _ = by_segment(grams, segments)
-            found = []
-            for name, kind in cols:
-                flat = np.frombuffer(b"".join(right.column(name).to_pylist()), dtype=kind)
-                if len(flat) != len(grams):
-                    raise RuntimeError("the texts of a block are not those that it asked for")
-                back = np.empty(len(grams), dtype=kind)
-                back[order] = flat
-                found.append(back)
-            return found
-
-        u, inv = np.unique(t, return_inverse=True)
-        c, level = replies(u, ("exact", np.int64), ("ones", np.uint8))
-        base = np.add.reduceat(np.log10((c + 1) / (total + vocabulary + 1))[inv], starts)
-        seen = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
-        one = counts_of(level)
-        uni, known = one[inv], np.append(one[inv][:1], one[inv][:-1])
-        known[starts] = one[np.searchsorted(u, np.uint64(END))]
-        b, inv = np.unique(bigrams(t, before), return_inverse=True)
-        bi = counts_of(replies(b, ("twos", np.uint8))[0])[inv]
-        full = np.add.reduceat(log_probability(uni, known, bi, total, vocabulary), starts)
-        cols = (ids, [common.crc_mod(d, folds) == held for d in ids], lens, seen, [total] * len(lens), base, full)
-        return pa.table([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            return pa.table([pa.array([], type=t) for t in types], names=names)
+        b = Block(left.to_pylist()[0], salts)
+        said = {(r["seg"], r["salted"]): r for r in right.to_pylist()}
+        pairs, place = b.bigrams(True)
+        c, level, sums, kinds = (np.zeros(len(b.words), dtype=np.int64) for _ in range(4))
+        found = np.zeros(len(pairs), dtype=np.int64)
+        for seg, salted, keys, base, (places, _) in b.split(pairs, segments):
+            r = said[seg, salted]
+            found[places] = unpack(r["pairs"], len(places))
+            if not salted:
+                c[base], level[base], sums[base], kinds[base] = (unpack(r[k], len(keys)) for k in ("cs", "levels", "sums", "kinds"))
+        for k in np.flatnonzero(b.hot > 1).tolist():
+            s, t = hot.get(int(b.words[k].view(np.int64)), (0, 0))
+            sums[k], kinds[k] = sums[k] + s, kinds[k] + t
+        t, h = b.numbers, b.before
+        base_log = np.log10((c + 1) / (total + vocabulary + 1))
+        model = np.log10(chances(twice_count(level)[t], twice_count(found)[place], sums[h], kinds[h], mass, vocabulary))
+        total_of = lambda x: np.add.reduceat(x, b.starts)
+        cols = (b.ids, b.held, b.lens, total_of((c > 0).astype(np.int64)[t]), np.full(len(b.lens), total), total_of(base_log[t]), total_of(model))
+        return pa.table([pa.array(x, type=t) for x, t in zip(cols, types, strict=True)], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    mine = blocks.drop("heavy", "tokens").groupBy("block").cogroup(answers.where("block >= 0").drop("n", "v", "mass", "hot").groupBy("block"))
+    return mine.applyInArrow(score, schema)
