@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, common, tokens
+from . import common, rank_encode, tokens
 
 CAPACITY = 1024
 END_ID = 2
@@ -44,16 +44,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, enc = bpe.load(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        enc = rank_encode.load(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, bpe.BATCH_TEXTS):
-                b = whole.slice(at, bpe.BATCH_TEXTS)
+            for b in common.slices(whole, "text", rank_encode.SLICE_BYTES):
                 rows, data = [], []
-                for doc, ids in zip(b.column("id").to_pylist(), enc.encode_many([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    ids += end
-                    for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + length)]
+                found, at = enc.encode_column(b.column("text"))
+                ids = np.insert(found, at[1:], end_id).astype("<u4").tobytes()
+                at = (4 * (at + np.arange(len(at)))).tolist()
+                for doc, x, y in zip(b.column("id").to_pylist(), at, at[1:], strict=False):
+                    for k, (start, length) in enumerate(cut((y - x) // 4, capacity)):
+                        own = ids[x + 4 * start : x + 4 * (start + length)]
                         rows.append((doc, k, start, length, zlib.crc32(own)))
                         data.append(own)
                 cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECE + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run, lambda: bpe.forget(path)), schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run), schema)
 
 
 class Bins:
@@ -186,61 +186,76 @@ def _epoch(capacity: int):
 _STATE = "shard bigint, island int, lengths array<int>, elite array<int>"
 
 
+def _chosen(capacity: int):
+    """Each shard's best elite, with every piece's offset in its bin and the bin's fill."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = []
+            for shard, lengths, elites in zip(df["shard"], df["lengths"], df["elites"], strict=True):
+                lengths = np.array(lengths, dtype=np.int64)
+                best = max((tuple(int(x) for x in e) for e in elites), key=lambda e: (fitness(_of(list(e), lengths.tolist(), capacity)), e))
+                bins = np.array(best, dtype=np.int64)
+                order = np.argsort(bins, kind="stable")
+                upto = np.cumsum(lengths[order]) - lengths[order]
+                first = np.searchsorted(bins[order], bins[order])
+                offset = np.empty(len(bins), dtype=np.int64)
+                offset[order] = upto - upto[first]
+                out.append((shard, bins.astype(np.int32), offset.astype(np.int32), np.bincount(bins, weights=lengths)[bins].astype(np.int32)))
+            yield pd.DataFrame(out, columns=["shard", "bins", "offsets", "fills"])
+
+    return run
+
+
 def _level(items: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """(shard, items, assign): each shard's pieces and the bin of each in the best elite of its islands."""
+    """(shard, at: struct of item, bin, offset, fill): each shard's pieces in the best elite of its islands."""
     numbered = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     dealt = common.stage(numbered.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", *[c for c in items.columns if c != "length"]))).alias("items")), "packing-shards")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))
     none = F.lit(None).cast("array<array<int>>")
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
-    parts = common.shuffle_partitions(items.sparkSession)
-    state = dealt.select("shard", islands.alias("island"), lengths.alias("lengths"), none.alias("elites")).repartition(parts, "shard", "island")
+    tasks = min(common.shuffle_partitions(items.sparkSession), shards * ISLANDS)
+    state = dealt.select("shard", islands.alias("island"), lengths.alias("lengths"), none.alias("elites")).repartition(tasks)
     state = state.mapInPandas(_epoch(capacity), _STATE)
     for _ in range(EPOCHS - 1):  # each island's elite stays and goes to the next island
         to = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
         moved = state.select("shard", to.alias("island"), "lengths", "elite")
         state = moved.groupBy("shard", "island").agg(F.first("lengths").alias("lengths"), F.collect_list("elite").alias("elites"))
         state = state.mapInPandas(_epoch(capacity), _STATE)
-    best = state.groupBy("shard").agg(F.min_by("elite", F.struct(F.array_max("elite"), F.col("island"))).alias("assign"))
-    return dealt.join(best, "shard")
+    elites = state.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.collect_list("elite").alias("elites"))
+    best = elites.mapInPandas(_chosen(capacity), "shard bigint, bins array<int>, offsets array<int>, fills array<int>")
+    zipped = F.arrays_zip(F.col("items").alias("item"), F.col("bins").alias("bin"), F.col("offsets").alias("offset"), F.col("fills").alias("fill"))
+    return dealt.join(best, "shard").select("shard", F.inline(zipped))
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) -> DataFrame:
     """rows with sequence_id and offset: each row's length (1 to capacity) lies gapless in its sequence of at most capacity.
 
-    Repeated rows and null ids are packed like any others; an empty table gives an empty result.
+    Repeated rows and null ids are packed like any others; an empty table gives an empty result. Up to twice
+    shard_rows rows are one shard.
     """
     common.prepare(rows.sparkSession)
     columns, level, out = rows.columns, 0, None
     rest = common.stage(rows, "packing-pieces")
     n = rest.count()
     while True:
-        shards = max(1, -(-n // shard_rows))
-        placed = _level(rest, shards, capacity)
-        one = placed.select("shard", F.inline(F.arrays_zip(F.col("items").alias("item"), F.col("assign").alias("bin"), F.sequence(F.lit(0), F.size("items") - 1).alias("at"))))
-        one = common.stage(one, "packing-placed")
-        in_bin = F.sum("item.length").over(_by())
-        before = F.sum("item.length").over(_by().orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        shards = 1 if n <= 2 * shard_rows else -(-n // shard_rows)
+        one = common.stage(_level(rest, shards, capacity), "packing-placed")
         seq = (F.lit(level).cast("bigint") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id")
-        done = one.select("*", in_bin.alias("fill"), F.coalesce(before, F.lit(0)).alias("offset"), seq)
+        place = [*[F.col("item")[c].alias(c) for c in columns], seq, F.col("offset").cast("bigint").alias("offset")]
         full = F.col("fill") >= capacity - int(SLACK * capacity)
-        final = shards == 1
-        part = (done if final else done.where(full)).select(*[F.col("item")[c].alias(c) for c in columns], "sequence_id", "offset")
+        part = (one if shards == 1 else one.where(full)).select(place)
         out = part if out is None else out.unionByName(part)
-        if final:
+        if shards == 1:
             return out
-        rest = common.stage(done.where(~full).select(*[F.col("item")[c].alias(c) for c in columns]), "packing-rest")
+        rest = one.where(~full).select(*[F.col("item")[c].alias(c) for c in columns])
         left = rest.count()
         if left >= n:  # nothing is well filled: more rounds would not help
-            return out.unionByName(done.where(~full).select(*[F.col("item")[c].alias(c) for c in columns], "sequence_id", "offset"))
+            return out.unionByName(one.where(~full).select(place))
         n, level = left, level + 1
 
 
-def _by() -> WindowSpec:
-    return Window.partitionBy("shard", "bin")
-
-
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, of pieces that keep their ids."""
+    """(sequence_id, ids): the packed sequences themselves, of pieces that keep their ids; null ids count as none, an empty table gives an empty one."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
