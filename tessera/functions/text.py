@@ -10,7 +10,7 @@ from difflib import SequenceMatcher
 from functools import wraps
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -215,8 +215,14 @@ def remove_footnotes(s: pd.Series) -> pd.Series:
 
 @arrow_udf("string")
 def escape_inner_quotes(s: pd.Series) -> pd.Series:
-    """Quotes inside JSON strings get a backslash: those not next to a structural character."""
-    return s.map(lambda t: re.sub(r'(?<![\[{:,\s\\])"(?!\s*[\]},:])', r'\\"', t), na_action="ignore")
+    """Quotes inside the string values of an object get a backslash; a value ends at the first quote before a comma, a brace or a line's end."""
+    value = re.compile(r'(?<=:)\s*"(?P<inner>[^\n]*?)"(?=[,}\n])')
+
+    def escape(m: re.Match) -> str:
+        head = m[0][: m.start("inner") - m.start()]
+        return head + m["inner"].replace('"', '\\"') + '"'
+
+    return s.map(lambda t: value.sub(escape, t), na_action="ignore")
 
 
 _CLOSERS = "\"'”’)]}»"
@@ -397,6 +403,53 @@ def break_up(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, list(s)) for t, s in zip(text, spans, strict=True)])
 
 
+def split_by_language(c: Column, lang: Column) -> Column:
+    """Sentences by the rule-based splitter for Hebrew, at white space after . ! or ? for other languages."""
+    plain = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(lang == "he", sentences(c)).otherwise(plain)
+
+
+def choose_langs(available: Column, all_of_them: bool = False) -> Column:
+    """The languages to use of those available: all, sorted, or Hebrew and else English."""
+    if all_of_them:
+        return F.array_sort(F.array_distinct(available))
+    return F.when(F.array_contains(available, "he"), F.array(F.lit("he"))).when(F.array_contains(available, "en"), F.array(F.lit("en"))).otherwise(F.array().cast("array<string>"))
+
+
+def choice_number(c: Column, most: Column) -> Column:
+    """n of "choice: n", else the first integer of an answer, if it lies between 1 and most, else null."""
+    said = F.nullif(F.regexp_extract(c, r"(?i)choice\s*:\s*(\d+)", 1), F.lit(""))
+    n = F.coalesce(said, F.nullif(F.regexp_extract(c, r"\d+", 0), F.lit(""))).try_cast("bigint")
+    return F.when(n.between(1, most), n)
+
+
+def fit_view(own: Column, whole: Column, most: int, with_quotes: bool = True) -> Column:
+    """The whole text if it is wanted and fits the budget of estimated tokens, else the own part, cut to the budget where that is too long."""
+    cut = F.when(estimated_tokens(own) >= most, F.substring(own, 1, most * 3)).otherwise(own)
+    return F.when(F.lit(with_quotes) & (estimated_tokens(whole) <= most), whole).otherwise(cut)
+
+
+def shared_phrase(a: Column, b: Column, words: int = 3) -> Column:
+    """The first run of that many words that two texts share, in lower case; null if there is none. A deterministic stand-in for a judge."""
+    def runs(c: Column) -> Column:
+        w = F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda x: x != "")
+        return F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.array_join(F.slice(w, i, words), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.array_intersect(runs(a), runs(b)), F.lit(0))
+
+
+def gloss_rewrite(rows: DataFrame, key: str, body: str, glossary: DataFrame, rewrite: Callable[[Column, Column, Column], Column], most: int = 10_000) -> DataFrame:
+    """(key, title, rewritten): a text that holds titles of the glossary (title, gloss) is rewritten for the longest, others stay with a null title.
+    The glossary is sent to all rows; its size is checked."""
+    if glossary.count() > most:
+        raise ValueError(f"more than {most} titles")
+    hit = F.col(body).contains(F.col("title"))
+    met = rows.select(key, body).join(F.broadcast(glossary), hit, "left")
+    best = met.groupBy(key, body).agg(F.max_by(F.struct("title", "gloss"), F.struct(F.length("title"), "title")).alias("g"))
+    new = F.when(F.col("g.title").isNull(), F.col(body)).otherwise(rewrite(F.col(body), F.col("g.title"), F.col("g.gloss")))
+    return best.select(key, F.col("g.title").alias("title"), new.alias("rewritten"))
+
+
 def run_id(config: dict) -> str:
     """The first 16 hex digits of SHA-256 over the sorted JSON of a configuration."""
     import hashlib

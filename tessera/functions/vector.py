@@ -45,10 +45,15 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def relevance_cosine(r: Column) -> Column:
+    """relevance to distance to cosine."""
+    distance = F.lit(2.0**0.5) * (1 - r)
+    return 1 - distance * distance / 2
+
+
 def relevance_weight(r: Column, power: float) -> Column:
     """relevance to distance to cosine to (1 - sine) ^ power."""
-    distance = F.lit(2.0**0.5) * (1 - r)
-    c = 1 - distance * distance / 2
+    c = relevance_cosine(r)
     return F.pow(1 - F.sqrt(F.greatest(F.lit(0.0), 1 - c * c)), F.lit(power))
 
 

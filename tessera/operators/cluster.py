@@ -1,15 +1,17 @@
 """Clustering of small groups of vectors (one topic's sources), each group in one call of applyInPandas, and the
-relational steps around it. Algorithms are numpy; a group is one topic's sources, bounded by GROUP_ROWS."""
+relational steps around it. Algorithms are numpy; a group is one topic's sources, and larger ones are split first."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one group at most; larger ones are an error, not cut.
-GROUP_ROWS = 5000
+from ..session import cut_lineage
+
+#: Vectors that are clustered together; larger groups are split by the side of random planes on which their vectors lie.
+GROUP_ROWS, PLANES = 5000, 12
 
 
 def cosine_distances(x: np.ndarray) -> np.ndarray:
@@ -177,8 +179,6 @@ def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str
         raise ValueError(f"unknown method: {method}")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        if len(df) > GROUP_ROWS:
-            raise ValueError(f"a group has {len(df)} rows; at most {GROUP_ROWS} can be clustered together")
         df = df.sort_values(key)
         x = np.stack(df[vector].to_list()).astype(float)
         d = cosine_distances(x)
@@ -188,11 +188,36 @@ def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str
             return spread_score(cosine_distances(np.stack([x[label == k].mean(axis=0) for k in ks]))) if len(ks) else -1.0
 
         label = max((f(d) for f in METHODS.values()), key=score) if method == "best" else METHODS[method](d)
-        return pd.DataFrame({group: df[group], key: df[key], "cluster": label.astype("int32")})
+        return pd.DataFrame({group: df[group], "__part": df["__part"], key: df[key], "cluster": label.astype("int32")})
 
     kinds = rows.schema
-    out = f"`{group}` {kinds[group].dataType.simpleString()}, `{key}` {kinds[key].dataType.simpleString()}, cluster int"
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, out)
+    out = f"`{group}` {kinds[group].dataType.simpleString()}, __part bigint, `{key}` {kinds[key].dataType.simpleString()}, cluster int"
+    parted = split_large(rows.select(group, key, vector), group, key, vector)
+    found = parted.groupBy(group, "__part").applyInPandas(run, out)
+    if parted.where("__part > 0").isEmpty():
+        return found.drop("__part")
+    # parts of a large group number their clusters one after the other
+    most = found.groupBy(group, "__part").agg((F.max("cluster") + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = found.join(most.select(group, "__part", before.alias("__before")), [group, "__part"])
+    return both.select(group, key, F.when(F.col("cluster") < 0, -1).otherwise(F.col("cluster") + F.col("__before")).cast("int").alias("cluster"))
+
+
+def split_large(rows: DataFrame, group: str, key: str, vector: str, most: int = GROUP_ROWS) -> DataFrame:
+    """rows with __part: 0 throughout small groups; in groups of more than most rows, by the sides of as many random planes as make
+    parts of half that size on average, and by the key's hash where a part is still too large (many equal vectors)."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    if sizes.isEmpty():
+        return rows.withColumn("__part", F.lit(0).cast("bigint"))
+    width = rows.select(F.size(vector).alias("n")).first()["n"]
+    rng = np.random.default_rng(7)
+    sides = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in rng.standard_normal(width)]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) > 0, 1 << k).otherwise(0) for k in range(PLANES)]
+    planes = F.least(F.lit(PLANES), F.ceil(F.log2(2 * F.col("__n") / most)))
+    side = F.pmod(sum(sides[1:], sides[0]), F.pow(F.lit(2), planes).cast("bigint"))
+    both = rows.join(F.broadcast(sizes), group, "left").withColumn("__side", F.when(F.col("__n").isNull(), 0).otherwise(side + 1).cast("bigint"))
+    full = both.groupBy(group, "__side").agg(F.ceil(F.count("*") / most).alias("__cuts"))
+    part = F.col("__side") * (1 << 20) + F.pmod(F.xxhash64(key), F.col("__cuts"))
+    return both.join(full, [group, "__side"]).select(group, key, vector, F.when(F.col("__n").isNull(), 0).otherwise(part).cast("bigint").alias("__part"))
 
 
 def members(rows: DataFrame, group: str = "topic", key: str = "id") -> DataFrame:
@@ -200,23 +225,27 @@ def members(rows: DataFrame, group: str = "topic", key: str = "id") -> DataFrame
     return rows.where("cluster >= 0").groupBy(group, "cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(key)).alias("items"))
 
 
-def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(node, rank) over edges (src, dst) after a fixed number of rounds; the ranks of nodes without exit go to all.
-    Lineage is cut every few rounds where a checkpoint folder is set."""
-    spark = edges.sparkSession
+    The links are dealt by src once and written out, ranks too every few rounds, so that neither the plan nor the cost of a lost executor grows."""
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("n"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    links = cut_lineage(e.join(out, "src").repartition("src"), "links")
+    nodes = cut_lineage(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     total = nodes.count()
     if not total:
         return nodes.withColumn("rank", F.lit(0.0))
-    links = e.join(out, "src")
-    sinks = nodes.join(out, nodes["node"] == out["src"], "left_anti")
+    sinks = cut_lineage(nodes.join(out, nodes["node"] == out["src"], "left_anti"), "sinks")
+    none = sinks.isEmpty()
     rank = nodes.withColumn("rank", F.lit(1.0 / total))
     for i in range(rounds):
-        lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = links.join(rank, links["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        rank = nodes.join(sent, nodes["node"] == sent["dst"], "left").join(F.broadcast(lost)).select("node", (F.lit((1 - damping) / total) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / total)).alias("rank"))
-        if (i + 1) % checkpoint_every == 0 and spark.conf.get("spark.checkpoint.dir", None):
-            rank = rank.checkpoint()
+        base = nodes.join(sent, nodes["node"] == sent["dst"], "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+        if none:
+            rank = base.select("node", (F.lit((1 - damping) / total) + damping * F.col("got")).alias("rank"))
+        else:
+            lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            rank = base.join(F.broadcast(lost)).select("node", (F.lit((1 - damping) / total) + damping * (F.col("got") + F.col("lost") / total)).alias("rank"))
+        if (i + 1) % cut_every == 0 and i + 1 < rounds:
+            rank = cut_lineage(rank, "rank")
     return rank

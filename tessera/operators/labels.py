@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def votes(neighbours: DataFrame, weight: Column | None = None) -> DataFrame:
     """(ref, slug, vote): summed weights, or counts, of neighbours' labels; rows (ref, other, slugs[, weight]), a ref's own row does not vote."""
@@ -30,16 +32,23 @@ def frequency_partitions(counts: DataFrame, key: str = "slug") -> DataFrame:
     return counts.withColumn("__place", place).join(F.broadcast(n)).select(key, "count", (F.col("__place") % F.col("sets")).alias("part"))
 
 
-def implied_parents(spark, edges: DataFrame, rows: DataFrame, depth: int = 32) -> DataFrame:
-    """(ref, slug) with all ancestors added, over edges (child, parent), by joins until nothing is new."""
-    all_rows = new = rows.select("ref", "slug").distinct()
-    step = edges.select(F.col("child").alias("slug"), "parent").distinct()
+def closure(edges: DataFrame, depth: int = 32) -> DataFrame:
+    """All (child, parent) pairs over one or more edges, a label hierarchy. Paths double each round, so rounds are few; each is written out, so none is computed twice."""
+    reach = cut_lineage(edges.select("child", "parent").distinct(), "closure")
+    n = reach.count()
     for _ in range(depth):
-        new = new.join(step, "slug").select("ref", F.col("parent").alias("slug")).distinct().join(all_rows, ["ref", "slug"], "left_anti")
-        if new.isEmpty():
+        more = reach.alias("x").join(reach.alias("y"), F.col("x.parent") == F.col("y.child")).select("x.child", "y.parent")
+        reach = cut_lineage(reach.union(more).distinct(), "closure")
+        before, n = n, reach.count()
+        if n == before:
             break
-        all_rows = all_rows.union(new)
-    return all_rows
+    return reach
+
+
+def implied_parents(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ref, slug) with all ancestors added, over edges (child, parent): the small hierarchy is closed first, then rows meet it once."""
+    own = rows.select("ref", "slug").distinct()
+    return own.union(own.join(closure(edges).withColumnRenamed("child", "slug"), "slug").select("ref", "parent")).distinct()
 
 
 def pairs(gold: DataFrame, predicted: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -81,3 +90,14 @@ def label_stats(both: DataFrame, universe: DataFrame | None = None) -> DataFrame
         return out
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
     return universe.select("slug").distinct().join(out, "slug", "full").select("slug", *zero)
+
+
+def label_refs(rows: DataFrame, key: str = "ref") -> DataFrame:
+    """(slug, n, refs): how many refs have each label, and which, sorted."""
+    return rows.select(key, F.explode("slugs").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("refs"))
+
+
+def complete_mean(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, mean, n) of the groups none of whose rows lacks the value."""
+    g = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.count(value).alias("__have"))
+    return g.where("n = __have").drop("__have")

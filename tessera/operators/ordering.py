@@ -80,12 +80,24 @@ def split_rows(rows: DataFrame, key: str, share: float, seed: int | str) -> Data
     return rows.withColumn("split", F.when(bucket < share, "train").otherwise("validation"))
 
 
+def first_by_hash(rows: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
+    """The first n rows in hash order, for n that may be large: buckets of hashes are counted first, and only the one where n falls is sorted."""
+    h = rows.withColumn("__h", hash_order(F.col(key), seed)).withColumn("__b", F.substring("__h", 1, 3))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = h.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__before", before)  # at most 4096 rows
+    both = h.join(F.broadcast(counts), "__b")
+    whole = both.where(F.col("__before") + F.col("__n") <= n)
+    edge = both.where((F.col("__before") < n) & (F.col("__before") + F.col("__n") > n))
+    edge = edge.withColumn("__p", F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))).where(F.col("__before") + F.col("__p") <= n)
+    return whole.select(rows.columns).unionByName(edge.select(rows.columns))
+
+
 def balanced(inputs: list[DataFrame], key: str, seed: int | str) -> DataFrame:
     """The inputs cut to the size of the smallest, in hash order, one below the other."""
     n = min(df.count() for df in inputs)
     out = None
     for i, df in enumerate(inputs):
-        part = df.orderBy(hash_order(F.col(key), seed), key).limit(n).withColumn("input", F.lit(i))
+        part = first_by_hash(df, key, n, seed).withColumn("input", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -109,3 +121,24 @@ def pack_greedy(sizes: Column, most: int) -> Column:
 
     zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("room"))
     return F.aggregate(sizes, zero, step)["out"]
+
+
+def oversample(rows: DataFrame, condition: Column, key: str, n: int, times: int, seed: int | str) -> DataFrame:
+    """Up to n rows that fulfil the condition, out of times x n drawn in hash order."""
+    order = [hash_order(F.col(key), seed), F.col(key)]
+    return rows.orderBy(*order).limit(n * times).where(condition).orderBy(*order).limit(n)
+
+
+def two_stage(rows: DataFrame, group: str, key: str, n: int, seed: int | str) -> DataFrame:
+    """One row of each of n groups, both drawn in hash order."""
+    groups = rows.select(group).distinct()
+    picked = groups.orderBy(hash_order(F.col(group), seed), group).limit(n)
+    return sample_per(rows.join(picked, group, "left_semi"), [group], key, 1, seed)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with a number from 1 over all of them by group and order: counts of the groups are summed first, so that rows are only sorted within a group."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.join(sizes.select(group, before.alias("__before")), group).withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__before")

@@ -34,18 +34,19 @@ def gibbs(rankings: list[list[int]], n: int, draws: int = 80, burn_in: int = 80,
     rng = np.random.default_rng(seed)
     if not rankings:
         return np.log(rng.gamma(shape, 1 / rate, (draws, n)))
+    size = np.array([len(r) for r in rankings])
+    col = np.arange(size.max())
+    placed = col < size[:, None]
+    items = np.full(placed.shape, n)
+    items[placed] = np.concatenate([np.asarray(r) for r in rankings])
+    stages = col < size[:, None] - 1
+    wins = shape + np.bincount(items[stages], minlength=n)[:n]
     skill, out, step = np.ones(n), [], 0
-    wins = np.full(n, shape)
-    for r in rankings:
-        for k in r[:-1]:
-            wins[k] += 1
     while len(out) < draws:
-        rates = np.full(n, rate)
-        for r in rankings:
-            own = skill[r]
-            z = rng.exponential(1 / np.cumsum(own[::-1])[::-1][:-1])
-            reach = np.append(np.cumsum(z), z.sum())
-            np.add.at(rates, r, reach)
+        own = np.append(skill, 0.0)[items]
+        left = np.cumsum(own[:, ::-1], axis=1)[:, ::-1]  # skills that remain at each stage
+        waits = np.where(stages, rng.standard_exponential(items.shape) / np.where(stages, left, 1.0), 0.0)
+        rates = rate + np.bincount(items[placed], weights=np.cumsum(waits, axis=1)[placed], minlength=n)[:n]
         skill = rng.gamma(wins, 1 / rates)
         if step >= burn_in and (step - burn_in) % thin == 0:
             out.append(np.log(skill))
@@ -169,3 +170,30 @@ def main_effects(rows: DataFrame, factors: list[str], value: str) -> DataFrame:
         one = m.select(F.lit(f).alias("factor"), "level", (F.col("m") - F.avg("m").over(Window.partitionBy(F.lit(1)))).alias("effect"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+def exposures(rankings: DataFrame) -> DataFrame:
+    """(problem, item, exposure, least): in how many rankings each item stood, and the problem's least."""
+    seen = rankings.select("problem", F.explode("items").alias("item")).groupBy("problem", "item").agg(F.count("*").alias("exposure"))
+    return seen.withColumn("least", F.min("exposure").over(Window.partitionBy("problem")))
+
+
+def dense_ranks(rows: DataFrame, score: str, name: str) -> DataFrame:
+    """rows with a dense rank by falling score. Only the distinct scores are ordered in one place."""
+    ranks = rows.select(score).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(F.desc(score))).cast("bigint"))
+    return rows.join(ranks, score)
+
+
+def simulate(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (problem, item, score) with place: a ranking drawn item by item with weights e^score. A Gumbel variable from
+    the hash of item, problem and seed on each score gives the same distribution by one sort."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("item").cast("string"), F.col("problem").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    drawn = rows.withColumn("__s", F.round(F.col("score") - F.ln(-F.ln((h + 1) / F.lit(4294967298.0))), 9))
+    return drawn.withColumn("place", F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("__s"), "item"))).drop("__s")
+
+
+def landscape(spark, n: int) -> DataFrame:
+    """(item, score) of n items: a falling line with a wave and small clusters."""
+    x = F.col("id") / F.lit(max(n - 1, 1))
+    score = 1.8 - 3.6 * x + 0.35 * F.sin(3.5 * F.pi() * x) + 0.18 * (F.col("id") % 4 - 1.5)
+    return spark.range(n).select(F.col("id").alias("item"), score.alias("score"))

@@ -20,16 +20,17 @@ KS = (1, 3, 5, 10, 20, 50)
 QUERY_BLOCK = 8192
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("v")).toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows)
+def _query_blocks(queries: DataFrame, more: list[str] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids, vectors and further columns of the stated queries, at most QUERY_BLOCK at a time; arrays are doubles."""
+    columns = [F.transform(c, lambda x: x.cast("double")).alias(c) if queries.schema[c].dataType.typeName() == "array" else F.col(c) for c in ["vector", *(more or [])]]
+    held: list[list] = []
+    for r in queries.select("query_id", *columns).toLocalIterator():
+        held.append(list(r))
+        if len(held) == QUERY_BLOCK:
+            yield tuple(map(np.array, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.array, zip(*held, strict=True)))
 
 
 def _scores(q: np.ndarray, d: np.ndarray, measure: str) -> np.ndarray:
@@ -82,16 +83,44 @@ def relevant_docs(qrels: DataFrame) -> DataFrame:
     return qrels.where(F.coalesce("relevance", F.lit(0)) > 0)
 
 
+def top_lists(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, top: array of struct(rank, doc_id, is_relevant), in order)."""
+    rel = relevant_docs(qrels).select("query_id", "doc_id", F.lit(True).alias("is_relevant")).distinct()
+    rows = ranked.join(rel, ["query_id", "doc_id"], "left").withColumn("is_relevant", F.coalesce("is_relevant", F.lit(False)))
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "is_relevant"))).alias("top"))
+
+
 def first_relevant_rank(docs: DataFrame, queries: DataFrame, qrels: DataFrame, measure: str = "cosine") -> DataFrame:
-    """(query_id, first_relevant_rank): inf where no relevant document is there. Two aggregates, no sort of all pairs."""
-    pair = docs.select("doc_id", "vector").join(queries.select("query_id", F.col("vector").alias("q")), how="cross")
+    """(query_id, first_relevant_rank): inf where no relevant document is there. Relevant pairs are scored by joins; then every
+    batch of documents counts, for each query of a block, those ahead of the query's best relevant one."""
+    rel = relevant_docs(qrels).select("query_id", "doc_id").distinct()
+    pair = rel.join(docs.select("doc_id", "vector"), "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
     scored = pair.select("query_id", "doc_id", vector.measure(measure, F.col("q"), F.col("vector")).alias("score"))
-    marked = scored.join(relevant_docs(qrels).select("query_id", "doc_id", F.lit(1).alias("rel")).distinct(), ["query_id", "doc_id"], "left")
-    best = marked.where("rel = 1").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("best"))
-    ahead = scored.join(best, "query_id").where((F.col("score") > F.col("best.score")) | ((F.col("score") == F.col("best.score")) & (F.col("doc_id") < -F.col("best.d"))))
-    count = ahead.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = best.join(count, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + 1).cast("double").alias("first_relevant_rank"))
-    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("first_relevant_rank", F.lit(float("inf"))).alias("first_relevant_rank"))
+    best = scored.groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", (-F.col("doc_id")).alias("d"))).alias("best"))
+    marked = queries.join(best, "query_id").select("query_id", "vector", "best")
+    targets = marked.join(docs.select(F.col("doc_id").alias("best"), F.col("vector").alias("target")), "best")
+    out = None
+    for ids, q, t, doc in _query_blocks(targets, ["target", "best"]):
+
+        def run(batches, ids=ids, q=q, t=t, doc=doc):
+            edge = np.array([_scores(a[None], b[None], measure)[0, 0] for a, b in zip(q, t, strict=True)])
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = b.column("vector")
+                own = b.column("doc_id").to_numpy()
+                score = _scores(q, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1), measure)
+                same = np.abs(score - edge[:, None]) <= 1e-12
+                ahead = np.where(same, own < doc[:, None], score > edge[:, None]) & (own != doc[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ahead.sum(axis=1))], ["query_id", "n"])
+
+        part = docs.select("doc_id", "vector").mapInArrow(run, "query_id bigint, n bigint")
+        out = part if out is None else out.unionAll(part)
+    none = F.lit(float("inf"))
+    if out is None:
+        return queries.select("query_id", none.alias("first_relevant_rank"))
+    found = out.groupBy("query_id").agg((F.sum("n") + 1).cast("double").alias("first_relevant_rank"))
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("first_relevant_rank", none).alias("first_relevant_rank"))
 
 
 def query_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:

@@ -81,13 +81,27 @@ def eval_breakdowns(spark: SparkSession, d: str) -> DataFrame:
     return out.select("grouping", "group_value", "query_count", *[F.round(n, 6).alias(n) for n in ("ndcg_10", "recall_10", "mrr_10")])
 
 
-@query(f"{_COSINE} SELECT query_id, list({{'doc_id': doc_id, 'rank': CAST(rank AS INT), 'is_relevant': rel = 1}} ORDER BY rank)::VARCHAR IS NOT NULL AS filled, CAST(sum(rel) AS BIGINT) AS relevant, CAST(count(*) AS BIGINT) AS listed FROM r WHERE rank <= 10 GROUP BY query_id")
+@query(f"{_COSINE} SELECT query_id, string_agg(rank || ':' || doc_id || ':' || rel, ',' ORDER BY rank) AS top FROM r WHERE rank <= 10 GROUP BY query_id")
 def top10_lists(spark: SparkSession, d: str) -> DataFrame:
     ranked = retrieval.rank(_docs(spark, d), _queries(spark, d), 10)
-    rel = _qrels(spark, d).select("query_id", "doc_id", F.lit(True).alias("is_relevant"))
-    rows = ranked.join(rel, ["query_id", "doc_id"], "left").withColumn("is_relevant", F.coalesce("is_relevant", F.lit(False)))
-    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "is_relevant"))).alias("top"))
-    return lists.select("query_id", F.col("top").isNotNull().alias("filled"), F.size(F.filter("top", lambda x: x["is_relevant"])).cast("bigint").alias("relevant"), F.size("top").cast("bigint").alias("listed"))
+    lists = retrieval.top_lists(ranked, _qrels(spark, d))
+    one = lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"].cast("string"), x["is_relevant"].cast("int").cast("string"))
+    return lists.select("query_id", F.array_join(F.transform("top", one), ",").alias("top"))
+
+
+@query(f"""{_COSINE}, {_metric_sql()}, f AS (SELECT query_id, min(CASE WHEN rel = 1 THEN rank END) AS first FROM r GROUP BY query_id),
+g AS (SELECT m.*, f.first, CAST(label AS VARCHAR) AS label, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS kind, 'c' || (label % 3) AS category FROM m JOIN f USING (query_id) JOIN embeddings ON vec_id = query_id)
+SELECT CASE grouping(label, kind, category) WHEN 7 THEN 'overall' WHEN 3 THEN 'label' WHEN 5 THEN 'kind' ELSE 'category' END AS grouping, CASE grouping(label, kind, category) WHEN 7 THEN 'all' WHEN 3 THEN label WHEN 5 THEN kind ELSE category END AS group_value,
+ count(*) AS query_count, round(avg(first), 6) AS mean_first_relevant_rank, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM g GROUP BY GROUPING SETS ((), (label), (kind), (category))""")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All 19 means, overall and by three keys."""
+    docs, queries, qrels = _docs(spark, d), _queries(spark, d), _qrels(spark, d)
+    ranked = retrieval.rank(docs, queries, max(retrieval.KS))
+    first = retrieval.first_relevant_rank(docs, queries, qrels).withColumnRenamed("first_relevant_rank", "mean_first_relevant_rank")
+    m = retrieval.query_metrics(ranked, qrels, queries).join(first, "query_id").join(queries.select("query_id", "label"), "query_id")
+    m = m.withColumn("kind", F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd")).withColumn("category", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
+    names = [*_NAMES, "mean_first_relevant_rank"]
+    return retrieval.breakdowns(m, names, ["label", "kind", "category"]).select("grouping", "group_value", "query_count", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query(f"""{_COSINE}, {_metric_sql()}, g AS (SELECT label, round(avg(ndcg_10), 6) AS a, round(avg(recall_50), 6) AS b FROM m JOIN embeddings ON vec_id = query_id GROUP BY label)
@@ -98,10 +112,10 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT e.vec_id AS query_id, CASE WHEN count(DISTINCT d.lang) = 0 THEN 'unknown' WHEN count(DISTINCT d.lang) = 1 THEN min(d.lang) ELSE 'mixed' END AS category
-FROM embeddings e LEFT JOIN documents d ON d.doc_id % 40 = e.vec_id AND d.doc_id % 3 > 0 WHERE e.vec_id < 60 GROUP BY 1) SELECT * FROM j""")
+FROM embeddings e LEFT JOIN documents d ON d.doc_id % 40 = e.vec_id AND d.doc_id % 3 > 0 GROUP BY 1) SELECT * FROM j""")
 def query_category(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"))
-    q = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("query_id"))
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"))
     rel = docs.withColumn("query_id", F.col("doc_id") % 40).join(q, "query_id", "right").select("query_id", "doc_id", F.when(F.col("doc_id") % 3 > 0, 1).otherwise(0).alias("relevance"))
     return retrieval.query_category(rel, docs)
 
@@ -190,7 +204,7 @@ def hierarchy_closure(spark: SparkSession, d: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(spark, d, "nation").select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent"))
     edges = edges.union(table(spark, d, "region").select(key("r", "r_regionkey"), F.lit("world")))
-    return labels.implied_parents(spark, edges, table(spark, d, "customer").select(F.col("c_custkey").alias("ref"), key("n", "c_nationkey").alias("slug")))
+    return labels.implied_parents(edges, table(spark, d, "customer").select(F.col("c_custkey").alias("ref"), key("n", "c_nationkey").alias("slug")))
 
 
 
@@ -205,7 +219,38 @@ def centre_distances(spark: SparkSession, d: str) -> DataFrame:
     return dist.groupBy(F.col("a").alias("label")).agg(F.round(F.sum("dist") / F.count("*"), 6).alias("avg_distance"), F.round(F.min("dist"), 6).alias("nearest"))
 
 
-@query(f"WITH e AS ({_V}) SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, len(v)::INT AS dim, round(list_dot_product(v, v) / nullif(list_dot_product(v, v), 0), 6) AS unit FROM e")
+@query(f"WITH e AS ({_V}) SELECT vec_id, unnest(range(len(v))) AS i, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM e")
 def normalise(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", vector.normalize(F.col("embedding")).alias("n"))
-    return e.select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dim"), F.round(vector.dot(F.col("n"), F.col("n")), 6).alias("unit"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(vector.normalize(F.col("embedding"))).alias("i", "x"))
+    return e.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH e AS ({_V}), u AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM e), a AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS v FROM a GROUP BY label),
+d AS (SELECT p.label AS a, min(1 - list_cosine_similarity(p.v, q.v)) AS near FROM c p, c q WHERE p.label <> q.label GROUP BY 1) SELECT count(*) AS clusters, round(0.7 * (1 - least(abs(count(*) - 20), 40) / 40) + avg(near), 6) AS score FROM d""")
+def spread_score(spark: SparkSession, d: str) -> DataFrame:
+    """How well separated the labels' centres are, and how near their number is to 20."""
+    near = centre_distances(spark, d)
+    n = F.count("*")
+    return near.agg(n.alias("clusters"), F.round(0.7 * (1 - F.least(F.abs(n - 20), F.lit(40)) / 40) + F.avg("nearest"), 6).alias("score"))
+
+
+_WEIGHTS = "WITH e AS (SELECT event_id, value / 1000 + 0.6 AS r FROM events), c AS (SELECT event_id, r, 1 - power(sqrt(2) * (1 - r), 2) / 2 AS c FROM e)"
+
+
+@query(f"{_WEIGHTS} SELECT event_id, round(c, 6) AS cosine, round(power(1 - sqrt(greatest(0, 1 - c * c)), 10), 6) AS sine, round(1 - acos(greatest(-1, least(1, c))) / pi(), 6) AS linear, 1.0::DOUBLE AS naive FROM c")
+def vote_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Four ways to weigh a neighbour's vote by its relevance."""
+    r = F.col("value") / 1000 + 0.6
+    cos = vector.relevance_cosine(r)
+    return table(spark, d, "events").select("event_id", F.round(cos, 6).alias("cosine"), F.round(vector.relevance_weight(r, 10.0), 6).alias("sine"), F.round(vector.linear_similarity(cos), 6).alias("linear"), F.lit(1.0).alias("naive"))
+
+
+@query(f"""{_COSINE}, g AS (SELECT unnest([5, 10, 20]) AS k), p AS (SELECT k, query_id, sum(rel) FILTER (rank <= k) / sum(rel) AS recall FROM r, g GROUP BY ALL), a AS (SELECT k, round(avg(recall), 9) AS recall FROM p GROUP BY k)
+SELECT k, round(recall, 6) AS recall FROM a ORDER BY recall DESC, k LIMIT 1""")
+def best_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The number of neighbours with the highest mean recall, of a grid."""
+    ranked, qrels = retrieval.rank(_docs(spark, d), _queries(spark, d), 20), _qrels(spark, d)
+    grid = retrieval.experiment_grid(spark, k=[5, 10, 20])
+    wide = retrieval.query_metrics(ranked, qrels, _queries(spark, d), (5, 10, 20)).agg(*[F.round(F.avg(f"recall_{k}"), 9).alias(f"{k}") for k in (5, 10, 20)])
+    long = wide.unpivot([], ["5", "10", "20"], "k", "recall").withColumn("k", F.col("k").cast("int"))
+    return grid.select(F.col("k").cast("int").alias("k")).join(long, "k").orderBy(F.desc("recall"), "k").limit(1).select("k", F.round("recall", 6).alias("recall"))

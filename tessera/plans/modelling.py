@@ -12,7 +12,10 @@ from .relational import _rankings
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select((F.col("vec_id") % 25).alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    """Topics of about 100 vectors, 25 at least."""
+    e = table(spark, d, "embeddings")
+    topics = max(25, e.count() // 100)
+    return e.select((F.col("vec_id") % topics).alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 for _m in ("agglomerative", "affinity", "density", "best"):

@@ -164,9 +164,9 @@ def all_of_topic(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("n_nationkey").agg(F.coalesce(F.bool_and(F.col("c_acctbal") > -900), F.lit(True)).alias("all_good"), F.count("c_custkey").alias("n"))
 
 
-@query("SELECT o_custkey, round(max(o_totalprice), 2) AS top, round(avg(o_totalprice), 2) AS mean, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '') AS states FROM orders GROUP BY o_custkey HAVING count(*) >= 5")
+@query("SELECT o_custkey, round(max(o_totalprice), 2) AS top, round(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*)) AS mean_cents, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '') AS states FROM orders GROUP BY o_custkey HAVING count(*) >= 5")
 def passage_rollup(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.max("o_totalprice"), 2).alias("top"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("states"), F.count("*").alias("n"))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.max("o_totalprice"), 2).alias("top"), F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count("*")).alias("mean_cents"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("states"), F.count("*").alias("n"))
     return g.where("n >= 5").drop("n")
 
 
@@ -194,17 +194,17 @@ def symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
     return a.subtract(b).select(F.lit("only_1").alias("side"), "source").union(b.subtract(a).select(F.lit("only_2"), "source"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS book, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem WHERE l_orderkey % 40 = 0),
-t AS (SELECT ps.l_suppkey AS book, l_partkey - 5 AS start, l_partkey + 60 AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem ps WHERE l_orderkey % 40 = 1)
+@query("""WITH r AS (SELECT l_suppkey AS book, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem WHERE l_returnflag = 'R'),
+t AS (SELECT ps.l_suppkey AS book, l_partkey - 5 AS start, l_partkey + 60 AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem ps WHERE l_returnflag = 'A')
 SELECT t.ref AS outer_ref, r.ref AS inner_ref FROM t JOIN r ON t.book = r.book AND t.start <= r.start AND r."end" <= t."end" """)
 def containment(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), "l_orderkey")
-    inner = li.where("l_orderkey % 40 = 0").drop("l_orderkey")
-    outer = li.where("l_orderkey % 40 = 1").select("book", (F.col("start") - 5).alias("start"), (F.col("start") + 60).alias("end"), "ref")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), "l_returnflag")
+    inner = li.where("l_returnflag = 'R'").drop("l_returnflag")
+    outer = li.where("l_returnflag = 'A'").select("book", (F.col("start") - 5).alias("start"), (F.col("start") + 60).alias("end"), "ref")
     return intervals.containment_join(outer, inner).select(F.col("a_ref").alias("outer_ref"), F.col("b_ref").alias("inner_ref"))
 
 
-_R = 'SELECT l_suppkey AS book, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem WHERE l_orderkey % 20 = 0'
+_R = 'SELECT l_suppkey AS book, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end", l_orderkey * 10 + l_linenumber AS ref FROM lineitem'
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +219,7 @@ def nested_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all_refs(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("book"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"))
 
 
@@ -229,9 +229,9 @@ def merge_close(spark: SparkSession, d: str) -> DataFrame:
     return intervals.merge_close(_all_refs(spark, d), 2)
 
 
-@query(f"""WITH r AS (SELECT ref, min(book) AS book, min(start) AS start, min("end") AS "end" FROM ({_R}) GROUP BY ref HAVING count(*) = 1) SELECT ref FROM r WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_suppkey AS book, l_partkey AS s, l_partkey + 3 AS e FROM lineitem WHERE l_orderkey % 20 = 7) o WHERE o.book = r.book AND r.start <= o.e AND o.s <= r."end")""")
+@query(f"""WITH r AS (SELECT ref, min(book) AS book, min(start) AS start, min("end") AS "end" FROM ({_R}) GROUP BY ref HAVING count(*) = 1) SELECT ref FROM r WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_suppkey AS book, l_partkey AS s, l_partkey + 3 AS e FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08) o WHERE o.book = r.book AND r.start <= o.e AND o.s <= r."end")""")
 def free_of_overlap(spark: SparkSession, d: str) -> DataFrame:
-    taken = table(spark, d, "lineitem").where("l_orderkey % 20 = 7").select(F.col("l_suppkey").alias("book"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 3).alias("end"))
+    taken = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_discount > 0.08").select(F.col("l_suppkey").alias("book"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 3).alias("end"))
     return intervals.without_overlap(_refs(spark, d), taken).select("ref")
 
 
@@ -279,30 +279,32 @@ def context_of_turn(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next_role"), F.coalesce(F.lag(F.length("text")).over(w), F.lit(-1)).cast("bigint").alias("before"))
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0), e AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t),
-g AS (SELECT src, count(*) AS n FROM e GROUP BY src), k AS (SELECT count(*) AS k FROM g), r0 AS (SELECT src AS node, 1.0::DOUBLE / k AS r FROM g, k),
-r1 AS (SELECT dst AS node, 0.15 / max(k) + 0.85 * sum(r / n) AS r FROM e JOIN r0 ON e.src = r0.node JOIN g ON g.src = e.src, k GROUP BY dst),
-r2 AS (SELECT dst AS node, 0.15 / max(k) + 0.85 * sum(r / n) AS r FROM e JOIN r1 ON e.src = r1.node JOIN g ON g.src = e.src, k GROUP BY dst) SELECT node, round(r * 1000, 6) AS rank FROM r2""")
+_ROUNDS = 10
+_RANKS = ", ".join(f"r{i + 1} AS (SELECT dst AS node, 0.15 / max(k) + 0.85 * sum(r / n) AS r FROM e JOIN r{i} ON e.src = r{i}.node JOIN g ON g.src = e.src, k GROUP BY dst)" for i in range(_ROUNDS))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t),
+g AS (SELECT src, count(*) AS n FROM e GROUP BY src), k AS (SELECT count(*) AS k FROM g), r0 AS (SELECT src AS node, 1.0::DOUBLE / k AS r FROM g, k), {_RANKS} SELECT node, round(r * 1000, 6) AS rank FROM r{_ROUNDS}""")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import cluster
 
-    t = table(spark, d, "orders").where("o_custkey % 10 = 0").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
-    return cluster.page_rank(t.union(t.select("dst", "src")), rounds=2).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    t = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+    return cluster.page_rank(t.union(t.select("dst", "src"))).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
-@query("""WITH p AS (SELECT o_custkey AS problem, o_orderkey AS ranking, l_partkey % 12 AS item, min(l_linenumber) AS pos FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 0 GROUP BY 1, 2, 3),
+@query("""WITH p AS (SELECT o_custkey AS problem, o_orderkey AS ranking, l_partkey % 12 AS item, min(l_linenumber) AS pos FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
 q AS (SELECT problem, ranking, item, row_number() OVER (PARTITION BY ranking ORDER BY pos, item) - 1 AS i, count(*) OVER (PARTITION BY ranking) AS n FROM p)
 SELECT problem, item, sum((i < n - 1)::INT) + 1.5::DOUBLE AS shape, sum(least(i + 1, n - 1)) + 1.0::DOUBLE AS rate FROM q GROUP BY problem, item""")
 def pl_sufficient_stats(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import ranking
 
-    return ranking.sufficient_statistics(_rankings(spark, d, "o_custkey % 5 = 0"))
+    return ranking.sufficient_statistics(_rankings(spark, d))
 
 
-def _rankings(spark: SparkSession, d: str, of: str = "true") -> DataFrame:
-    """The rankings of the customers of that condition."""
+def _rankings(spark: SparkSession, d: str) -> DataFrame:
+    """Each order ranks its items for its customer."""
     li = table(spark, d, "lineitem").withColumn("item", F.col("l_partkey") % 12)
-    p = table(spark, d, "orders").where(of).join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
+    p = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
     return p.groupBy(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("ranking")).agg(items.alias("items"))
 
@@ -390,9 +392,9 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", vector.cache_key("m", 64, "doc", F.col("text")).alias("key"))
 
 
-@query("SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS origin, doc_id FROM documents WHERE doc_id < 100")
+@query("SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS origin, doc_id FROM documents")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 100")
+    docs = table(spark, d, "documents")
     old = docs.select("source", F.lit("old").alias("origin"), "doc_id")
     return writers.upsert(old, docs.where("doc_id % 2 = 0").select("source", F.lit("new").alias("origin"), "doc_id"), ["doc_id"]).select("source", "origin", "doc_id")
 
@@ -403,11 +405,10 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return readers.segments(c, "parts", "conv_id").select("conv_id", F.col("index").cast("bigint").alias("index"), F.length("text").cast("bigint").alias("n"))
 
 
-@query("SELECT 'u' || n AS pos, CASE WHEN n_all <= 90 OR n >= n_all - 80 THEN -1 ELSE n // 80 END AS chunk FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, count(*) OVER () AS n_all FROM documents WHERE lang = 'de')")
+@query("SELECT doc_id, CASE WHEN n_all <= 90 OR n >= n_all - 80 THEN -1 ELSE n // 80 END AS chunk FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS n_all FROM documents)")
 def ref_chunks(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import chunking
 
-    de = table(spark, d, "documents").where("lang = 'de'").select("doc_id")
-    n = de.count()
-    place = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return de.withColumn("n", place).select(F.concat(F.lit("u"), F.col("n").cast("string")).alias("pos"), chunking.ref_chunks(F.lit(n), F.col("n")).alias("chunk"))
+    own = Window.partitionBy("source")
+    place, n = F.row_number().over(own.orderBy("doc_id")) - 1, F.count("*").over(own)
+    return table(spark, d, "documents").select("doc_id", place.alias("n"), n.alias("n_all")).select("doc_id", chunking.ref_chunks(F.col("n_all"), F.col("n")).alias("chunk"))

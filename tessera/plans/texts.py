@@ -59,8 +59,12 @@ for _n in (2, 3, 4):
 def _ngrams(docs: DataFrame, n: int, top: int = 2000) -> DataFrame:
     """The most frequent n-grams of words; counted over all texts, the cut is the report's."""
     w = docs.select(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "").alias("w")).where(F.size("w") >= n)
-    grams = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram")) if n > 1 else w.select(F.explode("w").alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(top)
+    if n == 1:
+        return w.select(F.explode("w").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(top)
+    parts = [F.slice("w", k + 1, F.size("w") - (n - 1)) for k in range(n)]
+    grams = w.select(F.explode(F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)])).alias("g")).select("g.*")
+    names = [f"`{c}`" for c in grams.columns]
+    return grams.groupBy(*names).agg(F.count("*").alias("n")).select(F.concat_ws(" ", *names).alias("gram"), "n").orderBy(F.desc("n"), "gram").limit(top)
 
 
 @query("SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\\x{0590}-\\x{05FF}]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'he' ELSE 'en' END AS script FROM documents")
@@ -68,9 +72,9 @@ def detect_script(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("script"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS clean FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS clean FROM documents")
 def normalise_space(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", text.normalize_space(F.col("text")).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", text.normalize_space(F.col("text")).alias("clean"))
 
 
 @query("SELECT item_id, len(list_filter(list_transform(string_split(replace(replace(text, ',', ',' || chr(1)), ':', ':' || chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> ''))::INT AS clauses FROM benchmark")
@@ -106,9 +110,9 @@ def clamp_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.clamp_score(raw).alias("level"))
 
 
-@query("SELECT doc_id, substr(text, 1, 5) || '<citation>' || substr(text, 6, 10) || '</citation>' || substr(text, 16) AS marked FROM documents WHERE length(text) > 20 AND doc_id % 4 = 0")
+@query("SELECT doc_id, substr(text, 1, 5) || '<citation>' || substr(text, 6, 10) || '</citation>' || substr(text, 16) AS marked FROM documents WHERE length(text) > 20")
 def mark_citation(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where((F.length("text") > 20) & (F.col("doc_id") % 4 == 0))
+    docs = table(spark, d, "documents").where(F.length("text") > 20)
     return docs.select("doc_id", text.mark_citation(F.col("text"), F.lit(5), F.lit(15)).alias("marked"))
 
 
@@ -118,9 +122,9 @@ def truncate_budget(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, 1, 12), " ").alias("head"))
 
 
-@query("SELECT doc_id, concat_ws(' | ', source, lang, text) AS rendered, coalesce(nullif(text, ''), source) AS fallback FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, concat_ws(' | ', source, lang, text) AS rendered, coalesce(nullif(text, ''), source) AS fallback FROM documents")
 def render_variants(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.concat_ws(" | ", "source", "lang", "text").alias("rendered"), F.coalesce(F.nullif(F.col("text"), F.lit("")), "source").alias("fallback"))
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,3 +28,27 @@ def local(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
     conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true"}
     return prepare(SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir; else a temporary one in a local session, and one below the warehouse on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_shared"
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tessera-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return "file://" + _LOCAL[0]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written to the shared folder and read back, so that plans do not grow with rounds and lost executors cost no more than a read."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

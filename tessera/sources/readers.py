@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,32 @@ def dataset(docs: DataFrame, confounders: DataFrame | None, queries: DataFrame,
     return {"docs": docs, "queries": queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), "qrels": qrels}
 
 
-def link_texts(html: str) -> F.Column:
+def link_texts(html: str) -> Column:
     """Texts of the links in a page."""
     return F.transform(F.regexp_extract_all(F.col(html), F.lit("(?s)<a\\s[^>]*>(.*?)</a>"), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+
+
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, condition: Column | None = None) -> DataFrame:
+    """A landed collection as Parquet; condition and columns are pushed down to the files."""
+    rows = spark.read.parquet(path)
+    rows = rows if condition is None else rows.where(condition)
+    return rows if columns is None else rows.select(*columns)
+
+
+def service_links(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, a, b): the links of landed JSON answers (lists of {"refs": [a, b]}); answers that are no list give none."""
+    listed = F.from_json(F.when(F.trim(body).startswith("["), F.col(body)), "array<struct<refs:array<string>>>")
+    links = rows.select(key, F.explode(listed).alias("x")).where(F.size("x.refs") == 2)
+    return links.select(key, F.col("x.refs")[0].alias("a"), F.col("x.refs")[1].alias("b"))
+
+
+def paragraphs(html: str) -> Column:
+    """The texts of a page's paragraphs, markup off, white space made one."""
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), "[ \\t\\n\\r\\f\\x0B]+", " "))
+    return F.trim(F.array_join(F.transform(F.regexp_extract_all(F.col(html), F.lit("(?s)<p>(.*?)</p>"), 1), clean), " "))
+
+
+def first_in_language(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(ref, text): each reference's first text (by order_id) in the first of the languages that it has."""
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang"))
+    return rows.where(F.col("lang").isin(langs)).groupBy("ref").agg(F.min_by("text", F.struct(place.alias("p"), "order_id")).alias("text"))

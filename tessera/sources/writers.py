@@ -58,3 +58,9 @@ def html_table(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
 def option_columns(rows: DataFrame, options: str, n: int) -> DataFrame:
     """rows with 'Option 1' to 'Option n' in place of the array."""
     return rows.select("*", *[F.get(options, F.lit(i)).alias(f"Option {i + 1}") for i in range(n)]).drop(options)
+
+
+def set_comparison(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, only_a, only_b, common): two arrays as sets, each part joined by |."""
+    part = lambda c, name: F.array_join(c, "|").alias(name)
+    return rows.select(key, part(F.array_except(a, b), "only_a"), part(F.array_except(b, a), "only_b"), part(F.array_intersect(a, b), "common"))
