@@ -2,18 +2,22 @@
 
 Four base patterns find spans that always count. Beyond them, broad patterns propose candidates on which
 labelers vote: strict patterns, gazetteers of cue words and of mail domains, and context. How reliable each
-labeler is for each kind is estimated by expectation-maximisation over the vote patterns of the whole corpus
-(their counts are few, whatever its size), and a span classifier, fitted on the estimated posteriors, decides
-which candidates become spans.
+labeler is for each kind is estimated by expectation-maximisation over the vote patterns of the whole corpus.
+A span classifier, fitted on the estimated posteriors, decides which candidates become spans; besides the votes
+it sees the span itself: its form, length, separators and the word before it. Candidates of equal votes and
+features are counted together, so what reaches the driver does not grow with the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +31,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]*[\x20().0-9-][0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Broad patterns: kinds written in other ways than the base patterns know, and labelled secrets.
+#: Broad patterns: kinds written in other ways than the base patterns know. A mail address is found by its bracketed "at".
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
+_AT_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[({]\s?dot\s?[\])}])\s?[A-Za-z0-9-]++)++", re.I)
 _BROAD = {
-    "email": re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]\s?dot\s?[\])}])\s?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[.\x20/-][0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(])(?:\([0-9]{2,4}\)|00[0-9]{2}|[0-9]{3})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![0-9])"),
@@ -109,15 +114,46 @@ def votes(kind: str, text: str, start: int, end: int) -> str:
     return shape + valid + gazetteer + cue + against + clean
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(start, kind number, end, votes) of broad matches that overlap no base span."""
+def _spelt_mails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of addresses with a bracketed "at", left to right: dot-parted words before it, a domain after it."""
+    last = 0
+    for m in _AT.finditer(text):
+        end = m.start() - (m.start() > last and text[m.start() - 1].isspace())
+        start = end
+        while start > last and text[start - 1] in _LOCAL_CHARS and text[start - 1 : start + 1] != "..":
+            start -= 1
+        if start < end and text[start] == ".":
+            start += 1
+        if start >= end or text[end - 1] == "." or m.start() < last:
+            continue
+        d = _AT_DOMAIN.match(text, m.end())
+        if d:
+            yield start, d.end()
+            last = d.end()
+
+
+def features(kind: str, text: str, start: int, end: int) -> str:
+    """What the classifier sees of a span besides the votes, comma-joined: length, form (runs of digits by length, of letters as one), separators, and the cue word next before it."""
+    span = text[start:end]
+    runs = re.findall(r"[0-9]+|[^\W\d_]+|[\W_]", span)
+    form = "".join(str(min(len(r), 9)) if r[0].isdigit() else "a" if r.isalpha() else "-" for r in runs[:12])
+    marks = "".join(sorted({"_" if r.isspace() else r for r in runs if not r.isalnum() and r.isascii()} - {","}))
+    word = re.findall(r"[^\W\d_]+", text[max(0, start - CONTEXT) : start].lower())[-1:]
+    known = word[0] if word and (word[0] in CUES[kind] or word[0] in AGAINST) else "other" if word else "none"
+    return f"length:{min(len(span) // 4, 8)},form:{form},marks:{marks},before:{known}"
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
+    """(start, kind number, end, votes, features) of broad matches that overlap no base span."""
     out = []
     if not re.search(r"[0-9]{3}|at\s?[\])}]|:[0-9A-Fa-f]{1,4}:", text, re.I):
         return out
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for k, kind in enumerate(KINDS):
-        for m in _BROAD[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
-                out.append((m.start(), k, m.end(), votes(kind, text, m.start(), m.end())))
+        for x, y in _spelt_mails(text) if kind == "email" else ((m.start(), m.end()) for m in _BROAD[kind].finditer(text)):
+            before = bisect_left(starts, y)
+            if not before or reach[before - 1] <= x:
+                out.append((x, k, y, votes(kind, text, x, y), features(kind, text, x, y)))
     return out
 
 
@@ -159,31 +195,38 @@ def posterior(r: Reliability, pattern: str) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def train(patterns: dict[tuple[str, str], int], steps: int = 300, rate: float = 0.5) -> dict[tuple[str, str], float]:
-    """The classifier's probability for each (kind, vote pattern) seen: logistic regression on votes and kind, fitted to the posteriors with the counts as weights."""
-    reliability = estimate(patterns)
-    rows = [(k, p, float(n), posterior(reliability[k], p)) for (k, p), n in sorted(patterns.items())]
-    feats = [[f"kind:{k}", *(f"{k}:{name}:{v}" for name, v in zip(LABELERS, p, strict=True) if v != "-")] for k, p, _, _ in rows]
-    w: dict[str, float] = {}
-    total = sum(n for _, _, n, _ in rows) or 1.0
+def train(patterns: dict[tuple[str, str, str], int], steps: int = 400, rate: float = 2.0) -> dict[tuple[str, str, str], float]:
+    """The classifier's probability for each (kind, votes, features) seen: logistic regression on all three, fitted to the posteriors of the votes with the counts as weights."""
+    by_votes: dict[tuple[str, str], int] = {}
+    for (k, v, _), n in patterns.items():
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    reliability, keys = estimate(by_votes), sorted(patterns)
+    if not keys:
+        return {}
+    number: dict[str, int] = {}
+    rows, cols = [], []
+    for i, (k, v, f) in enumerate(keys):
+        for name in (f"kind:{k}", *(f"{k}:{x}:{y}" for x, y in zip(LABELERS, v, strict=True) if y != "-"), *(f"{k}:{x}" for x in f.split(","))):
+            rows.append(i)
+            cols.append(number.setdefault(name, len(number)))
+    rows, cols = np.array(rows), np.array(cols)
+    n = np.array([patterns[k] for k in keys], dtype=float)
+    y, w, squares = np.array([posterior(reliability[k], v) for k, v, _ in keys]), np.zeros(len(number)), np.full(len(number), 1e-8)
+    predict = lambda: 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=len(keys)), -30, 30)))
     for _ in range(steps):
-        grad: dict[str, float] = {}
-        for (_, _, n, y), f in zip(rows, feats, strict=True):
-            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w.get(x, 0.0) for x in f)))))
-            for x in f:
-                grad[x] = grad.get(x, 0.0) + n / total * (y - q)
-        for x, g in grad.items():
-            w[x] = w.get(x, 0.0) + rate * 10 * g
-    return {(k, p): 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w.get(x, 0.0) for x in f))))) for (k, p, _, _), f in zip(rows, feats, strict=True)}
+        grad = np.bincount(cols, weights=(n / n.sum() * (y - predict()))[rows], minlength=len(w)) - 1e-5 * w
+        squares += grad * grad
+        w += rate * grad / np.sqrt(squares) * 0.1
+    return dict(zip(keys, predict().tolist(), strict=True))
 
 
 _SPAN = "struct<start:int,kind:string,end:int>"
 
 
 def _proposed(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """keep, base: array of spans, more: array of candidates with votes."""
+    """keep, base: array of spans, more: array of candidates with what is known of them (votes and features)."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-    cand = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("votes", pa.string())])
+    cand = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("votes", pa.string()), ("features", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,12 +234,18 @@ def _proposed(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
             for t in b.column("__text").to_pylist():
                 own = base_spans(t or "")
                 base.append([{"start": s, "kind": KINDS[k], "end": e} for s, k, e in own])
-                more.append([{"start": s, "kind": KINDS[k], "end": e, "votes": v} for s, k, e, v in candidates(t or "", own)])
+                more.append([{"start": s, "kind": KINDS[k], "end": e, "votes": v, "features": f} for s, k, e, v, f in candidates(t or "", own)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, type=pa.list_(span)), pa.array(more, type=pa.list_(cand))], [*keep, "base", "more"])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*schema, f"base array<{_SPAN}>", "more array<struct<start:int,kind:string,end:int,votes:string>>"]))
+    return rows.mapInArrow(run, ", ".join([*schema, f"base array<{_SPAN}>", "more array<struct<start:int,kind:string,end:int,votes:string,features:string>>"]))
+
+
+def _judged(proposed: DataFrame) -> dict[tuple[str, str, str], float]:
+    """The classifier's probability for what is known of the candidates; distinct votes and forms are few, whatever the corpus."""
+    counted = proposed.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
+    return train({(r["kind"], r["votes"], r["features"]): r["count"] for r in counted.collect()})
 
 
 def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +257,8 @@ def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
     """
     common.prepare(docs.sparkSession)
     rows = common.stage(_proposed(docs, [id_col], text_col), "pii-spans")
-    counted = rows.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes").count()
-    chance = train({(r["kind"], r["votes"]): r["count"] for r in counted.collect()})  # at most kinds x 3^labelers rows
-    yes = [F.lit(k + v) for (k, v), p in chance.items() if p >= threshold]
-    accepted = F.filter("more", lambda c: F.concat(c["kind"], c["votes"]).isin(*yes)) if yes else F.filter("more", lambda c: F.lit(False))
+    yes = [F.lit("|".join(key)) for key, p in _judged(rows).items() if p >= threshold]
+    accepted = F.filter("more", lambda c: F.concat_ws("|", c["kind"], c["votes"], c["features"]).isin(*yes)) if yes else F.filter("more", lambda c: F.lit(False))
     added = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     order = lambda x: F.struct(x["start"], F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]), x["end"])
     spans = F.transform(F.sort_array(F.transform(F.concat("base", added), lambda x: F.struct(order(x).alias("o"), x.alias("x")))), lambda y: y["x"])
@@ -227,15 +274,14 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
     """docs with every span found replaced by its kind in square brackets; overlapping spans become one, named by the first.
     The candidates' votes over all of docs decide, as in find(); columns as they came, null texts stay null."""
     common.prepare(docs.sparkSession)
-    counted = _proposed(docs, [], text_col).select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes").count()
-    yes = {key for key, p in train({(r["kind"], r["votes"]): r["count"] for r in counted.collect()}).items() if p >= threshold}
+    yes = {key for key, p in _judged(_proposed(docs, [], text_col)).items() if p >= threshold}
     at = docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         if not text:
             return text
         base = base_spans(text)
-        spans = sorted([*base, *((s, k, e) for s, k, e, v in candidates(text, base) if (KINDS[k], v) in yes)])
+        spans = sorted([*base, *((s, k, e) for s, k, e, v, f in candidates(text, base) if (KINDS[k], v, f) in yes)])
         out, last = [], 0
         for s, k, e in spans:
             if s >= last:
