@@ -34,7 +34,12 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 KEEPS_P = frozenset("article aside body button div footer form header main nav section td th table".split())
 NEVER = frozenset("head script style textarea title noscript iframe template svg math select button option object".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_PLAIN = re.compile(r"[^>\"']*+")
+_ZEROS = re.compile(r"&#([xX]?)0{2,}")
+_NUMERIC = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}|0*+[0-9]{8,});?")
+#: Elements open at once; what lies deeper counts as a child of the deepest of them, as in browsers.
+MAX_DEPTH = 512
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -50,35 +55,88 @@ class Node:
     keys: list[str] = field(default_factory=list)
 
 
+class _Tags:
+    """The tags of a page one after the other, in time that grows with its length only."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quote = {'"': -1, "'": -1}  # where the quotes next are
+
+    def _quote(self, c: str, at: int) -> int:
+        if self.quote[c] < at:
+            found = self.page.find(c, at)
+            self.quote[c] = found if found >= 0 else len(self.page) + 1
+        return self.quote[c]
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                j = page.find("-->", i + 4)
+                return i, j + 3 if j >= 0 else len(page), "", "", ""
+            if i > self.last:
+                return None
+            if page[i + 1 : i + 2] in ("!", "?"):
+                return i, page.index(">", i) + 1, "", "", ""
+            m = _NAME.match(page, i)
+            if m:
+                end = self._end(m.end())
+                return i, end + 1, m[1], m[2], page[m.end() : end]
+            at = i + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag: none within quotes that close before the page's last >."""
+        first = self.page.find(">", at)
+        if first < 0:
+            return len(self.page)
+        while (at := _PLAIN.match(self.page, at).end()) < len(self.page) and self.page[at] != ">":
+            close = self._quote(self.page[at], at + 1)
+            at = close + 1 if close < self.last else at + 1
+        return at if at < len(self.page) else first
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode are U+FFFD, however many digits they have."""
+    return html.unescape(_NUMERIC.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", text))) if "&" in text else text
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; text runs have tag "#", line breaks too with text "\\n"."""
-    nodes, stack, at = [Node("#root", -1)], [0], 0
+    nodes, stack, at, tags = [Node("#root", -1)], [0], 0, _Tags(page)
+    opened: dict[str, int] = {}
 
     def text(s: str) -> None:
         if s:
-            nodes.append(Node("#", stack[-1], text=html.unescape(s)))
+            nodes.append(Node("#", stack[-1], text=_unescaped(s)))
+
+    def drop(k: int) -> None:
+        for i in stack[k:]:
+            opened[nodes[i].tag] -= 1
+        del stack[k:]
 
     def close(names: frozenset[str], stop: frozenset[str]) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[k]].tag
             if tag in names:
-                del stack[k:]
+                drop(k)
                 return
             if tag in stop:
                 return
 
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+    while found := tags.after(at):
+        start, end, slash, name, attributes = found
+        text(page[at:start])
+        at = end
         if not name:
             continue
         tag = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+        if slash:
+            if opened.get(tag):
+                drop(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag == "br":
             nodes.append(Node("#", stack[-1], text="\n"))
@@ -88,14 +146,15 @@ def parse(page: str) -> list[Node]:
         if tag in ENDS_P:
             close(CLOSES["p"], KEEPS_P)
         names: list[str] = []
-        for q in _NAMES.finditer(m[3]):
+        for q in _NAMES.finditer(attributes):
             names.extend(_WORD.findall((q[1] or q[2] or q[3] or "").lower()))
         nodes.append(Node(tag, stack[-1], tuple(names)))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/") and len(stack) <= MAX_DEPTH:
             stack.append(len(nodes) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
     text(page[at:])
     return nodes
 
