@@ -39,7 +39,23 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns as they came."""
-    drop = exact_classes(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(docs.columns)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """Exactly one row of docs for each text (A-Z lower-cased), with the columns as they came: that with the largest id.
+
+    Rows are judged by id and text, so a row of its own text stays even where its id recurs with another text. Of
+    rows that share both, or have null ids only, the one that sorts last as JSON stays. Null texts count as empty.
+    """
+    norm = common.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    found = exact_classes(docs, id_col, text_col, salts)
+    judged = common.stage(found.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-judged")
+    drop = judged.where(~F.col("kept")).select("__id", "__sha").distinct()
+    rows = docs.withColumn("__own", F.sha2(norm, 256))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    left = rows.join(drop, same, "left_anti")
+    again = common.stage(judged.where("kept").groupBy("__sha").count().where("count > 1").select("__sha"), "exact-repeated")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    here = F.col("__own") == F.col("__sha")
+    row = F.struct(*docs.columns)
+    one = left.join(again, here, "left_semi").groupBy("__own", norm.alias("__norm")).agg(F.max_by(row, F.to_json(row)).alias("row"))
+    return left.join(again, here, "left_anti").select(docs.columns).unionByName(one.select("row.*"))
