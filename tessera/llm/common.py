@@ -64,6 +64,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+class Scratch:
+    """The staged tables of one call; they are deleted once its result is staged itself."""
+
+    def __init__(self) -> None:
+        self.held: list[Staged] = []
+
+    def stage(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        self.held.append(Staged(df, name, wide))
+        return self.held[-1].df
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        for s in self.held:
+            s.drop()
+        self.held.clear()
+        return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -122,30 +140,34 @@ def freeing(run: Callable[[Iterator], Iterator], clear: Callable[[], None] | Non
     return whole
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of undirected edges (a, b: bigint): one row (node, root) per node that has an edge.
 
     Every round maps each node to the neighbour (or itself) that comes first in a random order, then
     contracts the edges; a constant share of the nodes goes each round, whatever the graph's diameter.
     Only aggregates and equi-joins run, so hubs are pre-aggregated on the map side and skewed joins can
     be split; each round is written to the shared folder and nothing is collected but an emptiness test.
+    The rounds' maps, each smaller than the one before, are then joined from the last to the first.
     """
-    spark, maps, round_no = edges.sparkSession, [], 0
+    maps, round_no, scratch = [], 0, scratch or Scratch()
     tidy = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = Staged(tidy(edges), f"{name}-edges0")
     while round_no == 0 or not now.df.isEmpty():
         order = lambda c, r=round_no: F.struct(F.xxhash64(c, F.lit(r)).alias("p"), c.alias("n"))
         both = now.df.union(now.df.select("b", "a"))
         best = both.groupBy(F.col("a").alias("node")).agg(F.min(order(F.col("b"))).alias("m"))
-        to = Staged(best.select("node", F.least(F.col("m"), order(F.col("node")))["n"].alias("root")), f"{name}-map{round_no}")
-        maps.append(to.df)
-        left = to.df.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = to.df.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        to = scratch.stage(best.select("node", F.least(F.col("m"), order(F.col("node")))["n"].alias("root")), f"{name}-map{round_no}")
+        maps.append(to)
+        left = to.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        right = to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         new = Staged(tidy(now.df.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), f"{name}-edges{round_no + 1}")
         now.drop()
         now, round_no = new, round_no + 1
-    out = maps[0]
-    for m in maps[1:]:
-        step = m.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    now.drop()
+    out = maps.pop()
+    while maps:
+        step = out.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        out = maps.pop().join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        if len(maps) % 6 == 5:
+            out = scratch.stage(out, f"{name}-roots")
     return out

@@ -309,14 +309,14 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
     """
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    staged = common.Staged(blocks_of(rows, folds, held), "lm-blocks", wide=True)
-    blocks = staged.df
+    scratch = common.Scratch()
+    blocks = scratch.stage(blocks_of(rows, folds, held), "lm-blocks", wide=True)
     tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     segments = max(1, -(-2 * tokens * BITS_EACH // (8 * limit)))
     share = max(1, 2 * tokens // (4 * segments))
     often = blocks.select(F.explode("heavy").alias("h")).groupBy("h.w").agg(F.sum("h.c").alias("c")).where(F.col("c") > share)
     salts = {r["w"]: -(-r["c"] // share) for r in often.collect()}  # at most tokens / share, so 2 x segments, rows
-    answers = common.Staged(_asks(blocks.drop("heavy"), segments, salts).groupBy("seg").applyInArrow(_answer, _ANSWER), "lm-answers", wide=True).df
+    answers = scratch.stage(_asks(blocks.drop("heavy"), segments, salts).groupBy("seg").applyInArrow(_answer, _ANSWER), "lm-answers", wide=True)
     r = answers.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "mass")]).first()
     total, vocabulary, mass = r["n"], r["v"], r["mass"]
     summed = answers.where("block = -1").select(F.explode("hot").alias("h")).groupBy("h.w").agg(F.sum("h.s").alias("s"), F.sum("h.t").alias("t"))
@@ -350,4 +350,4 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     mine = blocks.drop("heavy", "tokens").groupBy("block").cogroup(answers.where("block >= 0").drop("n", "v", "mass", "hot").groupBy("block"))
-    return mine.applyInArrow(score, schema)
+    return scratch.result(mine.applyInArrow(score, schema), "lm-scores")

@@ -207,10 +207,10 @@ def _chosen(capacity: int):
     return run
 
 
-def _level(items: DataFrame, shards: int, capacity: int) -> DataFrame:
+def _level(items: DataFrame, shards: int, capacity: int, scratch: common.Scratch) -> DataFrame:
     """(shard, at: struct of item, bin, offset, fill): each shard's pieces in the best elite of its islands."""
     numbered = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    dealt = common.stage(numbered.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", *[c for c in items.columns if c != "length"]))).alias("items")), "packing-shards")
+    dealt = scratch.stage(numbered.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", *[c for c in items.columns if c != "length"]))).alias("items")), "packing-shards")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))
     none = F.lit(None).cast("array<array<int>>")
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
@@ -235,23 +235,23 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) ->
     shard_rows rows are one shard.
     """
     common.prepare(rows.sparkSession)
-    columns, level, out = rows.columns, 0, None
-    rest = common.stage(rows, "packing-pieces")
+    columns, level, out, scratch = rows.columns, 0, None, common.Scratch()
+    rest = scratch.stage(rows, "packing-pieces")
     n = rest.count()
     while True:
         shards = 1 if n <= 2 * shard_rows else -(-n // shard_rows)
-        one = common.stage(_level(rest, shards, capacity), "packing-placed")
+        one = scratch.stage(_level(rest, shards, capacity, scratch), "packing-placed")
         seq = (F.lit(level).cast("bigint") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id")
         place = [*[F.col("item")[c].alias(c) for c in columns], seq, F.col("offset").cast("bigint").alias("offset")]
         full = F.col("fill") >= capacity - int(SLACK * capacity)
         part = (one if shards == 1 else one.where(full)).select(place)
         out = part if out is None else out.unionByName(part)
         if shards == 1:
-            return out
+            return scratch.result(out, "packing-done")
         rest = one.where(~full).select(*[F.col("item")[c].alias(c) for c in columns])
         left = rest.count()
         if left >= n:  # nothing is well filled: more rounds would not help
-            return out.unionByName(one.where(~full).select(place))
+            return scratch.result(out.unionByName(one.where(~full).select(place)), "packing-done")
         n, level = left, level + 1
 
 

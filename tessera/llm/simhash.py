@@ -12,7 +12,7 @@ bits, which stays exact, and what still is too large is compared chunk against c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,9 +31,19 @@ BATCH_ROWS = 65_536
 #: Drawn bit sets and their least size, for a radius too wide for blocks: a pair whose bits differ by 15 %
 #: (word sets that overlap by 0.8) shares none of them with probability 0.008.
 TABLES, TABLE_BITS = 64, 16
+#: Parts of one component's classes when they learn its smallest id.
+SALTS = 32
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def shingles(text: bytes, shingle: int) -> Iterable[bytes]:
+    """Runs of that many words, joined by spaces, repeats included; a shorter text is one shingle, one without words has none."""
+    words = text.translate(common.LOWER_BYTES).split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+
+
 def fingerprint(text: bytes, shingle: int, seed: int, words_out: int = 1) -> np.ndarray:
     """SimHash of a UTF-8 text as words_out unsigned 64-bit words; zero if the text has no word.
 
@@ -41,15 +51,14 @@ def fingerprint(text: bytes, shingle: int, seed: int, words_out: int = 1) -> np.
     shingle is one shingle. A bit is set if it is set in more than half of the shingles' hashes: XXH64 for
     the first 64 bits, mixed anew for each further 64.
     """
-    words = text.translate(common.LOWER_BYTES).split()
-    if not words:
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(g, seed) for g in shingles(text, shingle)], dtype="<u8"), words_out)
+
+
+def majority(hashes: np.ndarray, words_out: int) -> np.ndarray:
+    """The bits set in more than half of the hashes; zero for none."""
+    if not len(hashes):
         return np.zeros(words_out, dtype=np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) <= shingle:
-        grams = [join(words)]
-    else:
-        grams = map(join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
     out = np.empty(words_out, dtype="<u8")
     for k in range(words_out):
         bits = np.unpackbits(_mixed(hashes, k).view(np.uint8), bitorder="little").reshape(len(hashes), BITS)
@@ -68,9 +77,9 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets with that Jaccard similarity, plus one standard deviation."""
+    """Differing bits expected of two shingle sets with that Jaccard similarity, plus three standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,11 +95,27 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, words: int =
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.freeing(run), "id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def set_prints(rows: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
+    """(id, own, cid, f0 ...) of rows (id, own, text): cid is the hash of the set of the text's shingles, over which the fingerprint is taken, each shingle once."""
+    names = [f"f{k}" for k in range(words)]
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array([digest(g, seed) for g in shingles(t, shingle)], dtype="<u8")) for t in common.text_bytes(b, "text")]
+            fps = np.array([majority(g, words) for g in sets], dtype=np.uint64).reshape(len(sets), words)
+            cids = np.array([digest(g.tobytes(), seed) for g in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(cids), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(words))], ["id", "own", "cid", *names])
+
+    return rows.select("id", "own", "text").mapInArrow(common.freeing(run), "id bigint, own bigint, cid bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
 class Forest:
     """Union-find over row numbers that keeps the links that merged something."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
     def _find(self, i: int) -> int:
         root = self.root
@@ -104,9 +129,10 @@ class Forest:
         if not differ.any():
             return
         for x, y in zip(a[differ].tolist(), b[differ].tolist(), strict=True):
-            x, y = self._find(x), self._find(y)
-            if x != y:
-                self.root[max(x, y)] = min(x, y)
+            i, j = self._find(x), self._find(y)
+            if i != j:
+                self.root[max(i, j)] = min(i, j)
+                self.links.append((x, y))
         while True:
             up = self.root[self.root]
             if (up == self.root).all():
@@ -156,10 +182,18 @@ def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int)
     return out
 
 
-def link_rows(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
-    """For rows [n, k] that lie bucket by bucket (sizes: rows of each), the row number that stands for each row's local component."""
+def link_rows(fps: np.ndarray, sizes: np.ndarray, radii: list[int]) -> np.ndarray:
+    """For rows [n, k] that lie bucket by bucket (sizes: rows of each), links [m, 2] of rows at most radius apart that span
+    every bucket's components: with several radii, rising, first those of the least, so that near rows are linked to each other."""
     n = len(fps)
     forest = Forest(n)
+    for radius in radii:
+        _link(forest, fps, sizes, radius)
+    return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+
+
+def _link(forest: Forest, fps: np.ndarray, sizes: np.ndarray, radius: int) -> None:
+    n = len(fps)
     starts = np.cumsum(sizes) - sizes
     left_in = np.repeat(sizes + starts, sizes) - np.arange(n) - 1  # rows of the bucket after this one
     most, words = int(sizes.max(initial=1)), -(-n // 64)
@@ -182,10 +216,9 @@ def link_rows(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
         hit = np.flatnonzero(np.unpackbits(lanes.view(np.uint8), bitorder="little"))
         if len(hit):
             forest.union(hit, hit + shift)
-    return forest.root
 
 
-def _compare(radius: int, words: int):
+def _compare(radii: list[int], words: int):
     key = ["table", "key", "part"]
 
     def of(table: pa.Table) -> pa.RecordBatch:
@@ -196,9 +229,8 @@ def _compare(radius: int, words: int):
         sizes = np.diff(np.concatenate([[0], cut, [len(ids)]]))
         keep = np.repeat(sizes, sizes) > 1
         ids, fps, sizes = ids[keep], fps[keep], sizes[sizes > 1]
-        root = link_rows(fps, sizes, radius) if len(ids) else np.zeros(0, dtype=np.int64)
-        linked = root != np.arange(len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+        links = link_rows(fps, sizes, radii) if len(ids) else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,14 +290,14 @@ def _chunked(level: DataFrame, full: DataFrame, bucket_rows: int) -> DataFrame:
     return hot.withColumn("part", F.least("own", "other") * F.col("n") + F.greatest("own", "other")).drop("n", "own", "other", "count")
 
 
-def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS, scratch: common.Scratch | None = None) -> DataFrame:
     """(table, key, part, cid, f0 ...): rows of equal table, key and part are to be compared."""
-    prints = [f"f{k}" for k in range(words)]
+    prints, scratch = [f"f{k}" for k in range(words)], scratch or common.Scratch()
     zero = F.lit(0).cast("bigint")
     if words > 1:
         keys = [F.struct(F.lit(t).cast("bigint").alias("table"), F.xxhash64(*(F.col(f"f{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(masks))).alias("key")) for t, masks in enumerate(_drawn(rows, words))]
         level = classes.select("cid", *prints, F.inline(F.array(*keys)))
-        full = common.stage(level.groupBy("table", "key").count().where(F.col("count") > bucket_rows), "simhash-full")
+        full = scratch.stage(level.groupBy("table", "key").count().where(F.col("count") > bucket_rows), "simhash-full")
         if full.isEmpty():
             return level.withColumn("part", zero)
         return level.join(full, ["table", "key"], "left_anti").withColumn("part", zero).unionByName(_chunked(level, full, bucket_rows))
@@ -274,7 +306,7 @@ def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, b
     level = spread(classes.select("cid", "f0"), F.array(*[F.lit(_signed(m)) for m in masks]))
     done = None
     for depth in range(3):
-        full = common.stage(level.groupBy("table", "key").count().where(F.col("count") > bucket_rows), "simhash-full")
+        full = scratch.stage(level.groupBy("table", "key").count().where(F.col("count") > bucket_rows), "simhash-full")
         none = full.isEmpty()
         cold = (level if none else level.join(full, ["table", "key"], "left_anti")).withColumn("part", zero)
         done = cold if done is None else done.unionByName(cold)
@@ -289,10 +321,39 @@ def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, b
     return done.unionByName(_chunked(level, full, bucket_rows))
 
 
-def near_edges(classes: DataFrame, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_edges(classes: DataFrame, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS, scratch: common.Scratch | None = None) -> DataFrame:
     """Links (a, b) between classes (cid, f0 ...) that span every component of "at most radius bits differ"; never all pairs of a group."""
-    rows = candidate_rows(classes, classes.count(), radius, words, bucket_rows).repartition(common.shuffle_partitions(classes.sparkSession), "table", "key", "part")
-    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(common.freeing(_compare(radius, words)), "a bigint, b bigint")
+    rows = candidate_rows(classes, classes.count(), radius, words, bucket_rows, scratch).repartition(common.shuffle_partitions(classes.sparkSession), "table", "key", "part")
+    radii = [radius] if words == 1 else [radius // 3, radius // 2, radius * 3 // 4, radius]
+    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(common.freeing(_compare(radii, words)), "a bigint, b bigint")
+
+
+def shingle_sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(cid, grams: the sorted distinct 32-bit hashes of the text's shingles) of rows (cid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(np.array([xxhash.xxh32_intdigest(g, seed) for g in shingles(t, shingle)], dtype=np.uint32)).view(np.int32) for t in common.text_bytes(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(own, type=pa.list_(pa.int32()))], ["cid", "grams"])
+
+    return rows.select("cid", "text").mapInArrow(common.freeing(run), "cid bigint, grams array<int>")
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets have at least that Jaccard similarity; two texts without shingles are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [(b.column(c).flatten().to_numpy(), b.column(c).offsets.to_numpy() - b.column(c).offsets[0].as_py()) for c in ("x", "y")]
+            good = np.zeros(b.num_rows, dtype=bool)
+            for k in range(b.num_rows):
+                x, y = (flat[at[k] : at[k + 1]] for flat, at in sides)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], ["a", "b"])
+
+    both = links.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(common.freeing(run), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, radius: int | None = None, shingle: int = 5, seed: int = 42, words: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,18 +368,57 @@ def near_groups(docs: DataFrame, radius: int | None = None, shingle: int = 5, se
     radius = radius_for(similarity, BITS * words) if radius is None else radius
     names = [f"f{k}" for k in range(words)]
     cid = F.col("f0") if words == 1 else F.xxhash64(*names)
-    prints = common.stage(fingerprints(docs, shingle, seed, words, id_col, text_col).withColumn("cid", cid), "simhash-prints")
-    classes = common.stage(prints.groupBy("cid", *names).agg(F.min("id").alias("least")), "simhash-classes")
-    roots = common.components(near_edges(classes, radius, words), "simhash")
-    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    group = named.join(least, "root").select("cid", "component_id")
+    scratch = common.Scratch()
+    prints = scratch.stage(fingerprints(docs, shingle, seed, words, id_col, text_col).withColumn("cid", cid), "simhash-prints")
+    classes = scratch.stage(prints.groupBy("cid", *names).agg(F.min("id").alias("least")), "simhash-classes")
+    group = _groups(classes, near_edges(classes, radius, words, scratch=scratch), scratch).select("cid", "component_id")
     text = F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names])
-    return prints.join(group, "cid").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+    return scratch.result(prints.join(group, "cid").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id"), "simhash-groups")
+
+
+def _groups(classes: DataFrame, links: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(cid, least, component_id) of classes (cid, least, ...): the least of all classes reachable over links (a, b).
+
+    Classes without a link are their own; the others of a root are combined on the map side first, so that no
+    task gets all classes of a large component."""
+    roots = common.components(links, "simhash", scratch).withColumnRenamed("node", "cid")
+    named = classes.select("cid", "least").join(roots, "cid", "left")
+    alone = named.where("root is null").select("cid", "least", F.col("least").alias("component_id"))
+    linked = named.where("root is not null")
+    salt = F.pmod(F.xxhash64("cid"), F.lit(SALTS))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.unionByName(linked.withColumn("salt", salt.cast("int")).join(dealt, ["root", "salt"]).select("cid", "least", "component_id"))
 
 
-def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays, and so do rows without doc_id; columns as they came."""
-    groups = near_groups(docs, None, shingle, seed, similarity=similarity)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, words: int = 4) -> DataFrame:
+    """The documents without near copies, columns as they came.
+
+    SimHash finds candidate links between fingerprints, and a link counts if the shingle sets have the Jaccard
+    similarity. Of each component of linked texts one row stays, that of the smallest doc_id (of several, the one
+    that comes first as JSON); a row of another text is not touched where its doc_id recurs. Null doc_ids come
+    last; null texts count as empty, and all texts without words are one group.
+    """
+    common.prepare(docs.sparkSession)
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), own.alias("own"), "text")
+    scratch = common.Scratch()
+    prints = scratch.stage(set_prints(rows, shingle, seed, words), "near-prints")
+    names = [f"f{k}" for k in range(words)]
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "own")
+    classes = scratch.stage(prints.groupBy("cid").agg(F.min(place).alias("least"), *[F.min(n).alias(n) for n in names]), "near-classes")
+    links = scratch.stage(near_edges(classes.drop("least"), radius_for(similarity, BITS * words), words, scratch=scratch).distinct(), "near-links")
+    used = links.select(F.col("a").alias("cid")).union(links.select("b")).distinct()
+    picked = classes.join(used, "cid").select("cid", F.col("least.id").alias("__id"), F.col("least.own").alias("__own"))
+    texts = rows.join(picked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own")))
+    good = scratch.stage(verified(links, shingle_sets(texts, shingle, seed).dropDuplicates(["cid"]), similarity), "near-verified")
+    judged = prints.join(_groups(classes, good, scratch).select("cid", "component_id"), "cid").select("id", "own", (place == F.col("component_id")).alias("kept"))
+    judged = scratch.result(judged, "near-judged").select(F.col("id").alias("__id"), F.col("own").alias("__own"), "kept")
+    here = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (own == F.col("__own"))
+    left = docs.join(judged.where(~F.col("kept")).drop("kept").distinct(), here, "left_anti")
+    again = common.stage(judged.where("kept").groupBy("__id", "__own").count().where("count > 1").drop("count"), "near-repeated")
+    if again.isEmpty():
+        return left
+    row = F.struct(*docs.columns)
+    one = left.join(again, here, "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return left.join(again, here, "left_anti").unionByName(one.select("__row.*"))
