@@ -135,15 +135,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     largest inner product (in double precision, on the vectors as given) first, ties to the smaller id.
 
     Rows whose vector is null, zero, or holds a null or non-finite component, whose length is not the most
-    common one, or whose id is null take no part. With fewer than k others, all are returned. Ids are taken as
-    unique; repeated rows count once.
+    common one, or whose id is null take no part. With fewer than k others, all are returned. Repeated rows count once;
+    of different vectors with one id the first in order counts.
     """
     spark = common.prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     widths = {r["n"]: r["count"] for r in rows.groupBy(F.size("v").alias("n")).count().collect()}
     width = max(widths, key=lambda w: (widths[w], w), default=0)
-    rows = rows.where(F.size("v") == width).groupBy("id").agg(F.first("v").alias("v"), F.max("q").alias("q"))
+    rows = rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     # of equal vectors, no more than the k + 1 smallest ids can be among anyone's nearest
     low = Window.partitionBy("v").orderBy("id")
     least = rows.select("v", "id").withColumn("n", F.row_number().over(low)).where(F.col("n") <= k + 1)

@@ -84,7 +84,7 @@ r(rhost, rpath, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/e
 f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule,
-  coalesce(f.action, CASE WHEN regexp_matches(p.host, '(^|[.-])(ads|bets|casino|pills|track)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(f.action, 'allow') AS verdict
 FROM p LEFT JOIN f USING (page_id)
 """
 
