@@ -3,7 +3,8 @@
 A word's input is an embedding of the word, of its 4-grams and of its 7-grams of bytes (all hashed). Texts are
 read in overlapping windows of WINDOW words, STRIDE apart, all of them; a window's states are pooled by
 attention, and a text's score is that of its most toxic window. Training has two phases: all windows bear
-their text's label, then only each text's highest windows do (multiple-instance learning).
+their text's label, then only each text's highest windows do (multiple-instance learning). Some labelled texts
+are kept out of both: on them the scores are calibrated, so that a score is about the chance of the label 1.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CACHE_WORDS, BLOCK = 150_000, 512
 #: Training texts that must hold a word or gram before it is told apart; share of words left out at random in training.
 MIN_TEXTS, DROPOUT = 3, 0.25
 INPUT = EMBED * (1 + len(GRAMS))
+#: Share of the training texts that calibrate the scores, and the toxic ones there must be among all for that.
+CALIBRATE, LEAST_TOXIC = 0.15, 40
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -67,6 +70,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Network:
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    scale: tuple[float, float] = (1.0, 0.0)  # of a text's logit: factor and shift
 
     @classmethod
     def fresh(cls, seed: int = 0) -> Network:
@@ -181,8 +185,39 @@ def _spread(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idx, inside
 
 
-def train(texts: list[str], labels: list[int], seed: int = 0, rate: float = 0.01, steps: int = 260) -> Network:
-    """A network fitted on whole texts; without both labels, it only knows their rate."""
+def train(texts: list[str], labels: list[int], seed: int = 0, rate: float = 0.01, steps: int = 260, share: float | None = None) -> Network:
+    """A network fitted on whole texts and calibrated to the share of toxic texts (as among the texts, if none is
+    given); without both labels, it only knows their rate."""
+    if sum(labels) >= LEAST_TOXIC and len(labels) - sum(labels) >= LEAST_TOXIC:
+        order = np.random.default_rng(seed + 1).random(len(labels))
+        aside = order < CALIBRATE
+        net = _fit([t for t, k in zip(texts, aside, strict=True) if not k], [y for y, k in zip(labels, aside, strict=True) if not k], seed, rate, steps)
+        own = np.array([y for y, k in zip(labels, aside, strict=True) if k], dtype=np.float64)
+        found = Scorer(net).logits([t for t, k in zip(texts, aside, strict=True) if k])
+        net.scale = calibrate(found, own, float(np.mean(labels)) if share is None else share)
+        return net
+    return _fit(texts, labels, seed, rate, steps)
+
+
+def calibrate(logits: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:
+    """Factor and shift that make the logits those of the label's chance, by weighted logistic regression with softened
+    targets; each label weighs as much as it is common."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    if not n1 or not n0:
+        return 1.0, 0.0
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y > 0, share / n1, (1 - share) / n0) * len(y)
+    x = np.stack([logits, np.ones(len(logits))], axis=1)
+    w, middle = np.array([0.5, 0.0]), np.array([0.5, 0.0])
+    for _ in range(rounds):
+        p = _sigmoid(x @ w)
+        grad = x.T @ (weight * (p - target)) + 0.1 * (w - middle)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        w = w - np.clip(step, -1, 1)
+    return max(0.05, float(w[0])), float(w[1])
+
+
+def _fit(texts: list[str], labels: list[int], seed: int, rate: float, steps: int) -> Network:
     net = Network.fresh(seed)
     y = np.array(labels, dtype=np.float32)
     if len(set(labels)) < 2:
@@ -305,16 +340,19 @@ class Scorer:
         return [np.fromiter(map(get, d), dtype=np.int64, count=len(d)) for d in docs]
 
     def scores(self, texts: list[str]) -> list[float]:
-        """The score of each text, 0 to 1: its most toxic window's; all windows are read."""
-        out: list[float] = []
+        """The score of each text, 0 to 1: its most toxic window's, calibrated; all windows are read."""
+        factor, shift = self.net.scale
+        return _sigmoid(factor * self.logits(texts) + shift).tolist()
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        out = [np.zeros(0)]
         for a in range(0, len(texts), 64):
             spread = [_spread(ids) for ids in self._numbers([words_of(t) for t in texts[a : a + 64]])]
             counts = [len(s[0]) for s in spread]
             idx, mask = np.concatenate([s[0] for s in spread]), np.concatenate([s[1] for s in spread])
             logits = np.concatenate([self.net.run(self.proj, idx[k : k + BLOCK], mask[k : k + BLOCK]) for k in range(0, len(idx), BLOCK)])
-            high = np.maximum.reduceat(logits, np.cumsum(counts) - counts)
-            out.extend(_sigmoid(high.astype(np.float64)).tolist())
-        return out
+            out.append(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64))
+        return np.concatenate(out)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: tuple[int, int] = (MAX_NEGATIVE, MAX_POSITIVE)) -> list[tuple[str, int]]:
@@ -329,6 +367,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     return out
 
 
+def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Network:
+    """The network of the labelled rows outside the held-out fold, calibrated to how common the labels are among all of them."""
+    rows = training_rows(docs, labels, folds, held)
+    marks = labels.where("toxic is not null and doc_id is not null").where(common.crc_mod_col(F.col("doc_id"), folds) != held)
+    share = marks.agg(F.avg(F.when(F.col("toxic") > 0, 1.0).otherwise(0.0)).alias("s")).first()["s"]
+    return train([t for t, _ in rows], [y for _, y in rows], share=share)
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) of each row's whole text. Null and empty texts score as one window of padding; repeated rows
     stay; an empty table gives an empty result; extra columns, labels among them, are no input."""
@@ -349,16 +395,15 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, by a network trained on labelled rows outside the held-out fold."""
     common.prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, folds, held)
-    net = train([t for t, _ in rows], [y for _, y in rows])
+    net = fitted(docs, labels, folds, held)
     held_out = common.crc_mod_col(F.col("doc_id"), folds) == held
     return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below the threshold, with the columns as they came."""
-    rows = training_rows(docs, labels)
-    net = train([t for t, _ in rows], [y for _, y in rows])
+    """The documents that score below the threshold, with the columns as they came; null texts count as empty, repeated
+    rows share their fate, and without labels of both kinds nothing or all is dropped, as the only label says."""
+    net = fitted(docs, labels)
     common.prepare(docs.sparkSession)
     names = docs.columns
 
