@@ -180,14 +180,14 @@ def path_regex(parts: Column) -> Column:
 
 @arrow_udf("array<struct<start:int,end:int>>")
 def footnote_spans(s: pd.Series) -> pd.Series:
-    return s.map(_footnotes, na_action="ignore")
+    return s.map(find_footnotes, na_action="ignore")
 
 
 _NOTE = re.compile(r"<sup[^>]*footnote-marker[^>]*>.*?</sup>\s*<i[^>]*footnote[^>]*>", re.S)
 _ITALIC = re.compile(r"<i(?=[\s>])|</i\s*>")
 
 
-def _footnotes(text: str) -> list[dict]:
+def find_footnotes(text: str) -> list[dict]:
     """A marker followed by an <i> note; nested <i> are counted, unbalanced notes and those inside another are left out."""
     out, last = [], -1
     for m in _NOTE.finditer(text):
@@ -203,14 +203,20 @@ def _footnotes(text: str) -> list[dict]:
     return out
 
 
+def without_footnotes(text: str) -> str:
+    for f in reversed(find_footnotes(text)):
+        text = text[: f["start"]] + text[f["end"] :]
+    return text
+
+
+def split_footnotes(note: str) -> str:
+    """A footnote's own text: marker and body without markup, white space made one."""
+    return " ".join(re.sub("<[^>]+>", " ", note).split())
+
+
 @arrow_udf("string")
 def remove_footnotes(s: pd.Series) -> pd.Series:
-    def clean(t: str) -> str:
-        for f in reversed(_footnotes(t)):
-            t = t[: f["start"]] + t[f["end"] :]
-        return t
-
-    return s.map(clean, na_action="ignore")
+    return s.map(without_footnotes, na_action="ignore")
 
 
 @arrow_udf("string")

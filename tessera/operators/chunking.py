@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -91,3 +91,37 @@ def manifest(chunks: DataFrame, section: str = "section") -> DataFrame:
 def ref_chunks(n_col: Column, pos: Column, size: int = 80, slack: int = 10) -> Column:
     """Chunk of the reference at pos of n: up to size + slack all are the title chunk (-1); else the last `size` are, and those before are cut by size."""
     return F.when((n_col <= size + slack) | (pos >= n_col - size), -1).otherwise(F.floor(pos / size)).cast("int")
+
+
+def with_footnotes(rows: DataFrame, ref: str, index: str, body: str, most: int) -> DataFrame:
+    """(ref, index, kind, text): the footnotes of each segment leave its text and follow it as segments of their own, as many
+    to one as have at most `most` words; a longer note is cut evenly. Segments of a ref are numbered anew."""
+    kind = rows.schema[ref].dataType.simpleString()
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t in df.sort_values(index)[body].fillna(""):
+            notes = [text.split_footnotes(t[f["start"] : f["end"]]) for f in text.find_footnotes(t)]
+            out.append(("main", text.without_footnotes(t)))
+            group: list[str] = []
+            for n in filter(None, notes):
+                if group and sum(len(g.split()) for g in [*group, n]) > most:
+                    out.append(("footnote", " ".join(group)))
+                    group = []
+                if len(n.split()) > most:
+                    out.extend(("footnote", p) for p in _even(n, most))
+                else:
+                    group.append(n)
+            if group:
+                out.append(("footnote", " ".join(group)))
+        return pd.DataFrame([(df[ref].iloc[0], i + 1, k, t) for i, (k, t) in enumerate(out)], columns=[ref, index, "kind", body])
+
+    return rows.select(ref, index, body).groupBy(ref).applyInPandas(run, f"`{ref}` {kind}, `{index}` int, kind string, `{body}` string")
+
+
+def boundaries(rows: DataFrame, section: str, split: str, chunk: str, semantic: str) -> DataFrame:
+    """(section, split_number, chunk_number, semantic_boundary_after, final_boundary_after): a final boundary follows the last split of every chunk but the last."""
+    w = Window.partitionBy(section).orderBy(split)
+    number = F.dense_rank().over(Window.partitionBy(section).orderBy(chunk)).cast("bigint")
+    final = F.coalesce(F.lead(chunk).over(w) != F.col(chunk), F.lit(False))
+    return rows.select(section, F.col(split).alias("split_number"), number.alias("chunk_number"), F.col(semantic).alias("semantic_boundary_after"), final.alias("final_boundary_after"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as vectors
 from ..session import cut_lineage
 
 #: Vectors that are clustered together; larger groups are split by the side of random planes on which their vectors lie.
@@ -249,3 +250,64 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_eve
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
             rank = cut_lineage(rank, "rank")
     return rank
+
+
+def distance_matrix(rows: DataFrame, key: str, vector: str, most: int = 1024) -> DataFrame:
+    """(a, b, distance) by cosine of all pairs of a small table of centres, whose size is checked."""
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} vectors; at most {most} are compared pair by pair")
+    a, b = rows.select(F.col(key).alias("a"), F.col(vector).alias("__x")), rows.select(F.col(key).alias("b"), F.col(vector).alias("__y"))
+    return a.join(F.broadcast(b)).select("a", "b", vectors.cosine_distance(F.col("__x"), F.col("__y")).alias("distance"))
+
+
+def alone(rows: DataFrame, condition: Column, key: str) -> DataFrame:
+    """rows (key, cluster) in which those of the condition have clusters of their own, numbered after the others'."""
+    most = rows.agg(F.max("cluster").alias("__m"))
+    own = rows.where(condition)
+    number = own.withColumn("__i", F.row_number().over(Window.orderBy(key)))  # primaries are few
+    moved = number.join(F.broadcast(most)).withColumn("cluster", (F.col("__m") + F.col("__i")).cast("bigint")).drop("__m", "__i")
+    return rows.where(~F.coalesce(condition, F.lit(False))).unionByName(moved)
+
+
+def recluster_large(rows: DataFrame, found: DataFrame, method: str, group: str = "topic", key: str = "id") -> DataFrame:
+    """found (group, key, cluster) with the members of clusters larger than mean + 3 deviations of the group's others clustered
+    once more, numbered after the rest."""
+    sizes = found.where("cluster >= 0").groupBy(group, "cluster").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    k, total, squares = F.count("*").over(w) - 1, F.sum("n").over(w) - F.col("n"), F.sum(F.col("n") * F.col("n")).over(w) - F.col("n") * F.col("n")
+    mean = total / F.greatest(k, F.lit(1))
+    spread = F.sqrt(F.greatest(F.lit(0.0), (squares - k * mean * mean) / F.greatest(k - 1, F.lit(1))))
+    large = sizes.withColumn("__large", (k >= 2) & (F.col("n") > mean + 3 * spread)).where("__large").select(group, "cluster")
+    hot = found.join(large, [group, "cluster"], "left_semi").select(group, key)
+    again = cluster_groups(rows.join(hot, [group, key], "left_semi"), method, group, key)
+    most = found.groupBy(group).agg((F.max("cluster") + 1).alias("__m"))
+    again = again.join(most, group).select(group, key, F.when(F.col("cluster") < 0, -1).otherwise(F.col("cluster") + F.col("__m")).cast("int").alias("cluster"))
+    return found.join(large, [group, "cluster"], "left_anti").select(group, key, "cluster").unionByName(again)
+
+
+def break_largest(rows: DataFrame, found: DataFrame, least: int = 6, rounds: int = 5, group: str = "topic", key: str = "id", vector: str = "vector") -> DataFrame:
+    """found (group, key, cluster) with each group's largest cluster, if it has `least` members, broken up in two by distance, up to `rounds` times."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        label = df["cluster"].to_numpy().copy()
+        d = cosine_distances(np.stack(df[vector].to_list()).astype(float))
+        for _ in range(rounds):
+            ks, n = np.unique(label[label >= 0], return_counts=True)
+            if not len(ks) or n.max() < least:
+                break
+            own = np.flatnonzero(label == ks[n.argmax()])
+            part = agglomerate(d[np.ix_(own, own)], 2)
+            label[own[part == 1]] = label.max() + 1
+        return pd.DataFrame({group: df[group], key: df[key], "cluster": label.astype("int32")})
+
+    kinds = rows.schema
+    out = f"`{group}` {kinds[group].dataType.simpleString()}, `{key}` {kinds[key].dataType.simpleString()}, cluster int"
+    parts = found.join(rows, [group, key])  # one topic's sources, as cluster_groups takes them
+    return parts.select(group, key, "cluster", vector).groupBy(group).applyInPandas(run, out)
+
+
+def with_ignored(rows: DataFrame, method: str, group: str = "topic", key: str = "id") -> DataFrame:
+    """(group, key, cluster, reason): rows with a reason are left out of the clustering and come back with a null cluster."""
+    found = cluster_groups(rows.where("reason is null"), method, group, key).withColumn("reason", F.lit(None).cast("string"))
+    return found.unionByName(rows.where("reason is not null").select(group, key, F.lit(None).cast("int").alias("cluster"), "reason"))

@@ -101,3 +101,8 @@ def complete_mean(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, mean, n) of the groups none of whose rows lacks the value."""
     g = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.count(value).alias("__have"))
     return g.where("n = __have").drop("__have")
+
+
+def keep_shared(rows: DataFrame, other: DataFrame, key: str = "ref") -> DataFrame:
+    """Rows whose ref the other side has too."""
+    return rows.join(other.select(key).distinct(), key, "left_semi")

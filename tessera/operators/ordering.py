@@ -108,7 +108,7 @@ def percentages(rows: DataFrame, group: str, level: str, tokens: str) -> DataFra
     one = lambda c: F.when(c == 0, 1.0).otherwise(c)
     p = F.bround(F.col(level) * 100.0 / one(F.sum(level).over(w)) * F.least(F.lit(1.0), F.col(tokens) / 1500.0), 2)
     rows = rows.withColumn("__p", p)
-    return rows.withColumn("percentage", F.bround(F.col("__p") * 100.0 / one(F.sum("__p").over(w)), 2)).drop("__p")
+    return rows.withColumn("percentage", F.bround(F.col("__p") * 100.0 / one(F.round(F.sum("__p").over(w), 6)), 2)).drop("__p")
 
 
 def pack_greedy(sizes: Column, most: int) -> Column:
@@ -142,3 +142,12 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.join(sizes.select(group, before.alias("__before")), group).withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__before")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str) -> DataFrame:
+    """left with name: value of the last row of right with the same key at or before its time; of several at one time the
+    largest. Both sides are put in order together, so a key's rows are sorted once and never meet pairwise."""
+    marks = right.groupBy(key, at).agg(F.max(value).alias("__v"))
+    both = left.withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__s", F.lit(1)).unionByName(marks.withColumn("__s", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "__s").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("__v", ignorenulls=True).over(w)).where("__s = 1").drop("__v", "__s")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from . import ordering
 
 
 def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0) -> DataFrame:
@@ -154,7 +155,7 @@ def next_batch(utility: np.ndarray, k: int, size: int, overlap: int | None = Non
 
 def warm_start(exposure: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """The k least seen items, ties in hash order."""
-    return exposure.orderBy("exposure", F.xxhash64("item", F.lit(seed)), "item").limit(k)
+    return exposure.orderBy("exposure", ordering.hash_order(F.col("item"), seed), "item").limit(k)
 
 
 def rank_rows(scores: dict[str, float]) -> list[str]:
@@ -197,3 +198,23 @@ def landscape(spark, n: int) -> DataFrame:
     x = F.col("id") / F.lit(max(n - 1, 1))
     score = 1.8 - 3.6 * x + 0.35 * F.sin(3.5 * F.pi() * x) + 0.18 * (F.col("id") % 4 - 1.5)
     return spark.range(n).select(F.col("id").alias("item"), score.alias("score"))
+
+
+def effect_summary(values: DataFrame, keys: list[str], value: str, edge: float = 0.0) -> DataFrame:
+    """(keys, mean, p_above, low_80, high_80, low_95, high_95) of each key's draws; keys with one draw have no intervals and are left out."""
+    out = values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.avg((F.col(value) > edge).cast("double")).alias("p_above"))
+    for mass in (80, 95):
+        one = densest_interval(values, keys, value, mass / 100)
+        out = out.join(one.withColumnRenamed("low", f"low_{mass}").withColumnRenamed("high", f"high_{mass}"), keys)
+    return out
+
+
+def candidate_sets(items: DataFrame, k: int, most: int, seed: int = 0) -> DataFrame:
+    """(problem, items): all sets of k items of a problem, sorted; of more than most sets those with the least hashes. Problems are small."""
+    sets = items.select("problem", F.array("item").alias("items"))
+    for _ in range(k - 1):
+        sets = sets.join(items.withColumnRenamed("item", "next"), "problem").where(F.col("next") > F.element_at("items", -1))
+        sets = sets.select("problem", F.concat("items", F.array("next")).alias("items"))
+    order = F.md5(F.concat_ws(":", F.array_join(F.col("items").cast("array<string>"), ","), F.lit(str(seed))))
+    n = F.row_number().over(Window.partitionBy("problem").orderBy(order, "items"))
+    return sets.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")

@@ -7,6 +7,9 @@ from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Source:
@@ -114,3 +117,10 @@ class Weights:
     def of(self, refs: list[str]) -> dict[str, float]:
         n = len(refs)
         return {r: -10.0 * n if r in self.blocked else float(n - i) for i, r in enumerate(refs)}
+
+
+def weighted(rows: DataFrame, topic: str, ref: str, blocked: str) -> DataFrame:
+    """rows with weight: n less the place in the topic, from 0, and -10 n for blocked ones; n sources the topic has."""
+    own = Window.partitionBy(topic)
+    n, place = F.count("*").over(own), F.row_number().over(own.orderBy(ref)) - 1
+    return rows.withColumn("weight", F.when(F.col(blocked), -10.0 * n).otherwise((n - place).cast("double")))

@@ -48,3 +48,8 @@ def relabel(spans: Column, old: str, new: str) -> Column:
 def sub_spans_distinct(rows: DataFrame, spans: str, condition) -> DataFrame:
     """Distinct texts of the spans that fulfil a condition."""
     return rows.select(F.explode(F.filter(spans, condition)).alias("s")).select("s.text").distinct()
+
+
+def entity_spans(spans: Column) -> Column:
+    """A model's spans (start, end, label) with labels capitalised."""
+    return F.transform(spans, lambda s: s.withField("label", F.initcap(s["label"])))

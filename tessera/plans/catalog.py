@@ -37,7 +37,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import evaluation, files, gathering, modelling, relational, shelled, texts, values  # noqa: F401  each registers its queries
+    from . import curation, evaluation, files, gathering, modelling, relational, shelled, texts, values  # noqa: F401  each registers its queries
 
     return dict(_QUERIES)
 

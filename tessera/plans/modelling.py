@@ -64,18 +64,19 @@ def chunk_manifest(spark: SparkSession, d: str) -> DataFrame:
     return chunking.manifest(chunk_sections(spark, d))
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256(text), 1, 2) AS INT) % 2 = 1")
 def keep_if_yes(spark: SparkSession, d: str) -> DataFrame:
     return generation.keep_if(table(spark, d, "documents").select("doc_id", "text"), "text", generation.stub).select("doc_id")
 
 
-@query()
+@query("""WITH t AS (SELECT item_id, t, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT item_id, t, list_filter(list_transform(string_split(substr(t || chr(10) || text, 1, 60), chr(10)), lambda y: trim(y)), lambda y: y <> '') AS x FROM benchmark, (VALUES ('fact'), ('theme')) v(t)))
+SELECT item_id || '__' || t || '__' || i AS query_id, line AS text, t AS type FROM t WHERE i < 3""")
 def generated_queries(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return generation.generate_queries(docs, ["fact", "theme"], lambda p: p[:60])[0]
 
 
-@query()
+@query("SELECT item_id, 1 AS n, text || '  end' AS clean FROM benchmark")
 def footnotes(spark: SparkSession, d: str) -> DataFrame:
     marked = F.concat(F.col("text"), F.lit(' <sup class="footnote-marker">1</sup><i class="footnote">a <i>b</i></i> end'))
     rows = table(spark, d, "benchmark").select("item_id", marked.alias("t"))

@@ -128,7 +128,8 @@ def score_percentages(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("p", p).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("p"), 1).alias("total"), F.sum("p").alias("s")).where("s > 99.5").drop("s")
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS lv, l_extendedprice / 100 AS tk FROM lineitem), p AS (SELECT l_orderkey, l_linenumber, round_even(lv * 100.0 / sum(lv) OVER (PARTITION BY l_orderkey) * least(1.0, tk / 1500.0), 2) AS p FROM l)
+SELECT l_orderkey, l_linenumber, round_even(p * 100.0 / CASE WHEN sum(p) OVER w = 0 THEN 1 ELSE round(sum(p) OVER w, 6) END, 2) AS percentage FROM p WINDOW w AS (PARTITION BY l_orderkey)""")
 def score_percentages_full(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("level"), (F.col("l_extendedprice") / 100).alias("tokens"))
     return ordering.percentages(rows, "l_orderkey", "level", "tokens").select("l_orderkey", "l_linenumber", "percentage")
