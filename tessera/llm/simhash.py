@@ -182,18 +182,10 @@ def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int)
     return out
 
 
-def link_rows(fps: np.ndarray, sizes: np.ndarray, radii: list[int]) -> np.ndarray:
-    """For rows [n, k] that lie bucket by bucket (sizes: rows of each), links [m, 2] of rows at most radius apart that span
-    every bucket's components: with several radii, rising, first those of the least, so that near rows are linked to each other."""
+def link_rows(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """For rows [n, k] that lie bucket by bucket (sizes: rows of each), links [m, 2] of rows at most radius apart that span every bucket's components."""
     n = len(fps)
     forest = Forest(n)
-    for radius in radii:
-        _link(forest, fps, sizes, radius)
-    return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-
-
-def _link(forest: Forest, fps: np.ndarray, sizes: np.ndarray, radius: int) -> None:
-    n = len(fps)
     starts = np.cumsum(sizes) - sizes
     left_in = np.repeat(sizes + starts, sizes) - np.arange(n) - 1  # rows of the bucket after this one
     most, words = int(sizes.max(initial=1)), -(-n // 64)
@@ -216,9 +208,10 @@ def _link(forest: Forest, fps: np.ndarray, sizes: np.ndarray, radius: int) -> No
         hit = np.flatnonzero(np.unpackbits(lanes.view(np.uint8), bitorder="little"))
         if len(hit):
             forest.union(hit, hit + shift)
+    return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
 
 
-def _compare(radii: list[int], words: int):
+def _compare(radius: int, words: int):
     key = ["table", "key", "part"]
 
     def of(table: pa.Table) -> pa.RecordBatch:
@@ -229,7 +222,7 @@ def _compare(radii: list[int], words: int):
         sizes = np.diff(np.concatenate([[0], cut, [len(ids)]]))
         keep = np.repeat(sizes, sizes) > 1
         ids, fps, sizes = ids[keep], fps[keep], sizes[sizes > 1]
-        links = link_rows(fps, sizes, radii) if len(ids) else np.zeros((0, 2), dtype=np.int64)
+        links = link_rows(fps, sizes, radius) if len(ids) else np.zeros((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +317,7 @@ def candidate_rows(classes: DataFrame, rows: int, radius: int, words: int = 1, b
 def near_edges(classes: DataFrame, radius: int, words: int = 1, bucket_rows: int = BUCKET_ROWS, scratch: common.Scratch | None = None) -> DataFrame:
     """Links (a, b) between classes (cid, f0 ...) that span every component of "at most radius bits differ"; never all pairs of a group."""
     rows = candidate_rows(classes, classes.count(), radius, words, bucket_rows, scratch).repartition(common.shuffle_partitions(classes.sparkSession), "table", "key", "part")
-    radii = [radius] if words == 1 else [radius // 3, radius // 2, radius * 3 // 4, radius]
-    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(common.freeing(_compare(radii, words)), "a bigint, b bigint")
+    return rows.sortWithinPartitions("table", "key", "part", "f0", "cid").mapInArrow(common.freeing(_compare(radius, words)), "a bigint, b bigint")
 
 
 def shingle_sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
