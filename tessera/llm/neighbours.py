@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that fit the centroids at most; vectors a centroid; centroids at most; rows of a part of a list.
-SAMPLE_ROWS, PER_CENTROID, MAX_CENTROIDS, LIST_ROWS = 32_768, 160, 4096, 4096
+#: Vectors that fit the centroids (more if there are over an eighth as many centroids, SAMPLE_MOST at most); vectors a
+#: centroid; centroids at most, some 12 MB with their graph; rows of a part of a list.
+SAMPLE_ROWS, SAMPLE_MOST, PER_CENTROID, MAX_CENTROIDS, LIST_ROWS = 32_768, 131_072, 160, 16_384, 4096
 #: Distance ratios within which a vector is replicated, and a query reads a list; most replicas of one vector; lists a query reads at most.
 REPLICATE_RATIO, PROBE_RATIO, REPLICAS, PROBES = 1.06, 1.35, 4, 48
 #: Edges of a centroid in the graph; candidates a walk holds.
@@ -33,7 +34,7 @@ class Centroids:
         self.points, self.scale = points, scale
         n = len(points)
         rng = np.random.default_rng(3)
-        near = np.argsort(_distances(points, points), axis=1)[:, : min(n, DEGREE + 1)]
+        near = np.concatenate([_nearest(_distances(points[a : a + 512], points), min(n, DEGREE + 1)) for a in range(0, n, 512)])
         self.edges = np.concatenate([near, rng.integers(0, n, (n, 4))], axis=1)
         self.entries = rng.permutation(n)[: min(n, BEAM // 2)]
 
@@ -96,10 +97,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, d))
 
 
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row, least first."""
+    some = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def n_centroids(rows: int) -> int:
+    return int(min(MAX_CENTROIDS, max(1, rows // PER_CENTROID)))
+
+
 def fit(sample: np.ndarray, rows: int, scale: float, rounds: int = 8) -> Centroids:
     """Balanced k-means on the sample: a centroid's pull falls with the share of vectors it holds."""
     lifted = Centroids.lift(_Scale(scale), sample, False)
-    k = int(min(MAX_CENTROIDS, max(1, rows // PER_CENTROID), len(lifted)))
+    k = min(n_centroids(rows), len(lifted))
     rng = np.random.default_rng(5)
     points = lifted[rng.permutation(len(lifted))[:k]]
     weight = np.ones(k)
@@ -154,7 +165,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     if not n:
         return spark.createDataFrame([], empty)
     scale = classes.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    picked = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE_ROWS)
+    picked = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(min(SAMPLE_MOST, max(SAMPLE_ROWS, 8 * n_centroids(n))))
     index = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in picked.toLocalIterator()], dtype=np.float64), n, scale))
 
     def file(query: bool):
