@@ -53,12 +53,19 @@ def merge_close(rows: DataFrame, gap: int = 2) -> DataFrame:
 
 def matched_controls(seeds: DataFrame, pool: DataFrame, n: int = 10) -> DataFrame:
     """Up to n rows of pool for each seed: equal category, another id, words within the band around the seed's.
-    (id, category, words) on both sides; the equi-key is (category, band of 32 words), so a category is not one task's.
-    The order among matches is by length distance, then id."""
+    (id, category, words) on both sides. The order among matches is by length distance, then id.
+
+    How far a seed must look is read off a table of lengths and their counts, and of each length only the n + 1 smallest
+    ids can be among anyone's matches; so a seed meets few rows more than it keeps, however many share its band."""
     slack = F.greatest(F.lit(8), F.bround(F.col("words") * 0.15).cast("int"))
     s = seeds.select(F.col("id").alias("seed_id"), "category", F.col("words").alias("seed_words"), F.greatest(F.lit(1), F.col("words") - slack).alias("low"), (F.col("words") + slack).alias("high"))
     s = s.withColumn("band", F.explode(F.sequence(F.floor(F.col("low") / 32), F.floor(F.col("high") / 32))))
-    p = pool.withColumn("band", F.floor(F.col("words") / 32))
-    both = s.join(p, ["category", "band"]).where("id <> seed_id and words between low and high")
-    w = Window.partitionBy("seed_id").orderBy(F.abs(F.col("words") - F.col("seed_words")), "id")
+    counts = pool.groupBy("category", "words").agg(F.count("*").alias("rows")).withColumn("band", F.floor(F.col("words") / 32))
+    near = s.join(counts, ["category", "band"]).where("words between low and high").withColumn("far", F.abs(F.col("words") - F.col("seed_words")))
+    nearer = Window.partitionBy("seed_id").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("nearer", F.coalesce(F.sum("rows").over(nearer), F.lit(0))).where(F.col("nearer") < n + 1)
+    own = Window.partitionBy("category", "words").orderBy("id")
+    first = pool.select("id", "category", "words").withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= n + 1).drop("__n")
+    both = near.select("seed_id", "category", "seed_words", "words", "far").join(first, ["category", "words"]).where("id <> seed_id")
+    w = Window.partitionBy("seed_id").orderBy("far", "id")
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("seed_id", "id", "category", "seed_words", "words", "place")
