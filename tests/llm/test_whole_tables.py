@@ -77,6 +77,18 @@ def test_op2(spark, texts):
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
+def test_redaction_is_what_is_found(spark, texts):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for r in pii.redact(docs).collect():
+        t, out, last = texts[r["doc_id"]], [], 0
+        for s in spans[r["doc_id"]]:
+            if s["start"] >= last:
+                out.append(f"{t[last : s['start']]}[{s['kind'].upper()}]")
+            last = max(last, s["end"])
+        assert r["text"] == "".join([*out, t[last:]])
+
+
 def _model(words, train):
     """Unigram and bigram counts of the training texts, as the model quantises them."""
     uni, bi = Counter(), defaultdict(Counter)
