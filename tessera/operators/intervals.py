@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 64
+#: Places of a book whose references are merged together at first.
+STRETCH = 1024
 
 
 def _binned(rows: DataFrame, prefix: str) -> DataFrame:
@@ -43,12 +45,18 @@ def drop_containing(rows: DataFrame, key: str = "ref") -> DataFrame:
 
 
 def merge_close(rows: DataFrame, gap: int = 2) -> DataFrame:
-    """(book, start, end, n): references at most gap apart become one range."""
-    order = Window.partitionBy("book").orderBy("start", "end")
+    """(book, start, end, n): references at most gap apart become one range. They are merged within stretches of each book
+    first, so that only a stretch's ranges, not all of a book's references, are put in order in one place."""
+    parts = rows.select("book", "start", "end", F.lit(1).cast("bigint").alias("n"), F.floor(F.col("start") / STRETCH).alias("__bin"))
+    return _merged(_merged(parts, ["book", "__bin"], gap), ["book"], gap)
+
+
+def _merged(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("__new", F.coalesce((F.col("start") - reach > gap).cast("int"), F.lit(0)))
-    marked = marked.withColumn("__i", F.sum("__new").over(order))
-    return marked.groupBy("book", "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("__i")
+    marked = marked.withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select("book", "start", "end", "n")
 
 
 def matched_controls(seeds: DataFrame, pool: DataFrame, n: int = 10) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import vector
 
 KS = (1, 3, 5, 10, 20, 50)
-#: Queries that one broadcast holds; more are searched in several passes.
-QUERY_BLOCK = 8192
+#: Queries that one broadcast holds, and bytes of their vectors; more are searched in several passes.
+QUERY_BLOCK, QUERY_BYTES = 8192, 64 << 20
 
 
 def _query_blocks(queries: DataFrame, more: list[str] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
@@ -26,7 +26,7 @@ def _query_blocks(queries: DataFrame, more: list[str] | None = None) -> Iterator
     held: list[list] = []
     for r in queries.select("query_id", *columns).toLocalIterator():
         held.append(list(r))
-        if len(held) == QUERY_BLOCK:
+        if len(held) == QUERY_BLOCK or len(held) * sum(8 * len(x) for x in held[0] if isinstance(x, list)) >= QUERY_BYTES:
             yield tuple(map(np.array, zip(*held, strict=True)))
             held = []
     if held:
@@ -49,9 +49,11 @@ def rank(docs: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", t
     """(query_id, doc_id, score, rank): each query's k best of docs (doc_id, vector), ties to the smaller doc_id;
     with a threshold, only scores at least that high."""
     out = None
-    for ids, q in _query_blocks(queries):
+    for block in _query_blocks(queries):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, ids=ids, q=q):
+        def run(batches, sent=sent):
+            ids, q = sent.value
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -100,9 +102,11 @@ def first_relevant_rank(docs: DataFrame, queries: DataFrame, qrels: DataFrame, m
     marked = queries.join(best, "query_id").select("query_id", "vector", "best")
     targets = marked.join(docs.select(F.col("doc_id").alias("best"), F.col("vector").alias("target")), "best")
     out = None
-    for ids, q, t, doc in _query_blocks(targets, ["target", "best"]):
+    for block in _query_blocks(targets, ["target", "best"]):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, ids=ids, q=q, t=t, doc=doc):
+        def run(batches, sent=sent):
+            ids, q, t, doc = sent.value
             edge = np.array([_scores(a[None], b[None], measure)[0, 0] for a, b in zip(q, t, strict=True)])
             for b in batches:
                 if not b.num_rows:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import labels, retrieval
+from ..operators import cluster, labels, retrieval
 from .catalog import query, table
 
 _V = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
@@ -214,8 +214,7 @@ SELECT a AS label, round(sum(dist) / count(*), 6) AS avg_distance, round(min(dis
 def centre_distances(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     c = u.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    p, q = c.select(F.col("label").alias("a"), F.col("v").alias("p")), c.select(F.col("label").alias("b"), F.col("v").alias("q"))
-    dist = p.join(F.broadcast(q), F.col("a") != F.col("b")).select("a", vector.cosine_distance(F.col("p"), F.col("q")).alias("dist"))
+    dist = cluster.distance_matrix(c, "label", "v").where("a <> b").withColumnRenamed("distance", "dist")
     return dist.groupBy(F.col("a").alias("label")).agg(F.round(F.sum("dist") / F.count("*"), 6).alias("avg_distance"), F.round(F.min("dist"), 6).alias("nearest"))
 
 

@@ -82,15 +82,31 @@ def clause_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(text.clause_split(F.col("text"))).alias("clauses"))
 
 
-@query()
+_PLAIN = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_SMALL = "len(list_filter(regexp_split_to_array(xs[i + 1], '\\s+'), lambda x: x <> '')) < 5"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT item_id, {_PLAIN} AS xs FROM benchmark), f(item_id, xs, i, got, small) AS (SELECT item_id, xs, 0, []::VARCHAR[], false FROM s
+UNION ALL SELECT item_id, xs, i + 1, CASE WHEN NOT ({_SMALL} OR small) THEN list_append(got, xs[i + 1]) WHEN len(got) = 0 THEN [xs[i + 1]] ELSE list_append(got[1:len(got) - 1], got[-1] || ' ' || xs[i + 1]) END, {_SMALL} FROM f WHERE i < len(xs))
+SELECT item_id, array_to_string(got, '|') AS sentences FROM f WHERE i = len(xs)""")
 def combine_small_sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = text.combine_small(text.sentences(F.col("text")), 5)
-    return table(spark, d, "benchmark").select("item_id", s.alias("sentences"))
+    s = text.combine_small(text.split_by_language(F.col("text"), F.lit("en")), 5)
+    return table(spark, d, "benchmark").select("item_id", F.array_join(s, "|").alias("sentences"))
+
+
+_NUMBERING = "([0-9]+|[A-Za-zא-ת])[.)]|[0-9]+([.][0-9]+)+|([A-Za-zא-ת][.]){2,}"
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn, replace(replace(text, chr(13), ''), chr(39) || chr(39), '"') AS t FROM conversations),
+l AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM t),
+k AS (SELECT conv_id, turn, i, unnest(x) AS token, unnest(range(len(x))) AS j FROM (SELECT conv_id, turn, i, list_filter(regexp_split_to_array(line, '\\s+'), lambda y: y <> '') AS x FROM l)),
+e AS (SELECT *, regexp_replace(token, '["''”’)\\]}}»]+$', '') AS bare FROM k),
+g AS (SELECT *, coalesce(sum((regexp_matches(bare, '(^|[^.!?])[.!?]$') AND NOT regexp_full_match(bare, '{_NUMBERING}'))::INT) OVER (PARTITION BY conv_id, turn, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e),
+s AS (SELECT conv_id, turn, i, n, string_agg(token, ' ' ORDER BY j) AS s FROM g GROUP BY ALL), a AS (SELECT conv_id, turn, list(s ORDER BY i, n) AS s FROM s GROUP BY ALL),
+c AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(replace(t, ',', ',' || chr(1)), ':', ':' || chr(1)), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS c FROM t)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(coalesce(s, [])) <= 1 AND len(c) > 1 THEN c ELSE coalesce(s, []) END, '|') AS sentences FROM c LEFT JOIN a USING (conv_id, turn)""")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", text.sentences(F.col("text")).alias("sentences"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.sentences(F.col("text")), "|").alias("sentences"))
 
 
 @query(f"SELECT doc_id, len({_SPLIT})::INT AS words, CASE WHEN len({_SPLIT}) <= 100 THEN 1 ELSE CAST(ceil(len({_SPLIT}) / ceil(len({_SPLIT}) / ceil(len({_SPLIT}) / 100))) AS INT) END AS parts FROM documents WHERE text <> ''")
