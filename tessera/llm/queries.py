@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_extract, language_model, neighbours, packing, pii, simhash, tokens, toxicity, url_filter
+from . import bpe, common, exact_dedup, html_extract, language_model, neighbours, packing, periodic, pii, repair, simhash, tokens, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -64,8 +64,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(common.read(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(common.read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_pii, op3_lm, op4_bpe, op5_html, op6_ann, op7_exact, op8_packing, op9_url, op10_toxicity]
+    found = [op1_simhash, op2_pii, op3_lm, op4_bpe, op5_html, op6_ann, op7_exact, op8_packing, op9_url, op10_toxicity, op11_periodic, op12_repair]
     return {f.__name__: f for f in found}
 
 
