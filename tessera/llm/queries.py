@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_extract, language_model, neighbours, packing, periodic, pii, repair, simhash, tokens, toxicity, url_filter
+from . import bpe, common, exact_dedup, html_extract, language_model, neighbours, packing, periodic, pii, repair, repeats, simhash, tokens, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -72,8 +72,13 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(common.read(spark, sf_dir, "conversations")))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(common.read(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_pii, op3_lm, op4_bpe, op5_html, op6_ann, op7_exact, op8_packing, op9_url, op10_toxicity, op11_periodic, op12_repair]
+    found = [op1_simhash, op2_pii, op3_lm, op4_bpe, op5_html, op6_ann, op7_exact, op8_packing, op9_url, op10_toxicity, op11_periodic, op12_repair, op13_repeats]
     return {f.__name__: f for f in found}
 
 
