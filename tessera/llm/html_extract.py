@@ -32,6 +32,8 @@ CLOSES = {
 }
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 KEEPS_P = frozenset("article aside body button div footer form header main nav section td th table".split())
+IN_HEAD = frozenset("html head base link meta title style script noscript template bgsound basefont".split())
+FOREIGN = frozenset(["svg", "math"])
 NEVER = frozenset("head script style textarea title noscript iframe template svg math select button option object".split())
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
@@ -103,12 +105,17 @@ def _unescaped(text: str) -> str:
 
 
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents first; text runs have tag "#", line breaks too with text "\\n"."""
+    """Nodes in page order, parents first; text runs have tag "#", line breaks too with text "\\n".
+
+    A script, frame, text area or drawing that is never closed takes the rest of the page, as in browsers.
+    """
     nodes, stack, at, tags = [Node("#root", -1)], [0], 0, _Tags(page)
     opened: dict[str, int] = {}
 
     def text(s: str) -> None:
         if s:
+            if opened.get("head") and not s.isspace():
+                leave_head()
             nodes.append(Node("#", stack[-1], text=_unescaped(s)))
 
     def drop(k: int) -> None:
@@ -116,6 +123,10 @@ def parse(page: str) -> list[Node]:
             opened[nodes[i].tag] -= 1
         del stack[k:]
 
+    def leave_head() -> None:
+        """What cannot stand in a head ends it, closed or not."""
+        drop(next(k for k in range(1, len(stack)) if nodes[stack[k]].tag == "head"))
+
     def close(names: frozenset[str], stop: frozenset[str]) -> None:
         if not any(opened.get(n) for n in names):
             return
@@ -138,6 +149,8 @@ def parse(page: str) -> list[Node]:
             if opened.get(tag):
                 drop(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
+        if opened.get("head") and tag not in IN_HEAD:
+            leave_head()
         if tag == "br":
             nodes.append(Node("#", stack[-1], text="\n"))
             continue
@@ -150,6 +163,8 @@ def parse(page: str) -> list[Node]:
             names.extend(_WORD.findall((q[1] or q[2] or q[3] or "").lower()))
         nodes.append(Node(tag, stack[-1], tuple(names)))
         if tag in RAW:
+            if tag in FOREIGN and attributes.endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/") and len(stack) <= MAX_DEPTH:
@@ -192,28 +207,22 @@ def _kind(x: Node) -> str:
 
 def marginals(nodes: list[Node], model: Model) -> tuple[list[float], list[tuple[float, float, float, float]]]:
     """P(content) of each node, and of each node with its parent P(0, 0), P(0, 1), P(1, 0), P(1, 1) (parent's label first)."""
-    n, get, exp = len(nodes), model.unary.get, math.exp
-    up0, up1 = [1.0] * n, [1.0] * n
+    n, get, exp, log = len(nodes), model.unary.get, math.exp, math.log
+    odds = [0.0] * n  # logarithm of what the children say for content over what they say against it
     own0, own1, psi = [1.0] * n, [1.0] * n, [(1.0, 1.0, 1.0, 1.0)] * n
     table = {k: tuple(exp(model.pair.get((k, a, b), 0.0)) for a in (0, 1) for b in (0, 1)) for k in ("text", "inline", "block")}
     for i in range(n - 1, -1, -1):  # children come after their parents
         x = nodes[i]
         score = sum(get(k, 0.0) for k in x.keys)
-        e = exp(min(30.0, max(-30.0, score)))
-        a, b = up0[i], up1[i] * e
+        score = odds[i] + min(30.0, max(-30.0, score))
         if x.tag in NEVER:
-            b = 0.0
-        z = a + b
-        own0[i], own1[i] = a / z, b / z
+            own0[i], own1[i] = 1.0, 0.0
+        else:
+            small = exp(-min(600.0, abs(score)))
+            own0[i], own1[i] = (small / (1 + small), 1 / (1 + small)) if score > 0 else (1 / (1 + small), small / (1 + small))
         if i:
             p00, p01, p10, p11 = psi[i] = table[_kind(x)]
-            m0, m1 = p00 * own0[i] + p01 * own1[i], p10 * own0[i] + p11 * own1[i]
-            z = m0 + m1
-            up0[x.parent] *= m0 / z
-            up1[x.parent] *= m1 / z
-            z = up0[x.parent] + up1[x.parent]
-            up0[x.parent] /= z
-            up1[x.parent] /= z
+            odds[x.parent] += log((p10 * own0[i] + p11 * own1[i]) / (p00 * own0[i] + p01 * own1[i]))
     prob, both = [own1[0]] * n, [(0.0, 0.0, 0.0, 0.0)] * n
     for i in range(1, n):
         p00, p01, p10, p11 = psi[i]
