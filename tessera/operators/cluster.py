@@ -1,18 +1,26 @@
-"""Clustering of small groups of vectors (one topic's sources), each group in one call of applyInPandas, and the
-relational steps around it. Algorithms are numpy; a group is one topic's sources, and larger ones are split first."""
+"""Clustering of groups of vectors (each topic's sources), and the relational steps around it.
+
+A group of bounded size is one call of applyInPandas. In larger ones density clustering builds its tree by joins and
+gives the same clusters; the other methods work on parts that two-means by cosine cuts the group into, and say so.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vectors
 from ..session import cut_lineage
+from . import density, linkage
 
-#: Vectors that are clustered together; larger groups are split by the side of random planes on which their vectors lie.
-GROUP_ROWS, PLANES = 5000, 12
+#: Vectors that are clustered in one task: distances of all pairs are held there, by affinity propagation several times.
+GROUP_ROWS, AFFINITY_ROWS = 5000, 1500
+#: Rounds of two-means at a cut.
+MEANS_ROUNDS = 5
 
 
 def cosine_distances(x: np.ndarray) -> np.ndarray:
@@ -21,59 +29,8 @@ def cosine_distances(x: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1 - x @ x.T)
 
 
-def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette over distances; members of single clusters count 0."""
-    ks = np.unique(labels)
-    if len(ks) < 2 or len(ks) >= len(labels):
-        return -1.0
-    means = np.stack([d[:, labels == k].sum(axis=1) for k in ks], axis=1)
-    size = np.array([(labels == k).sum() for k in ks])
-    own = np.searchsorted(ks, labels)
-    rows = np.arange(len(labels))
-    a = means[rows, own] / np.maximum(size[own] - 1, 1)
-    other = means / size
-    other[rows, own] = np.inf
-    b = other.min(axis=1)
-    s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0)
-    return float(s.mean())
-
-
-def agglomerate(d: np.ndarray, k: int) -> np.ndarray:
-    """Average linkage down to k clusters."""
-    n = len(d)
-    label, size, dist = np.arange(n), np.ones(n), d.astype(float).copy()
-    np.fill_diagonal(dist, np.inf)
-    for _ in range(n - k):
-        i, j = divmod(int(np.argmin(dist)), n)
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
-        dist[i], dist[:, i] = row, row
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def best_k(d: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of clusters with the best silhouette, of min(n, 3) to n / 2."""
-    n = len(d)
-    if n <= 1:
-        return n, np.zeros(n, dtype=int)
-    low, high = min(n, 3), n // 2
-    if high < low + 1:
-        low, high = 2, 3
-    best, found = -1.0, (0, np.zeros(n, dtype=int))
-    for k in range(low, high):
-        labels = agglomerate(d, min(k, n))
-        s = silhouette(d, labels)
-        if s > best:
-            best, found = s, (k, labels)
-    return found
-
-
-def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 200) -> np.ndarray:
-    """Affinity propagation over negative distances, preference the median."""
+def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 1000, steady: int = 100) -> np.ndarray:
+    """Affinity propagation over negative distances, preference the median, until the centres stay for some rounds."""
     n = len(d)
     if n <= 1:
         return np.zeros(n, dtype=int)
@@ -81,6 +38,7 @@ def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 200) -> np.ndarr
     np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]))
     s = s - 1e-12 * np.arange(n)[None, :]
     r, a, rows = np.zeros_like(s), np.zeros_like(s), np.arange(n)
+    before, kept = np.zeros(n, dtype=bool), 0
     for _ in range(rounds):
         v = a + s
         top = v.argmax(axis=1)
@@ -96,6 +54,11 @@ def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 200) -> np.ndarr
         new = np.minimum(new, 0)
         np.fill_diagonal(new, own)
         a = damping * a + (1 - damping) * new
+        now = (a + r).diagonal() > 0
+        kept = kept + 1 if now.any() and np.array_equal(now, before) else 0
+        before = now
+        if kept >= steady:
+            break
     centres = np.flatnonzero((a + r).diagonal() > 0)
     if not len(centres):
         return np.zeros(n, dtype=int)
@@ -104,43 +67,6 @@ def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 200) -> np.ndarr
     return label
 
 
-def density(d: np.ndarray, least: int = 2) -> np.ndarray:
-    """Density clustering in place of HDBSCAN: single linkage over mutual reachability, cut at its widest gap; groups under `least` are noise (-1)."""
-    n = len(d)
-    if n <= least:
-        return np.full(n, -1) if n < least else np.zeros(n, dtype=int)
-    core = np.sort(d, axis=1)[:, min(least, n - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), d)
-    inside, edge, parent = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, dtype=int)
-    edge[0], links = 0, []
-    for _ in range(n):  # Prim's tree
-        i = int(np.argmin(np.where(inside, np.inf, edge)))
-        inside[i] = True
-        if links or i:
-            links.append((edge[i], i, parent[i]))
-        near = ~inside & (reach[i] < edge)
-        edge[near], parent[near] = reach[i][near], i
-    links.sort()
-    w = np.array([x[0] for x in links])
-    cut = w[int(np.argmax(np.diff(w)))] if len(w) > 1 else w[0]
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for x, i, j in links:
-        if x <= cut:
-            root[find(i)] = find(j)
-    label = np.unique([find(i) for i in range(n)], return_inverse=True)[1]
-    small = np.bincount(label) < least
-    label = np.where(small[label], -1, label)
-    keep = np.unique(label[label >= 0])
-    return np.where(label >= 0, np.searchsorted(keep, label), -1)
-
-
 def collapse(d: np.ndarray, threshold: float) -> np.ndarray:
     """Each cluster, in order, takes in every later one nearer than threshold, by the distances as they were."""
     n, out = len(d), np.full(len(d), -1)
@@ -170,55 +96,104 @@ def best_collapse(centres: np.ndarray, thresholds: tuple[float, ...] = (0.2, 0.2
     return found
 
 
-METHODS = {"agglomerative": lambda d: best_k(d)[1], "affinity": affinity, "density": density}
+#: Labels by method, from vectors and their cosine distances. Density works on Euclidean distances.
+METHODS = {
+    "agglomerative": lambda x, d: linkage.best_cut(d)[1],
+    "affinity": lambda x, d: affinity(d),
+    **{name: lambda x, d, own=own: density.labels(x, own) for name, own in density.SETTINGS.items()},
+}
 
 
-def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str = "id", vector: str = "vector") -> DataFrame:
-    """(group, key, cluster) with every group clustered on its own; cluster -1 is noise. method 'best' takes, group by
-    group, the method whose clusters score best."""
+def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str = "id", vector: str = "vector", named: bool = False) -> DataFrame:
+    """(group, key, cluster) with every group clustered on its own; cluster -1 is noise, and clusters are numbered from 0.
+
+    method 'best' takes, group by group, the method whose clusters score best. named: with the method that a row's
+    group went through; that of a group of too many rows for one task ends in '-in-parts', but for density clustering,
+    whose result is the same either way.
+    """
     if method != "best" and method not in METHODS:
         raise ValueError(f"unknown method: {method}")
+    kinds = rows.schema
+    rows = rows.select(F.col(group).cast("bigint").alias("group"), F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    most = AFFINITY_ROWS if method in ("affinity", "best") else GROUP_ROWS
+    large = cut_lineage(rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most).select("group"), "large-groups")
+    split = not large.isEmpty()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(key)
-        x = np.stack(df[vector].to_list()).astype(float)
+        df = df.sort_values("id")
+        x = np.stack(df["vector"].to_list())
         d = cosine_distances(x)
 
         def score(label: np.ndarray) -> float:
             ks = np.unique(label[label >= 0])
             return spread_score(cosine_distances(np.stack([x[label == k].mean(axis=0) for k in ks]))) if len(ks) else -1.0
 
-        label = max((f(d) for f in METHODS.values()), key=score) if method == "best" else METHODS[method](d)
-        return pd.DataFrame({group: df[group], "__part": df["__part"], key: df[key], "cluster": label.astype("int32")})
-
-    kinds = rows.schema
-    out = f"`{group}` {kinds[group].dataType.simpleString()}, __part bigint, `{key}` {kinds[key].dataType.simpleString()}, cluster int"
-    parted = split_large(rows.select(group, key, vector), group, key, vector)
-    found = parted.groupBy(group, "__part").applyInPandas(run, out)
-    if parted.where("__part > 0").isEmpty():
-        return found.drop("__part")
-    # parts of a large group number their clusters one after the other
-    most = found.groupBy(group, "__part").agg((F.max("cluster") + 1).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = found.join(most.select(group, "__part", before.alias("__before")), [group, "__part"])
-    return both.select(group, key, F.when(F.col("cluster") < 0, -1).otherwise(F.col("cluster") + F.col("__before")).cast("int").alias("cluster"))
-
-
-def split_large(rows: DataFrame, group: str, key: str, vector: str, most: int = GROUP_ROWS) -> DataFrame:
-    """rows with __part: 0 throughout small groups; in groups of more than most rows, by the sides of as many random planes as make
-    parts of half that size on average, and by the key's hash where a part is still too large (many equal vectors)."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
-    if sizes.isEmpty():
-        return rows.withColumn("__part", F.lit(0).cast("bigint"))
-    width = rows.select(F.size(vector).alias("n")).first()["n"]
-    rng = np.random.default_rng(7)
-    sides = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in rng.standard_normal(width)]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) > 0, 1 << k).otherwise(0) for k in range(PLANES)]
-    planes = F.least(F.lit(PLANES), F.ceil(F.log2(2 * F.col("__n") / most)))
-    side = F.pmod(sum(sides[1:], sides[0]), F.pow(F.lit(2), planes).cast("bigint"))
-    both = rows.join(F.broadcast(sizes), group, "left").withColumn("__side", F.when(F.col("__n").isNull(), 0).otherwise(side + 1).cast("bigint"))
-    full = both.groupBy(group, "__side").agg(F.ceil(F.count("*") / most).alias("__cuts"))
-    part = F.col("__side") * (1 << 20) + F.pmod(F.xxhash64(key), F.col("__cuts"))
-    return both.join(full, [group, "__side"]).select(group, key, vector, F.when(F.col("__n").isNull(), 0).otherwise(part).cast("bigint").alias("__part"))
+        found = {name: f(x, d) for name, f in METHODS.items() if method in ("best", name)}
+        name = max(found, key=lambda k: score(found[k])) if len(found) > 1 else method
+        return pd.DataFrame({"group": df["group"], "part": df["part"], "id": df["id"], "cluster": found[name].astype("int32"), "method": name})
+
+    schema = "group bigint, part bigint, id bigint, cluster int, method string"
+    small = rows.join(large, "group", "left_anti") if split else rows
+    found = small.withColumn("part", F.lit(0).cast("bigint")).groupBy("group", "part").applyInPandas(run, schema).drop("part")
+    if split:
+        big = rows.join(large, "group", "left_semi")
+        if method in density.SETTINGS:
+            more = density.large_groups(big, density.SETTINGS[method]).withColumn("method", F.lit(method))
+        else:
+            more = _numbered(bisected(big, most).groupBy("group", "part").applyInPandas(run, schema)).withColumn("method", F.concat("method", F.lit("-in-parts")))
+        found = found.unionByName(more)
+    out = [F.col("group").cast(kinds[group].dataType).alias(group), F.col("id").cast(kinds[key].dataType).alias(key), "cluster"]
+    return found.select(*out, *(["method"] if named else []))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """The clusters of a group's parts numbered one after the other."""
+    found = cut_lineage(found, "parts-clustered")
+    most = found.groupBy("group", "part").agg((F.max("cluster") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = found.join(most.select("group", "part", before.alias("before")), ["group", "part"])
+    return both.select("group", "id", F.when(F.col("cluster") < 0, -1).otherwise(F.col("cluster") + F.col("before")).cast("int").alias("cluster"), "method")
+
+
+def two_means(rows: DataFrame, rounds: int | None = None) -> DataFrame:
+    """rows (group, part, id, vector) with side: each part in two by two-means over cosine, all parts at once.
+
+    The first centre is the vector of the least hashed id, the second the one farthest from it; equal sides go to the first.
+    """
+    rows = cut_lineage(rows.withColumn("vector", vectors.normalize(F.col("vector"))), "two-means")
+    by = ["group", "part"]
+    one = rows.groupBy(*by).agg(F.min_by("vector", F.struct(F.xxhash64("id"), "id")).alias("one"))
+    far = rows.join(one, by).groupBy(*by).agg(F.first("one").alias("one"), F.min_by("vector", F.struct(vectors.dot(F.col("vector"), F.col("one")), "id")).alias("two"))
+    centres = cut_lineage(far, "centres")
+    side = (vectors.dot(F.col("vector"), F.col("two")) > vectors.dot(F.col("vector"), F.col("one"))).cast("int")
+    for _ in range(MEANS_ROUNDS if rounds is None else rounds):
+        sums = rows.join(centres, by).select(*by, side.alias("side"), array_to_vector("vector").alias("v")).groupBy(*by, "side").agg(Summarizer.mean(F.col("v")).alias("mean"))
+        mean = vector_to_array("mean")
+        new = sums.groupBy(*by).agg(F.first(F.when(F.col("side") == 0, mean), ignorenulls=True).alias("m0"), F.first(F.when(F.col("side") == 1, mean), ignorenulls=True).alias("m1"))
+        centres = cut_lineage(centres.join(new, by).select(*by, vectors.normalize(F.coalesce("m0", "one")).alias("one"), vectors.normalize(F.coalesce("m1", "two")).alias("two")), "centres")
+    return rows.join(centres, by).select(*by, "id", "vector", side.alias("side"))
+
+
+def bisected(rows: DataFrame, most: int) -> DataFrame:
+    """rows (group, id, vector) with part: groups cut by two-means again and again until no part has more than most rows.
+
+    A part that two-means leaves whole has vectors of one direction only; its rows are dealt by the hash of their id.
+    """
+    now, done = cut_lineage(rows.withColumn("part", F.lit(1).cast("bigint")), "bisected"), None
+    while True:
+        sizes = now.groupBy("group", "part").agg(F.count("*").alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > most), "parts-large")
+        fit = now.join(large, ["group", "part"], "left_anti")
+        done = fit if done is None else done.unionByName(fit)
+        if large.isEmpty():
+            return done.select("group", "id", "vector", "part")
+        sides = cut_lineage(two_means(now.join(large.drop("n"), ["group", "part"], "left_semi")), "bisected-sides")
+        cut = sides.groupBy("group", "part").agg(F.min("side").alias("least"), F.max("side").alias("last"), F.ceil(F.count("*") / most).alias("deals"))
+        both = sides.join(cut, ["group", "part"])
+        whole = F.col("least") == F.col("last")
+        dealt = both.where(whole).select("group", "id", "vector", (-F.col("part") * (1 << 20) - F.pmod(F.xxhash64("id"), F.col("deals"))).alias("part"))
+        done = done.unionByName(dealt)
+        now = both.where(~whole).select("group", "id", "vector", (2 * F.col("part") + F.col("side")).alias("part"))
 
 
 def members(rows: DataFrame, group: str = "topic", key: str = "id") -> DataFrame:
@@ -287,24 +262,44 @@ def recluster_large(rows: DataFrame, found: DataFrame, method: str, group: str =
 
 
 def break_largest(rows: DataFrame, found: DataFrame, least: int = 6, rounds: int = 5, group: str = "topic", key: str = "id", vector: str = "vector") -> DataFrame:
-    """found (group, key, cluster) with each group's largest cluster, if it has `least` members, broken up in two by distance, up to `rounds` times."""
+    """found (group, key, cluster) with each group's largest cluster, if it has `least` members, broken up in two, up to `rounds` times.
+
+    Only that cluster's rows are read. One that fits a task is broken by average linkage, a larger one by two-means.
+    """
+    kinds = rows.schema
+    own = rows.select(F.col(group).cast("bigint").alias("group"), F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    now = cut_lineage(found.select(F.col(group).cast("bigint").alias("group"), F.col(key).cast("bigint").alias("id"), "cluster"), "to-break")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        label = df["cluster"].to_numpy().copy()
-        d = cosine_distances(np.stack(df[vector].to_list()).astype(float))
-        for _ in range(rounds):
-            ks, n = np.unique(label[label >= 0], return_counts=True)
-            if not len(ks) or n.max() < least:
-                break
-            own = np.flatnonzero(label == ks[n.argmax()])
-            part = agglomerate(d[np.ix_(own, own)], 2)
-            label[own[part == 1]] = label.max() + 1
-        return pd.DataFrame({group: df[group], key: df[key], "cluster": label.astype("int32")})
+        df = df.sort_values("id")
+        d = cosine_distances(np.stack(df["vector"].to_list()))
+        return pd.DataFrame({"group": df["group"], "id": df["id"], "side": linkage.cut(linkage.dendrogram(d), len(df), 2).astype("int32")})
 
-    kinds = rows.schema
-    out = f"`{group}` {kinds[group].dataType.simpleString()}, `{key}` {kinds[key].dataType.simpleString()}, cluster int"
-    parts = found.join(rows, [group, key])  # one topic's sources, as cluster_groups takes them
-    return parts.select(group, key, "cluster", vector).groupBy(group).applyInPandas(run, out)
+    for _ in range(rounds):
+        sizes = now.where("cluster >= 0").groupBy("group", "cluster").agg(F.count("*").alias("n"))
+        most = now.groupBy("group").agg(F.max("cluster").alias("most"))
+        top = sizes.groupBy("group").agg(F.max(F.struct("n", (-F.col("cluster")).alias("first"))).alias("m")).where(F.col("m.n") >= least)
+        top = cut_lineage(top.select("group", (-F.col("m.first")).alias("cluster"), F.col("m.n").alias("n")).join(most, "group"), "largest")
+        if top.isEmpty():
+            break
+        members = now.join(top, ["group", "cluster"]).join(own, ["group", "id"])
+        sides = members.where(F.col("n") <= GROUP_ROWS).select("group", "id", "vector").groupBy("group").applyInPandas(run, "group bigint, id bigint, side int")
+        if not top.where(F.col("n") > GROUP_ROWS).isEmpty():
+            wide = members.where(F.col("n") > GROUP_ROWS).select("group", F.lit(0).cast("bigint").alias("part"), "id", "vector")
+            sides = sides.unionByName(two_means(wide).select("group", "id", "side"))
+        moved = sides.where("side = 1").join(most, "group").select("group", "id", (F.col("most") + 1).cast("int").alias("new"))
+        now = cut_lineage(now.join(moved, ["group", "id"], "left").select("group", "id", F.coalesce("new", "cluster").alias("cluster")), "to-break")
+    return now.select(F.col("group").cast(kinds[group].dataType).alias(group), F.col("id").cast(kinds[key].dataType).alias(key), "cluster")
+
+
+def settle_noise(rows: DataFrame, found: DataFrame, method: str = "affinity", group: str = "topic", key: str = "id") -> DataFrame:
+    """found (group, key, cluster) with the noise of each group clustered on its own, numbered after the rest."""
+    found = cut_lineage(found.select(group, key, "cluster"), "with-noise")
+    noise = found.where("cluster < 0").select(group, key)
+    again = cluster_groups(rows.join(noise, [group, key], "left_semi"), method, group, key)
+    most = found.groupBy(group).agg((F.max("cluster") + 1).alias("__m"))
+    again = again.join(most, group).select(group, key, (F.col("cluster") + F.col("__m")).cast("int").alias("cluster"))
+    return found.where("cluster >= 0").unionByName(again)
 
 
 def with_ignored(rows: DataFrame, method: str, group: str = "topic", key: str = "id") -> DataFrame:

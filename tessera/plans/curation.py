@@ -150,6 +150,13 @@ def reclustered(spark: SparkSession, d: str) -> DataFrame:
     return cluster.recluster_large(rows, cluster.cluster_groups(rows, "density"), "affinity")
 
 
+@query()
+def noise_settled(spark: SparkSession, d: str) -> DataFrame:
+    """What density clustering leaves as noise is clustered on its own."""
+    rows = _topics(spark, d)
+    return cluster.settle_noise(rows, cluster.cluster_groups(rows, "density_leaf"))
+
+
 @query()
 def largest_broken_up(spark: SparkSession, d: str) -> DataFrame:
     rows = _topics(spark, d)

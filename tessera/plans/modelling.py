@@ -18,11 +18,11 @@ def _topics(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("vec_id") % topics).alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-for _m in ("agglomerative", "affinity", "density", "best"):
+for _m in ("agglomerative", "affinity", "density", "density_leaf", "best"):
 
     @query(name=f"cluster_{_m}")
     def _cluster(spark: SparkSession, d: str, method: str = _m) -> DataFrame:
-        return cluster.cluster_groups(_topics(spark, d), method)
+        return cluster.cluster_groups(_topics(spark, d), method, named=True)
 
 
 @query()

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import cluster, generation, intervals, labels, ordering, ranking, retrieval, select
+from tessera.operators import cluster, density, generation, intervals, labels, linkage, ordering, ranking, retrieval, select
 
 
 def test_toy_evaluation(spark):
@@ -66,8 +66,7 @@ def test_spanning_tree_neighbourhoods():
 def test_clusters_of_two_bundles():
     x = np.array([[1, 0.01 * i] for i in range(5)] + [[0.01 * i, 1] for i in range(5)])
     d = cluster.cosine_distances(x)
-    for f in (lambda d: cluster.agglomerate(d, 2), cluster.affinity, cluster.density):
-        label = f(d)
+    for label in (linkage.cut(linkage.dendrogram(d), 10, 2), cluster.affinity(d), density.labels(x, density.Settings(1, 2, "eom", 0.0))):
         assert len(set(label[:5])) == len(set(label[5:])) == 1 and label[0] != label[9]
     assert cluster.collapse(d, 0.3).tolist() == [0] * 5 + [1] * 5
 

@@ -106,19 +106,6 @@ def test_shell_rows(spark):
         shells.EMBEDDERS.make("none")
 
 
-def test_large_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "GROUP_ROWS", 40)
-    rows = spark.range(300).select((F.col("id") % 2 * (F.col("id") < 20).cast("int")).alias("topic"), "id", F.array(F.cos(F.col("id")), F.sin(F.col("id")), F.lit(0.1)).alias("vector"))
-    parts = cluster.split_large(rows, "topic", "id", "vector", 40)
-    sizes = parts.groupBy("topic", "__part").count().collect()
-    assert max(r["count"] for r in sizes) <= 80 and {r["__part"] for r in sizes if r["topic"] == 1} == {0}
-    monkeypatch.setattr(cluster, "split_large", lambda r, g, k, v: r.withColumn("__part", (F.col("id") % 7).cast("bigint")))
-    got = cluster.cluster_groups(rows, "agglomerative")
-    assert got.count() == 300 and got.select("id").distinct().count() == 300
-    per = got.groupBy("topic", "cluster").agg(F.count_distinct(F.col("id") % 7).alias("n")).where("topic = 0").collect()
-    assert {r["n"] for r in per} == {1}  # parts share no cluster
-
-
 def test_samples_and_ranks(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     got = {r["k"] for r in ordering.first_by_hash(rows, "k", 1234, 5).collect()}
