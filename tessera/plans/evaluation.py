@@ -20,11 +20,6 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
 
 
-def _qrels(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d).select("query_id", "label")
-    return _docs(spark, d).select("doc_id", "label").join(q, "label").select("query_id", "doc_id", F.lit(1).alias("relevance"))
-
-
 _SCORED = f"""
 WITH e AS ({_V}), q AS (SELECT vec_id AS query_id, label AS ql, v AS qv FROM e WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS doc_id, {{score}} AS score, (label = ql)::INT AS rel FROM e, q WHERE vec_id % 50 <> 0),
@@ -57,8 +52,8 @@ _COSINE = _SCORED.format(score=_MEASURES["cosine"])
 
 
 def _metrics(spark: SparkSession, d: str, measure: str = "cosine") -> DataFrame:
-    ranked = retrieval.rank(_docs(spark, d), _queries(spark, d), max(retrieval.KS), measure)
-    return retrieval.query_metrics(ranked, _qrels(spark, d), _queries(spark, d))
+    docs, queries = _docs(spark, d), _queries(spark, d)
+    return retrieval.metrics_by_label(retrieval.rank_by_label(docs, queries, max(retrieval.KS), measure)[0], docs, queries)
 
 
 @query(f"{_COSINE}, {_metric_sql()} SELECT query_id, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM m")
@@ -68,7 +63,7 @@ def query_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_COSINE} SELECT query_id, CAST(min(CASE WHEN rel = 1 THEN rank END) AS DOUBLE) AS first_relevant_rank FROM r GROUP BY query_id")
 def first_relevant_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.first_relevant_rank(_docs(spark, d), _queries(spark, d), _qrels(spark, d))
+    return retrieval.rank_by_label(_docs(spark, d), _queries(spark, d), 10, first=True)[1]
 
 
 @query(f"""{_COSINE}, {_metric_sql()}, g AS (SELECT m.*, CAST(label AS VARCHAR) AS label, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS kind FROM m JOIN embeddings ON vec_id = query_id)
@@ -83,8 +78,7 @@ def eval_breakdowns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_COSINE} SELECT query_id, string_agg(rank || ':' || doc_id || ':' || rel, ',' ORDER BY rank) AS top FROM r WHERE rank <= 10 GROUP BY query_id")
 def top10_lists(spark: SparkSession, d: str) -> DataFrame:
-    ranked = retrieval.rank(_docs(spark, d), _queries(spark, d), 10)
-    lists = retrieval.top_lists(ranked, _qrels(spark, d))
+    lists = retrieval.top_lists(retrieval.rank_by_label(_docs(spark, d), _queries(spark, d), 10)[0])
     one = lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"].cast("string"), x["is_relevant"].cast("int").cast("string"))
     return lists.select("query_id", F.array_join(F.transform("top", one), ",").alias("top"))
 
@@ -95,10 +89,9 @@ SELECT CASE grouping(label, kind, category) WHEN 7 THEN 'overall' WHEN 3 THEN 'l
  count(*) AS query_count, round(avg(first), 6) AS mean_first_relevant_rank, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM g GROUP BY GROUPING SETS ((), (label), (kind), (category))""")
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     """All 19 means, overall and by three keys."""
-    docs, queries, qrels = _docs(spark, d), _queries(spark, d), _qrels(spark, d)
-    ranked = retrieval.rank(docs, queries, max(retrieval.KS))
-    first = retrieval.first_relevant_rank(docs, queries, qrels).withColumnRenamed("first_relevant_rank", "mean_first_relevant_rank")
-    m = retrieval.query_metrics(ranked, qrels, queries).join(first, "query_id").join(queries.select("query_id", "label"), "query_id")
+    docs, queries = _docs(spark, d), _queries(spark, d)
+    hits, first = retrieval.rank_by_label(docs, queries, max(retrieval.KS), first=True)
+    m = retrieval.metrics_by_label(hits, docs, queries).join(first.withColumnRenamed("first_relevant_rank", "mean_first_relevant_rank"), "query_id").join(queries.select("query_id", "label"), "query_id")
     m = m.withColumn("kind", F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd")).withColumn("category", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
     names = [*_NAMES, "mean_first_relevant_rank"]
     return retrieval.breakdowns(m, names, ["label", "kind", "category"]).select("grouping", "group_value", "query_count", *[F.round(n, 6).alias(n) for n in names])
@@ -108,7 +101,7 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT label, a, b FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))""")
 def pareto_front(spark: SparkSession, d: str) -> DataFrame:
     m = _metrics(spark, d).join(_queries(spark, d).select("query_id", "label"), "query_id")
-    return retrieval.pareto(m.groupBy("label").agg(F.round(F.avg("ndcg_10"), 6).alias("a"), F.round(F.avg("recall_50"), 6).alias("b")), "label", ["a", "b"])
+    return retrieval.pareto(m.groupBy("label").agg(F.round(F.avg("ndcg_10"), 6).alias("a"), F.round(F.avg("recall_50"), 6).alias("b")), ["a", "b"])
 
 
 @query("""WITH j AS (SELECT e.vec_id AS query_id, CASE WHEN count(DISTINCT d.lang) = 0 THEN 'unknown' WHEN count(DISTINCT d.lang) = 1 THEN min(d.lang) ELSE 'mixed' END AS category
@@ -248,8 +241,8 @@ def vote_weights(spark: SparkSession, d: str) -> DataFrame:
 SELECT k, round(recall, 6) AS recall FROM a ORDER BY recall DESC, k LIMIT 1""")
 def best_parameters(spark: SparkSession, d: str) -> DataFrame:
     """The number of neighbours with the highest mean recall, of a grid."""
-    ranked, qrels = retrieval.rank(_docs(spark, d), _queries(spark, d), 20), _qrels(spark, d)
+    docs, queries = _docs(spark, d), _queries(spark, d)
     grid = retrieval.experiment_grid(spark, k=[5, 10, 20])
-    wide = retrieval.query_metrics(ranked, qrels, _queries(spark, d), (5, 10, 20)).agg(*[F.round(F.avg(f"recall_{k}"), 9).alias(f"{k}") for k in (5, 10, 20)])
+    wide = retrieval.metrics_by_label(retrieval.rank_by_label(docs, queries, 20)[0], docs, queries, (5, 10, 20)).agg(*[F.round(F.avg(f"recall_{k}"), 9).alias(f"{k}") for k in (5, 10, 20)])
     long = wide.unpivot([], ["5", "10", "20"], "k", "recall").withColumn("k", F.col("k").cast("int"))
     return grid.select(F.col("k").cast("int").alias("k")).join(long, "k").orderBy(F.desc("recall"), "k").limit(1).select("k", F.round("recall", 6).alias("recall"))
