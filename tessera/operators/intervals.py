@@ -1,29 +1,64 @@
-"""Interval operators over references (book, start, end), both ends included.
+"""Interval operators over references (book, start, end), both ends included; one that ends before it starts holds no place.
 
-Joins are equi-joins on (book, bin): every interval lies in the bins it touches, pairs meet where the later one
-starts, so a pair is made once and no book lands in one task as a whole.
+An interval's level is the least power of two of at least its length, so it touches two bins of that size at most,
+however long it is. Two intervals meet at the level of the longer one: that one stands in the bins of its own level
+only, the shorter one in the two that it touches at each level from its own up that occurs at all. They share a place
+often when they share such a bin, so few pairs are looked at in vain, and no book lands in one task as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 64
-#: Places of a book whose references are merged together at first.
+#: The smallest level of bins, as a power of two.
+LEAST_LEVEL = 5
+#: Places of a book whose references are put in order together at first.
 STRETCH = 1024
 
 
-def _binned(rows: DataFrame, prefix: str) -> DataFrame:
-    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))
-    return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns], F.explode(bins).alias("bin"), F.col("book"))
+def level(start: Column, end: Column) -> Column:
+    """The power of two of the bins for intervals of this length."""
+    return F.greatest(F.lit(LEAST_LEVEL), F.when(end > start, F.length(F.bin(end - start))).otherwise(0))
+
+
+def _bin(place: Column) -> Column:
+    return F.call_function("shiftright", place.cast("bigint"), F.col("level").cast("int"))
+
+
+def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
+    own = rows.where(F.col("end") >= F.col("start")).withColumn("__level", level(F.col("start"), F.col("end")))
+    return own.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns], F.col("book"), F.col("__level"))
+
+
+def _in_bins(rows: DataFrame, prefix: str, levels: Column) -> DataFrame:
+    """A row for each bin that an interval touches at each of the levels."""
+    at = rows.withColumn("level", F.explode(levels))
+    bins = lambda c: _bin(F.col(f"{prefix}_{c}"))
+    return at.withColumn("bin", F.explode(F.array_distinct(F.array(bins("start"), bins("end"))))).drop("__level")
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of tables whose rows of equal (book, level, bin) meet: left is as long or longer, then right is."""
+    a, b = _prefixed(left, "a"), _prefixed(right, "b")
+    found = a.select("__level").union(b.select("__level")).distinct().collect()  # at most one a bit of a number
+    levels = F.array(*[F.lit(n) for n in sorted(r[0] for r in found)] or [F.lit(LEAST_LEVEL)])
+    own = F.array("__level")
+    up = F.filter(levels, lambda x: x >= F.col("__level"))
+    above = F.filter(levels, lambda x: x > F.col("__level"))
+    return [(_in_bins(a, "a", own), _in_bins(b, "b", up)), (_in_bins(a, "a", above), _in_bins(b, "b", own))]
+
+
+_SHARED = "a_start <= b_end and b_start <= a_end"
 
 
 def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs of the same book that share a place; columns a_... and b_..."""
-    a, b = _binned(left, "a"), _binned(right, "b")
-    both = a.join(b, ["book", "bin"]).where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
-    return both.where(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / BIN)).drop("bin", "book")
+    """All pairs of the same book that share a place, once; columns a_... and b_..."""
+    once = F.col("bin") == _bin(F.greatest("a_start", "b_start"))
+    (a, b), (c, d) = _meetings(left, right)
+    keys = ["book", "level", "bin"]
+    both = a.join(b, keys).unionByName(c.join(d, keys))
+    return both.where(_SHARED).where(once).drop(*keys)
 
 
 def containment_join(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -32,16 +67,30 @@ def containment_join(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def without_overlap(rows: DataFrame, occupied: DataFrame, key: str = "ref") -> DataFrame:
-    """Rows that overlap nothing occupied."""
-    hit = overlap_join(rows, occupied).select(F.col(f"a_{key}").alias(key)).distinct()
-    return rows.join(hit, key, "left_anti")
+    """Rows that overlap nothing occupied. Equal references are looked up once, and a row stops at the first hit."""
+    places = ["book", "start", "end"]
+    hits = None
+    for a, b in _meetings(rows.select(*places).distinct(), occupied.select(*places).distinct()):
+        hit = a.join(b.drop("b_book"), (a["book"] == b["book"]) & (a["level"] == b["level"]) & (a["bin"] == b["bin"]) & F.expr(_SHARED), "left_semi").select("a_book", "a_start", "a_end")
+        hits = hit if hits is None else hits.unionByName(hit)
+    hits = hits.distinct()
+    return rows.join(hits, (rows["book"] == hits["a_book"]) & (rows["start"] == hits["a_start"]) & (rows["end"] == hits["a_end"]), "left_anti")
 
 
 def drop_containing(rows: DataFrame, key: str = "ref") -> DataFrame:
-    """Of nested references the smallest stay; of equal ones the first by key. Every row is compared, the last one too."""
-    pairs = containment_join(rows, rows).where(F.col(f"a_{key}") != F.col(f"b_{key}"))
-    smaller = (F.col("b_end") - F.col("b_start") < F.col("a_end") - F.col("a_start")) | (F.col(f"b_{key}") < F.col(f"a_{key}"))
-    return rows.join(pairs.where(smaller).select(F.col(f"a_{key}").alias(key)).distinct(), key, "left_anti")
+    """Of nested references the smallest stay; of equal ones the first by key. Every row is compared, the last one too.
+
+    Equal references are one row here. From the last start to the first, a reference holds another if one that starts
+    no earlier ends no later, so a running least end decides: within stretches of a book, and then over the stretches."""
+    places = ["book", "start", "end"]
+    equal = rows.groupBy(*places).agg(F.min(key).alias("__key")).withColumn("__stretch", F.floor(F.col("start") / STRETCH))
+    before = Window.partitionBy("book", "__stretch").orderBy(F.desc("start"), "end").rowsBetween(Window.unboundedPreceding, -1)
+    marked = equal.withColumn("__least", F.min("end").over(before))
+    later = Window.partitionBy("book").orderBy(F.desc("__stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = equal.groupBy("book", "__stretch").agg(F.min("end").alias("__end")).select("book", "__stretch", F.min("__end").over(later).alias("__later"))
+    inside = F.coalesce(F.least("__least", "__later") <= F.col("end"), F.lit(False))
+    kept = marked.join(stretches, ["book", "__stretch"]).where(~inside).select(*places, F.col("__key").alias(key))
+    return rows.join(kept, [*places, key], "left_semi")
 
 
 def merge_close(rows: DataFrame, gap: int = 2) -> DataFrame:
