@@ -41,12 +41,15 @@ def _in_bins(rows: DataFrame, prefix: str, levels: Column) -> DataFrame:
 def _meetings(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """Pairs of tables whose rows of equal (book, level, bin) meet: left is as long or longer, then right is."""
     a, b = _prefixed(left, "a"), _prefixed(right, "b")
-    found = a.select("__level").union(b.select("__level")).distinct().collect()  # at most one a bit of a number
-    levels = F.array(*[F.lit(n) for n in sorted(r[0] for r in found)] or [F.lit(LEAST_LEVEL)])
-    own = F.array("__level")
-    up = F.filter(levels, lambda x: x >= F.col("__level"))
-    above = F.filter(levels, lambda x: x > F.col("__level"))
-    return [(_in_bins(a, "a", own), _in_bins(b, "b", up)), (_in_bins(a, "a", above), _in_bins(b, "b", own))]
+    sides = a.select(F.lit(0), "__level").union(b.select(F.lit(1), "__level")).distinct().collect()  # at most two a bit of a number
+    of = [sorted(n for k, n in sides if k == side) for side in (0, 1)]
+    own, at = F.array("__level"), lambda levels: F.array(*[F.lit(n) for n in levels])
+    found = []
+    if of[0] and of[1] and of[0][-1] >= of[1][0]:
+        found.append((_in_bins(a, "a", own), _in_bins(b, "b", F.filter(at(of[0]), lambda x: x >= F.col("__level")))))
+    if not found or of[1][-1] > of[0][0]:
+        found.append((_in_bins(a, "a", F.filter(at(of[1] or [LEAST_LEVEL]), lambda x: x > F.col("__level"))), _in_bins(b, "b", own)))
+    return found
 
 
 _SHARED = "a_start <= b_end and b_start <= a_end"
@@ -55,9 +58,10 @@ _SHARED = "a_start <= b_end and b_start <= a_end"
 def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs of the same book that share a place, once; columns a_... and b_..."""
     once = F.col("bin") == _bin(F.greatest("a_start", "b_start"))
-    (a, b), (c, d) = _meetings(left, right)
-    keys = ["book", "level", "bin"]
-    both = a.join(b, keys).unionByName(c.join(d, keys))
+    keys, both = ["book", "level", "bin"], None
+    for a, b in _meetings(left, right):
+        pairs = a.join(b, keys)
+        both = pairs if both is None else both.unionByName(pairs)
     return both.where(_SHARED).where(once).drop(*keys)
 
 

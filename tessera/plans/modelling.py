@@ -53,15 +53,34 @@ def pl_posterior(spark: SparkSession, d: str) -> DataFrame:
     return ranking.summary(ranking.posterior(r, items))
 
 
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("section"), F.col("turn").alias("place"), "text")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(_sections(spark, d), settings=chunking.Settings(least=40, most=120))
+
+
 @query()
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("section"), F.col("turn").alias("place"), chunking.prepare(F.col("text")).alias("text"))
-    return chunking.chunk(rows, most=120)
+    return _chunks(spark, d)
 
 
 @query()
 def chunk_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.manifest(chunk_sections(spark, d))
+    return chunking.manifest(_chunks(spark, d))
+
+
+@query(r"""WITH t AS (SELECT conv_id AS section, turn, regexp_replace(nfc_normalize(coalesce(text, '')), '\s+', '', 'g') AS t FROM conversations)
+SELECT section, CAST(sum(length(t)) AS BIGINT) AS letters, md5(string_agg(t, '' ORDER BY turn)) AS text, true AS ordered, true AS fits FROM t WHERE t <> '' GROUP BY section""")
+def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """A section's chunks hold all of its letters in order, follow each other, and none is too long."""
+    chunks = _chunks(spark, d)
+    parts = F.array_sort(F.collect_list(F.struct("chunk", F.regexp_replace("text", r"\s+", "").alias("t"), "first", "last")))
+    own = chunks.groupBy("section").agg(parts.alias("p"), F.max("tokens").alias("most"))
+    follow = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.get("p", i - 1)["first"] >= F.get("p", i - 2)["last"]))
+    joined = F.array_join(F.col("p.t"), "")
+    return own.select("section", F.length(joined).cast("bigint").alias("letters"), F.md5(joined).alias("text"), follow.alias("ordered"), (F.col("most") <= 120).alias("fits"))
 
 
 @query("SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256(text), 1, 2) AS INT) % 2 = 1")

@@ -9,6 +9,7 @@ from tessera.plans import catalog
 DATA = "/root/testdata/sf0.001"
 NEW = ("values", "files", "shelled", "gathering", "curation")
 SOME = ["vec_rank_cosine", "eval_breakdowns", "eval_summary", "top10_lists", "first_relevant_rank", "micro_prf", "label_confusion", "confounder_band", "gap_islands", "nested_dedupe", "pagerank", "ngram_counts_2", "seeded_sample", "balanced_concat", "hierarchy_closure", "pairwise_mi"]
+SOME += ["chunk_coverage", "knn_tags", "pareto_front", "best_parameters", "containment", "free_of_overlap", "query_metrics"]
 SOME += [n for n, f in catalog.queries().items() if f.__module__.rsplit(".", 1)[1] in NEW and n in catalog.oracle_sql()]
 
 
