@@ -82,6 +82,17 @@ class Scratch:
         return out
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as make them new to docs, in any letter case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,19 +43,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Exactly one row of docs for each text (A-Z lower-cased), with the columns as they came: that with the largest id.
 
     Rows are judged by id and text, so a row of its own text stays even where its id recurs with another text. Of
-    rows that share both, or have null ids only, the one that sorts last as JSON stays. Null texts count as empty.
+    rows that share both, or have null ids only, the one that sorts last as JSON stays. Null texts count as empty, an
+    empty table gives an empty one, and extra columns may have any names.
     """
     norm = common.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    own, doc, sha, text, last = common.unused(docs, "own", "doc", "sha", "norm", "last")
+    scratch = common.Scratch()
     found = exact_classes(docs, id_col, text_col, salts)
-    judged = common.stage(found.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-judged")
-    drop = judged.where(~F.col("kept")).select("__id", "__sha").distinct()
-    rows = docs.withColumn("__own", F.sha2(norm, 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    judged = scratch.stage(found.select(F.col(id_col).alias(doc), F.col("text_sha256").alias(sha), "kept"), "exact-judged")
+    drop = judged.where(~F.col("kept")).select(doc, sha).distinct()
+    rows = docs.withColumn(own, F.sha2(norm, 256))
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sha))
     left = rows.join(drop, same, "left_anti")
-    again = common.stage(judged.where("kept").groupBy("__sha").count().where("count > 1").select("__sha"), "exact-repeated")
+    again = scratch.stage(judged.where("kept").groupBy(sha).count().where("count > 1").select(sha), "exact-repeated")
     if again.isEmpty():
         return left.select(docs.columns)
-    here = F.col("__own") == F.col("__sha")
+    here = F.col(own) == F.col(sha)
     row = F.struct(*docs.columns)
-    one = left.join(again, here, "left_semi").groupBy("__own", norm.alias("__norm")).agg(F.max_by(row, F.to_json(row)).alias("row"))
-    return left.join(again, here, "left_anti").select(docs.columns).unionByName(one.select("row.*"))
+    one = left.join(again, here, "left_semi").groupBy(own, norm.alias(text)).agg(F.max_by(row, F.to_json(row)).alias(last))
+    return left.join(again, here, "left_anti").select(docs.columns).unionByName(one.select(f"{last}.*"))

@@ -2,8 +2,8 @@
 
 Documents become pieces of at most CAPACITY tokens; pieces are dealt into shards of bounded size. Each shard
 is evolved on several islands (a task's row each): an individual is a set of bins, crossover injects whole
-well-filled bins of one parent into the other, removes what then is double, and best-fits the displaced
-pieces; after each epoch every island hands its elite to the next. Of each shard's best elite, the bins that
+well-filled bins of one parent into the other, removes what then is double, lets displaced pieces take the places of
+shorter ones where a bin gets fuller by that, and best-fits those left; after each epoch every island hands its elite to the next. Of each shard's best elite, the bins that
 are not well filled are opened again and their pieces dealt into fewer shards, until one shard is left.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,12 @@ class Bins:
         self.by_room[free].append(k)
         self.mask |= 1 << free
 
+    def unfile(self, k: int) -> None:
+        room = self.free[k]
+        self.by_room[room].remove(k)
+        if not self.by_room[room]:
+            self.mask &= ~(1 << room)
+
     def best_fit(self, item: int, length: int) -> None:
         rooms = self.mask >> length
         if not rooms:
@@ -125,39 +132,79 @@ def crossover(a: Bins, b: Bins, lengths: list[int], rng: random.Random) -> Bins:
             child.add(list(items), free)
         else:
             displaced.extend(i for i in items if i not in taken)
-    displaced.sort(key=lambda i: (-lengths[i], i))
-    return fit_all(displaced, lengths, a.capacity, child)
-
-
-def evolve(lengths: list[int], capacity: int, seeds: list[list[int]], seed: int) -> list[int]:
-    """The bin of each piece in the best individual of one island; seeds: assignments of immigrants and of the island's own elite."""
+    return fit_all(replaced(child, displaced, lengths), lengths, a.capacity, child)
+
+
+def replaced(bins: Bins, displaced: list[int], lengths: list[int]) -> list[int]:
+    """What is displaced, longest first, after pieces of bins gave way to longer displaced ones: one for one, or two for one or two."""
+    loose = sorted((lengths[i], i) for i in displaced)
+    for k in range(len(bins.items)):
+        free = bins.free[k]
+        if not free or not loose:
+            continue
+        items = bins.items[k]
+        best, swap = 0, None
+        for out in [(i,) for i in items] + [(i, j) for at, i in enumerate(items) for j in items[:at]][:10]:
+            gone = sum(lengths[i] for i in out)
+            top = bisect_right(loose, (gone + free, 1 << 62)) - 1
+            if top >= 0 and loose[top][0] - gone > best:
+                best, swap = loose[top][0] - gone, (out, (top,))
+            if len(out) == 2 and top >= 1:  # two for two: the longer one gives way step by step
+                low, high = 0, top
+                while low < high and best < free:
+                    both = loose[low][0] + loose[high][0]
+                    if both - gone > free:
+                        high -= 1
+                    else:
+                        if both - gone > best:
+                            best, swap = both - gone, (out, (low, high))
+                        low += 1
+            if best == free:
+                break
+        if swap:
+            out, taken = swap
+            new = [loose[t] for t in taken]
+            for t in sorted(taken, reverse=True):
+                loose.pop(t)
+            bins.unfile(k)
+            bins.items[k] = [i for i in items if i not in out] + [i for _, i in new]
+            bins.free[k] = free - best
+            bins._file(k, free - best)
+            for i in out:
+                insort(loose, (lengths[i], i))
+    return [i for _, i in sorted(loose, key=lambda x: (-x[0], x[1]))]
+
+
+def evolve(lengths: list[int], capacity: int, seeds: list[list[int]], seed: int) -> tuple[list[int], int]:
+    """The bin of each piece in the best individual of one island, and how many were bred; seeds: assignments of immigrants and of the island's own elite.
+
+    The first generation breeds always. After it, an island whose best has no more bins than its tokens fill stops.
+    """
     rng = random.Random(seed)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     least = -(-sum(lengths) // capacity)
     people = [_of(assign, lengths, capacity) for assign in seeds]
     if not people:
         people.append(fit_all(order, lengths, capacity))
-    best = max(people, key=fitness)
     for k in range(POPULATION - len(people)):
-        if len(best.items) <= least:
-            break
         noise = [lengths[i] * (1 + 0.05 * (k + 1) * rng.random()) for i in range(len(lengths))]
         people.append(fit_all(sorted(order, key=lambda i: -noise[i]), lengths, capacity))
-        best = max(people, key=fitness)
-    for _ in range(CROSSOVERS):
-        if len(best.items) <= least or len(people) < 2:
+    bred = 0
+    for k in range(CROSSOVERS):
+        if k and len(max(people, key=fitness).items) <= least:
             break
         a, b = rng.sample(people, 2)
         child = crossover(a, b, lengths, rng)
+        bred += 1
         worst = min(range(len(people)), key=lambda k: fitness(people[k]))
         if fitness(child) > fitness(people[worst]):
             people[worst] = child
-        best = max(people, key=fitness)
+    best = max(people, key=fitness)
     assign = [0] * len(lengths)
     for k, items in enumerate(best.items):
         for i in items:
             assign[i] = k
-    return assign
+    return assign, bred
 
 
 def _of(assign: list[int], lengths: list[int], capacity: int) -> Bins:
@@ -177,7 +224,7 @@ def _epoch(capacity: int):
             for lengths, elites, shard, island in zip(df["lengths"], df["elites"], df["shard"], df["island"], strict=True):
                 lengths = [int(x) for x in lengths]
                 seeds = [[int(x) for x in e] for e in elites] if elites is not None else []
-                found.append(np.array(evolve(lengths, capacity, seeds, hash((int(shard), int(island), len(seeds)))), dtype=np.int32))
+                found.append(np.array(evolve(lengths, capacity, seeds, hash((int(shard), int(island), len(seeds))))[0], dtype=np.int32))
             yield pd.DataFrame({"shard": df["shard"], "island": df["island"], "lengths": df["lengths"], "elite": found})
 
     return run

@@ -389,7 +389,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     SimHash finds candidate links between fingerprints, and a link counts if the shingle sets have the Jaccard
     similarity. Of each component of linked texts one row stays, that of the smallest doc_id (of several, the one
     that comes first as JSON); a row of another text is not touched where its doc_id recurs. Null doc_ids come
-    last; null texts count as empty, and all texts without words are one group.
+    last; null texts count as empty, and all texts without words are one group. An empty table gives an empty one, and
+    extra columns may have any names.
     """
     common.prepare(docs.sparkSession)
     own = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -401,16 +402,17 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed:
     classes = scratch.stage(prints.groupBy("cid").agg(F.min(place).alias("least"), *[F.min(n).alias(n) for n in names]), "near-classes")
     links = scratch.stage(near_edges(classes.drop("least"), radius_for(similarity, BITS * words), words, scratch=scratch).distinct(), "near-links")
     used = links.select(F.col("a").alias("cid")).union(links.select("b")).distinct()
-    picked = classes.join(used, "cid").select("cid", F.col("least.id").alias("__id"), F.col("least.own").alias("__own"))
-    texts = rows.join(picked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own")))
+    picked = classes.join(used, "cid").select("cid", F.col("least.id").alias("doc"), F.col("least.own").alias("sha"))
+    texts = rows.join(picked, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("sha")))
     good = scratch.stage(verified(links, shingle_sets(texts, shingle, seed).dropDuplicates(["cid"]), similarity), "near-verified")
     judged = prints.join(_groups(classes, good, scratch).select("cid", "component_id"), "cid").select("id", "own", (place == F.col("component_id")).alias("kept"))
-    judged = scratch.result(judged, "near-judged").select(F.col("id").alias("__id"), F.col("own").alias("__own"), "kept")
-    here = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (own == F.col("__own"))
+    doc, sha, last = common.unused(docs, "doc", "sha", "last")
+    judged = scratch.result(judged, "near-judged").select(F.col("id").alias(doc), F.col("own").alias(sha), "kept")
+    here = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (own == F.col(sha))
     left = docs.join(judged.where(~F.col("kept")).drop("kept").distinct(), here, "left_anti")
-    again = common.stage(judged.where("kept").groupBy("__id", "__own").count().where("count > 1").drop("count"), "near-repeated")
+    again = common.stage(judged.where("kept").groupBy(doc, sha).count().where("count > 1").drop("count"), "near-repeated")
     if again.isEmpty():
         return left
     row = F.struct(*docs.columns)
-    one = left.join(again, here, "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return left.join(again, here, "left_anti").unionByName(one.select("__row.*"))
+    one = left.join(again, here, "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias(last))
+    return left.join(again, here, "left_anti").unionByName(one.select(f"{last}.*"))
