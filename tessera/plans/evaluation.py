@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import cluster, labels, retrieval
+from ..operators import cluster, labels, retrieval, tuning
+from ..session import cut_lineage
 from .catalog import query, table
 
 _V = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
@@ -246,3 +247,39 @@ def best_parameters(spark: SparkSession, d: str) -> DataFrame:
     wide = retrieval.metrics_by_label(retrieval.rank_by_label(docs, queries, 20)[0], docs, queries, (5, 10, 20)).agg(*[F.round(F.avg(f"recall_{k}"), 9).alias(f"{k}") for k in (5, 10, 20)])
     long = wide.unpivot([], ["5", "10", "20"], "k", "recall").withColumn("k", F.col("k").cast("int"))
     return grid.select(F.col("k").cast("int").alias("k")).join(long, "k").orderBy(F.desc("recall"), "k").limit(1).select("k", F.round("recall", 6).alias("recall"))
+
+
+_SPACE = {"docs": tuning.Range(5, 100, whole=True), "factor": tuning.Range(0.25, 5), "power": tuning.Range(1, 20)}
+
+
+def tagging_recall(neighbours: DataFrame, gold: DataFrame, trials: DataFrame, share: float) -> DataFrame:
+    """(trial, score): micro recall of tags voted by the first `docs` neighbours, weighed to the `power`, above mean + `factor` deviations.
+
+    Neighbours (ref, rank, score, slugs) meet a few trials; what is summed by trial, ref and label follows. share: of the refs, by hash.
+    """
+    part = F.pmod(F.xxhash64("ref"), F.lit(1000)) < int(1000 * share)
+    weight = F.pow(1 - F.sqrt(F.greatest(F.lit(0.0), 1 - F.pow(vector.relevance_cosine(F.col("score")), 2))), F.col("power"))
+    votes = neighbours.where(part).join(F.broadcast(trials), F.col("rank") <= F.col("docs")).select("trial", "ref", "factor", F.explode("slugs").alias("slug"), weight.alias("w"))
+    votes = votes.groupBy("trial", "ref", "slug").agg(F.sum("w").alias("vote"), F.first("factor").alias("factor"))
+    edges = votes.groupBy("trial", "ref").agg((F.avg("vote") + F.first("factor") * F.stddev_pop("vote")).alias("edge"))
+    tagged = votes.join(edges, ["trial", "ref"]).where(F.col("vote") > F.col("edge"))
+    wanted = gold.where(part).select("ref", F.explode("slugs").alias("slug"))
+    hits = tagged.join(wanted, ["ref", "slug"]).groupBy("trial").agg(F.count("*").alias("hits"))
+    size = wanted.agg(F.count("*").alias("all"))
+    return trials.select("trial").join(hits, "trial", "left").join(F.broadcast(size)).select("trial", (F.coalesce("hits", F.lit(0)) / F.greatest("all", F.lit(1))).alias("score"))
+
+
+def _tagging(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    slugs = F.array(F.concat(F.lit("t"), F.col("label").cast("string")), F.concat(F.lit("m"), (F.col("label") % 3).cast("string"))).alias("slugs")
+    ranked = retrieval.rank(_docs(spark, d), _queries(spark, d), int(_SPACE["docs"].high))
+    near = ranked.join(_docs(spark, d).select("doc_id", slugs), "doc_id").select(F.col("query_id").alias("ref"), "rank", "score", "slugs")
+    return cut_lineage(near, "neighbours"), _queries(spark, d).select(F.col("query_id").alias("ref"), slugs)
+
+
+@query()
+def searched_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The setting of the tagger with the highest recall that a search of 200 trials found, with the trials it scored on all queries."""
+    near, gold = _tagging(spark, d)
+    found = tuning.search(spark, _SPACE, lambda trials, share: tagging_recall(near, gold, trials, share), rounds=5, trials=40, least_share=0.5)
+    rows = [(place, int(t.values["docs"]), t.values["factor"], t.values["power"], t.score) for place, t in enumerate(t for t in found if t.share >= 1)]
+    return spark.createDataFrame(rows, "place int, docs int, factor double, power double, recall double")

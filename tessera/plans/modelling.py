@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, cluster, generation, ranking, select
+from ..operators import additive, chunking, cluster, generation, ranking, select
 from .catalog import query, table
 from .relational import _rankings
 
@@ -53,6 +53,13 @@ def pl_posterior(spark: SparkSession, d: str) -> DataFrame:
     return ranking.summary(ranking.posterior(r, items))
 
 
+@query()
+def additive_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of status and priority on an order's price in a hierarchical model, with intervals and the chains' diagnostics."""
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") / 100_000).cast("double").alias("price"))
+    return additive.summary(additive.sample(rows, ["status", "priority"], "price", additive.Priors(0.5, 1.0, 1.0), draws=500, tune=300))
+
+
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("section"), F.col("turn").alias("place"), "text")
 
