@@ -9,6 +9,7 @@ from ..functions import arrays
 from ..operators import gather, ordering, spans
 from ..session import new_path
 from ..sources import readers, writers
+from ..sources.collections import Collection
 from .catalog import query, table
 
 _DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -120,10 +121,22 @@ def appended_runs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang")
 def overwritten_collection(spark: SparkSession, d: str) -> DataFrame:
     """The second write takes the place of the first."""
-    path, docs = new_path(spark, "collection"), table(spark, d, "documents").select("doc_id", "lang")
-    writers.json_lines(docs, path)
-    writers.json_lines(docs.where("lang <> 'en'"), path)
-    return readers.json_lines(spark, path, "doc_id bigint, lang string").groupBy("lang").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    held = Collection(spark, new_path(spark, "collection"), ["doc_id"], 8)
+    held.replace(docs)
+    held.replace(docs.where("lang <> 'en'"))
+    return held.read().groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'changed' ELSE 'old' END AS origin, source FROM documents WHERE lang <> 'de'")
+def changed_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one language are upserted and those of another deleted; the rest is not written again."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("old").alias("origin"), "source", "lang")
+    held = Collection(spark, new_path(spark, "collection"), ["doc_id"], 8)
+    held.replace(docs)
+    held.upsert(docs.where("lang = 'en'").withColumn("origin", F.lit("changed")))
+    held.delete(docs.where("lang = 'de'"))
+    return held.read().select("doc_id", "origin", "source")
 
 
 @query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Person' ELSE role END, '|' ORDER BY turn) AS labels FROM conversations GROUP BY conv_id")
