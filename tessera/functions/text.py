@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: Letters of a glossary's title that it is looked up by.
+GLOSS_HEAD = 4
+
 
 def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     """A pandas UDF that is made at its first use, so that importing needs no session."""
@@ -444,16 +449,28 @@ def shared_phrase(a: Column, b: Column, words: int = 3) -> Column:
     return F.get(F.array_intersect(runs(a), runs(b)), F.lit(0))
 
 
-def gloss_rewrite(rows: DataFrame, key: str, body: str, glossary: DataFrame, rewrite: Callable[[Column, Column, Column], Column], most: int = 10_000) -> DataFrame:
+def gloss_rewrite(rows: DataFrame, key: str, body: str, glossary: DataFrame, rewrite: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """(key, title, rewritten): a text that holds titles of the glossary (title, gloss) is rewritten for the longest, others stay with a null title.
-    The glossary is sent to all rows; its size is checked."""
-    if glossary.count() > most:
-        raise ValueError(f"more than {most} titles")
-    hit = F.col(body).contains(F.col("title"))
-    met = rows.select(key, body).join(F.broadcast(glossary), hit, "left")
-    best = met.groupBy(key, body).agg(F.max_by(F.struct("title", "gloss"), F.struct(F.length("title"), "title")).alias("g"))
-    new = F.when(F.col("g.title").isNull(), F.col(body)).otherwise(rewrite(F.col(body), F.col("g.title"), F.col("g.gloss")))
-    return best.select(key, F.col("g.title").alias("title"), new.alias("rewritten"))
+
+    Titles are found by their first four letters: every four letters of a text, and shorter titles, are looked up by
+    an equi-join, and only titles that begin so are searched for. Keys may recur; the texts themselves are not grouped.
+    """
+    spark_rows = rows.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(body).alias("__body"))
+    held = cut_lineage(spark_rows, "gloss-rows")
+    size = F.least(F.lit(GLOSS_HEAD), F.length("title"))
+    titles = cut_lineage(glossary.where(F.length("title") > 0).select("title", "gloss", size.alias("__n"), F.substring("title", F.lit(1), size).alias("__head")), "gloss-titles")
+    sizes = [r[0] for r in titles.select("__n").distinct().collect()]  # four at most
+
+    def heads(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__body") - n + 1))
+        return F.transform(places, lambda i: F.substring(F.col("__body"), i, F.lit(n)))
+
+    parts = F.array_distinct(F.flatten(F.array(*map(heads, sizes)))) if sizes else F.array().cast("array<string>")
+    met = held.select("__row", F.explode(parts).alias("__head")).join(titles, "__head").select("__row", "title", "gloss")
+    hits = met.join(held.select("__row", "__body"), "__row").where(F.col("__body").contains(F.col("title")))
+    best = hits.groupBy("__row").agg(F.max_by(F.struct("title", "gloss"), F.struct(F.length("title"), "title")).alias("g"))
+    new = F.when(F.col("g.title").isNull(), F.col("__body")).otherwise(rewrite(F.col("__body"), F.col("g.title"), F.col("g.gloss")))
+    return held.join(best, "__row", "left").select(F.col("__key").alias(key), F.col("g.title").alias("title"), new.alias("rewritten"))
 
 
 def run_id(config: dict) -> str:
