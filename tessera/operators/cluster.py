@@ -227,13 +227,16 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_eve
     return rank
 
 
-def distance_matrix(rows: DataFrame, key: str, vector: str, most: int = 1024) -> DataFrame:
-    """(a, b, distance) by cosine of all pairs of a small table of centres, whose size is checked."""
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} vectors; at most {most} are compared pair by pair")
-    a, b = rows.select(F.col(key).alias("a"), F.col(vector).alias("__x")), rows.select(F.col(key).alias("b"), F.col(vector).alias("__y"))
-    return a.join(F.broadcast(b)).select("a", "b", vectors.cosine_distance(F.col("__x"), F.col("__y")).alias("distance"))
+def distance_matrix(rows: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """(a, b, distance) by cosine of all pairs, which is the result's own size; null where a vector is zero.
+
+    Rows lie in blocks, and every two blocks meet by an equi-join, so that no task holds more than a pair of them."""
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    a = own.select(F.col("k").alias("a"), F.col("v").alias("__x"), F.col("own").alias("i"), every.alias("j"))
+    b = own.select(F.col("k").alias("b"), F.col("v").alias("__y"), every.alias("i"), F.col("own").alias("j"))
+    return a.join(b, ["i", "j"]).select("a", "b", vectors.cosine_distance(F.col("__x"), F.col("__y")).alias("distance"))
 
 
 def alone(rows: DataFrame, condition: Column, key: str) -> DataFrame:

@@ -44,19 +44,22 @@ def paired(left: DataFrame, right: DataFrame, key: str = "ref") -> DataFrame:
 
 def closest(rows: DataFrame, centres: DataFrame, most: float = 1.0) -> DataFrame:
     """(id, centre, distance): the centre (centre, v) nearest by cosine to each row (id, v), if nearer than most; the first of equals.
-    Centres are few and are sent to all rows as one array, whose size is checked."""
-    found = centres.select("centre", "v").orderBy("centre").limit(MOST_CENTRES + 1).collect()
-    if len(found) > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} centres")
-    if not found:
-        return rows.select("id", F.lit(None).cast("bigint").alias("centre"), F.lit(None).cast("double").alias("distance")).where("false")
-    each = [F.struct(vector.cosine_distance(F.col("v"), F.array(*[F.lit(float(x)) for x in r["v"]])).alias("distance"), F.lit(r["centre"]).alias("centre")) for r in found]
-    best = rows.select("id", F.array_min(F.filter(F.array(*each), lambda x: x["distance"].isNotNull())).alias("b"))
+
+    Centres lie in blocks of bounded size; a row meets each block once and keeps its best there. Ids may recur."""
+    n = centres.count()
+    blocks = max(1, -(-n // BLOCK_CENTRES))
+    dealt = centres.select(F.pmod(F.xxhash64("centre"), F.lit(blocks)).alias("__block"), F.struct("centre", F.transform("v", lambda x: x.cast("double")).alias("v")).alias("c")).groupBy("__block").agg(F.collect_list("c").alias("__centres"))
+    own = rows.select(F.monotonically_increasing_id().alias("__row"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    met = own.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "__block")
+    each = F.transform("__centres", lambda c: F.struct(vector.cosine_distance(F.col("v"), c["v"]).alias("distance"), c["centre"].alias("centre")))
+    best = met.select("__row", "id", F.array_min(F.filter(each, lambda x: x["distance"].isNotNull())).alias("b"))
+    if blocks > 1:
+        best = best.groupBy("__row", "id").agg(F.min("b").alias("b"))
     return best.where(F.col("b.distance") < most).select("id", "b.centre", "b.distance")
 
 
-#: Centres that closest() takes.
-MOST_CENTRES = 256
+#: Centres of a block in closest().
+BLOCK_CENTRES = 256
 
 
 def example_scores(gold: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import ordering
 
 
 def votes(neighbours: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -26,10 +29,9 @@ def label_counts(rows: DataFrame) -> DataFrame:
 
 
 def frequency_partitions(counts: DataFrame, key: str = "slug") -> DataFrame:
-    """Labels dealt round robin by falling count into floor(sqrt(n)) sets; counts are a label dimension, small beside the data."""
-    n = counts.agg(F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*")))).alias("sets"))
-    place = F.row_number().over(Window.orderBy(F.desc("count"), key)) - 1
-    return counts.withColumn("__place", place).join(F.broadcast(n)).select(key, "count", (F.col("__place") % F.col("sets")).alias("part"))
+    """Labels dealt round robin by falling count into floor(sqrt(n)) sets."""
+    sets = max(1, math.isqrt(counts.count()))
+    return ordering.placed(counts, [F.desc("count"), F.col(key)], "__place").select(key, "count", ((F.col("__place") - 1) % sets).alias("part"))
 
 
 def closure(edges: DataFrame, depth: int = 32) -> DataFrame:

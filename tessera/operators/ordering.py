@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key."""
@@ -136,12 +138,21 @@ def two_stage(rows: DataFrame, group: str, key: str, n: int, seed: int | str) ->
     return sample_per(rows.join(picked, group, "left_semi"), [group], key, 1, seed)
 
 
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place from 1 in an order over all of them: ranges of the order are sorted side by side, and only
+    the ranges' sizes are summed in one place. Rows that tie take places in no set order."""
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranges = cut_lineage(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    both = ranges.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")  # a row a partition
+    return both.withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__range", "__before")
+
+
 def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """rows with a number from 1 over all of them by group and order: counts of the groups are summed first, so that rows are only sorted within a group."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.join(sizes.select(group, before.alias("__before")), group).withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__before")
+    """rows with a number from 1 over all of them by group and order, null groups first; groups may be as many as rows or hold a large share of them."""
+    return placed(rows, [F.col(group).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]], name)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str) -> DataFrame:

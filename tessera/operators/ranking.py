@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from . import ordering
+from . import ordering
 
 
 def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0) -> DataFrame:
@@ -180,9 +181,9 @@ def exposures(rankings: DataFrame) -> DataFrame:
 
 
 def dense_ranks(rows: DataFrame, score: str, name: str) -> DataFrame:
-    """rows with a dense rank by falling score. Only the distinct scores are ordered in one place."""
-    ranks = rows.select(score).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(F.desc(score))).cast("bigint"))
-    return rows.join(ranks, score)
+    """rows with a dense rank by falling score, null scores last; the distinct scores are put in order range by range."""
+    ranks = ordering.placed(rows.select(F.col(score).alias("__score")).distinct(), [F.col("__score").desc_nulls_last()], name)
+    return rows.join(ranks, F.col(score).eqNullSafe(F.col("__score"))).drop("__score")
 
 
 def simulate(rows: DataFrame, seed: int) -> DataFrame:

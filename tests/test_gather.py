@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,28 @@ def test_shared_folder(spark):
     assert shared_folder(spark) in new_path(spark, "x")
     df = cut_lineage(spark.range(5).where("id > 1"))
     assert df.count() == 3 and "Filter" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_centres_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(gather, "BLOCK_CENTRES", 3)
+    at = lambda a: [math.cos(a), math.sin(a)]
+    rows = spark.createDataFrame([(i % 30, at(i / 7)) for i in range(40)] + [(99, [0.0, 0.0])], "id int, v array<double>")
+    centres = spark.createDataFrame([(k, at(k)) for k in range(6)] + [(6, at(0)), (7, [0.0, 0.0])], "centre int, v array<double>")
+    got = sorted((r["id"], r["centre"]) for r in gather.closest(rows, centres, 1.5).collect())
+    want = [(i % 30, min(range(6), key=lambda k: (round(1 - math.cos(i / 7 - k), 12), k))) for i in range(40)]
+    assert got == sorted(want)
+    pairs = cluster.distance_matrix(centres.where("centre < 6"), "centre", "v", block=2).collect()
+    assert len(pairs) == 36 and all(abs(r["distance"] - (1 - math.cos(r["a"] - r["b"]))) < 1e-9 for r in pairs)
+
+
+def test_places_over_all_rows(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 4).alias("g"))
+    got = ordering.placed(rows, [F.desc("k")], "n").collect()
+    assert sorted((r["n"], r["k"]) for r in got) == [(i + 1, 499 - i) for i in range(500)]
+    n = ordering.numbered(rows, "g", ["k"], "n").orderBy("n").collect()
+    assert [r["n"] for r in n] == list(range(1, 501)) and [(r["g"] is not None, r["g"] or 0, r["k"]) for r in n] == sorted((r["g"] is not None, r["g"] or 0, r["k"]) for r in n)
+    ranks = {(r["g"], r["rank"]) for r in ranking.dense_ranks(rows, "g", "rank").collect()}
+    assert ranks == {(3, 1), (2, 2), (1, 3), (0, 4), (None, 5)}
+    assert ordering.placed(rows.limit(0), [F.col("k")], "n").count() == 0
+    parts = labels.frequency_partitions(rows.select(F.col("k").cast("string").alias("slug"), F.lit(1).alias("count"))).collect()
+    assert {r["part"] for r in parts} == set(range(22))
