@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of a filter that is collected; bits an insertion; probes a level.
-FILTER_BYTES, BITS_EACH, PROBES = 64 << 20, 12, 4
+#: Bits an insertion; probes a level.
+BITS_EACH, PROBES = 12, 4
 #: A segment's bits as planned; text of a block; tokens of a block from which a word counts as possibly hot.
 SEGMENT_BYTES, BLOCK_BYTES, HEAVY = 4 << 20, 6 << 20, 64
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line break
@@ -67,19 +67,19 @@ def twice_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 3 * (np.int64(1) << np.maximum(level, 1).astype(np.int64) - 1) - 1, 0)
 
 
-def put(bits: np.ndarray, grams: np.ndarray, n: int, level: np.ndarray, floor: int = 0) -> None:
-    """Sets the bits of each n-gram's levels above floor up to its own."""
-    for at in range(floor, int(level.max(initial=0))):
+def put(bits: np.ndarray, grams: np.ndarray, n: int, level: np.ndarray) -> None:
+    """Sets the bits of each n-gram's levels up to its own."""
+    for at in range(int(level.max(initial=0))):
         a, step = _hashes(grams[level > at], n, at)
         for k in range(PROBES):
             b = _place(a + np.uint64(k) * step, len(bits) * 8)
             np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype(np.uint8))
 
 
-def probe(bits: np.ndarray, grams: np.ndarray, n: int, floor: int = 0) -> np.ndarray:
-    """Each n-gram's highest level, by repeated probes from floor on until one is missing; 0 if it is unseen."""
+def probe(bits: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """Each n-gram's highest level, by repeated probes until one is missing; 0 if it is unseen."""
     out = np.zeros(len(grams), dtype=np.uint8)
-    live, level = np.arange(len(grams)), floor
+    live, level = np.arange(len(grams)), 0
     while len(live) and level < 64:
         a, step = _hashes(grams[live], n, level)
         for k in range(PROBES):
@@ -91,38 +91,6 @@ def probe(bits: np.ndarray, grams: np.ndarray, n: int, floor: int = 0) -> np.nda
     return out
 
 
-class Filter:
-    """A log-frequency filter in one piece."""
-
-    def __init__(self, data: np.ndarray, floor: int):
-        self.data, self.floor = data, floor
-
-    def levels(self, grams: np.ndarray, n: int) -> np.ndarray:
-        return probe(self.data, grams, n, self.floor)
-
-
-def build_filter(counts: DataFrame, limit: int = FILTER_BYTES) -> Filter:
-    """The filter of counts (gram, n, c) in one piece, for tables small enough to collect: at most limit bytes, beyond which its lowest level rises. score_texts has no such bound."""
-    level = F.floor(F.log2("c") + 1e-9).cast("int") + 1
-    found = counts.groupBy(level.alias("level")).count().collect()  # at most 64 rows
-    floor = 0
-    while (size := -(-max(64, sum(r["count"] * max(0, r["level"] - floor) for r in found) * BITS_EACH) // 8)) > limit:
-        floor += 1
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, dtype=np.uint8)
-        for b in batches:
-            g, n, c = (b.column(k).to_numpy() for k in ("gram", "n", "c"))
-            for k in (1, 2):
-                put(bits, g.view(np.uint64)[n == k], k, level_of(c[n == k]), floor)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], ["bits"])
-
-    data = np.zeros(size, dtype=np.uint8)
-    for r in counts.select("gram", "n", "c").mapInArrow(fill, "bits binary").toLocalIterator():
-        data |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(data, floor)
-
-
 def pack(a: np.ndarray) -> bytes:
     """Numbers as the narrowest unsigned kind that holds them all."""
     top = int(a.max(initial=0))

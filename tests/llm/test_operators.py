@@ -153,20 +153,25 @@ def test_language_model_has_no_bound(spark):
     assert np.mean([abs(small[i] / whole[i] - 1) for i in whole]) < 0.01  # more, smaller segments; what they hold stays
 
 
-def test_bigrams_seen_once_are_known(spark):
-    grams = np.arange(1, 3001, dtype=np.int64) * 7919
-    lm = language_model.build_filter(spark.createDataFrame([(int(g), 2, 1) for g in grams], "gram bigint, n int, c bigint"))
-    assert (lm.levels(grams.view(np.uint64), 2) >= 1).all()
-
-
-def test_log_frequency_filter(spark):
-    rows = spark.createDataFrame([(i * 7919, 1, 1 << (i % 9)) for i in range(4000)], "gram bigint, n int, c bigint")
-    lm = language_model.build_filter(rows)
-    seen = np.arange(4000, dtype=np.uint64) * np.uint64(7919)
-    assert (lm.levels(seen, 1) >= 1 + np.arange(4000) % 9).all()
-    assert (lm.levels(seen, 1) == 1 + np.arange(4000) % 9).mean() > 0.97
-    assert (lm.levels(seen + np.uint64(1), 1) > 0).mean() < 0.03
-    assert language_model.build_filter(rows, limit=4096).floor > 0
+def _filled(grams, n, level):
+    bits = np.zeros(-(-int(level.sum()) * language_model.BITS_EACH // 8), dtype=np.uint8)
+    language_model.put(bits, grams, n, level)
+    return bits
+
+
+def test_bigrams_seen_once_are_known():
+    grams = np.arange(1, 3001, dtype=np.uint64) * np.uint64(7919)
+    bits = _filled(grams, 2, np.ones(3000, dtype=np.int64))
+    assert (language_model.probe(bits, grams, 2) >= 1).all()
+
+
+def test_log_frequency_filter():
+    seen, level = np.arange(4000, dtype=np.uint64) * np.uint64(7919), 1 + np.arange(4000) % 9
+    assert (language_model.level_of(1 << (level - 1)) == level).all()
+    bits = _filled(seen, 1, level)
+    assert (language_model.probe(bits, seen, 1) >= level).all()
+    assert (language_model.probe(bits, seen, 1) == level).mean() > 0.97
+    assert (language_model.probe(bits, seen + np.uint64(1), 1) > 0).mean() < 0.03
 
 
 def test_html():
