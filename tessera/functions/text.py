@@ -460,12 +460,8 @@ def gloss_rewrite(rows: DataFrame, key: str, body: str, glossary: DataFrame, rew
     size = F.least(F.lit(GLOSS_HEAD), F.length("title"))
     titles = cut_lineage(glossary.where(F.length("title") > 0).select("title", "gloss", size.alias("__n"), F.substring("title", F.lit(1), size).alias("__head")), "gloss-titles")
     sizes = [r[0] for r in titles.select("__n").distinct().collect()]  # four at most
-
-    def heads(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__body") - n + 1))
-        return F.transform(places, lambda i: F.substring(F.col("__body"), i, F.lit(n)))
-
-    parts = F.array_distinct(F.flatten(F.array(*map(heads, sizes)))) if sizes else F.array().cast("array<string>")
+    heads = [F.regexp_extract_all("__body", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]  # from every place, in time that grows with the text
+    parts = F.array_distinct(F.flatten(F.array(*heads))) if heads else F.array().cast("array<string>")
     met = held.select("__row", F.explode(parts).alias("__head")).join(titles, "__head").select("__row", "title", "gloss")
     hits = met.join(held.select("__row", "__body"), "__row").where(F.col("__body").contains(F.col("title")))
     best = hits.groupBy("__row").agg(F.max_by(F.struct("title", "gloss"), F.struct(F.length("title"), "title")).alias("g"))

@@ -154,8 +154,8 @@ def _frame(spark, groups):
 
 @pytest.mark.parametrize("settings", [density.SETTINGS["density"], density.Settings(3, 4, "leaf")])
 def test_the_tree_by_joins_gives_the_same_clusters(spark, settings, monkeypatch):
-    monkeypatch.setattr(density, "BLOCK_ROWS", 32)
-    groups = {1: _clouds(1, 40), 2: _clouds(2, 6), 3: _clouds(3, 1)}
+    monkeypatch.setattr(density, "BLOCK_ROWS", 16)
+    groups = {1: _clouds(1, 26), 2: _clouds(2, 6), 3: _clouds(3, 1)}
     rows = _frame(spark, groups).select(F.col("topic").cast("bigint").alias("group"), "id", "vector")
     edges = density.reachability_tree(rows, settings.min_samples, neighbours=3).toPandas()
     found = density.large_groups(rows, settings).toPandas()
