@@ -276,3 +276,15 @@ def known_slugs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("ref"), F.array("lang", "source").alias("slugs"))
     counts = labels.label_counts(rows).withColumnRenamed("count", "n")
     return gather.without_known(counts, spark.createDataFrame([("fr",)], "slug string"), ["slug"])
+
+
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+g AS (SELECT conv_id, i, turn, n, n AS room, 1 AS grp FROM r WHERE i = 1 UNION ALL
+ SELECT r.conv_id, r.i, r.turn, r.n, CASE WHEN g.room + r.n > 1500 AND g.room > 0 THEN r.n ELSE g.room + r.n END, CASE WHEN g.room + r.n > 1500 AND g.room > 0 THEN g.grp + 1 ELSE g.grp END FROM g JOIN r ON r.conv_id = g.conv_id AND r.i = g.i + 1)
+SELECT conv_id AS section, CAST(grp AS BIGINT) AS "group", min(turn) AS first, max(turn) AS last, count(*) AS rows, CAST(sum(n) AS BIGINT) AS size FROM g GROUP BY conv_id, grp""")
+def packed_turns(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation's turns in groups of at most 1,500 letters, by a table function that takes the table as its argument."""
+    registered.register(spark)
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("section"), F.col("turn").alias("place"), F.length("text").alias("size"))
+    turns.createOrReplaceTempView("tessera_turns")
+    return spark.sql("SELECT * FROM packed(TABLE(tessera_turns), 1500)")
