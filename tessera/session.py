@@ -30,12 +30,18 @@ def local(cores: str = "*", partitions: int = 8) -> SparkSession:
     return prepare(SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate())
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process, so any folder is shared; a local-cluster is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: that of spark.checkpoint.dir; else a temporary one in a local session, and one below the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_shared"
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tessera-"))
