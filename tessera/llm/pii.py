@@ -5,15 +5,17 @@ labelers vote: strict patterns, gazetteers of cue words and of mail domains, and
 labeler is for each kind is estimated by expectation-maximisation over the vote patterns of the whole corpus.
 A span classifier, fitted on the estimated posteriors, decides which candidates become spans; besides the votes
 it sees the span itself: its form, length, separators and the word before it. Candidates of equal votes and
-features are counted together, so what reaches the driver does not grow with the corpus.
+features are counted together; the driver gets the vote patterns, of which there are few, and a bounded number of
+the patterns of votes and features, and sends tasks a weight for each input it was fitted on.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -50,6 +52,8 @@ AGAINST = frozenset("order invoice isbn version page ref id no number item token
 DOMAINS = ("gmail", "yahoo", "hotmail", "outlook", "proton", "example", "mail")
 LABELERS = ("shape", "valid", "gazetteer", "cue", "against", "clean")
 CONTEXT = 40
+#: The classifier is fitted on at most so many patterns of votes and features.
+PATTERNS = 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -195,18 +199,25 @@ def posterior(r: Reliability, pattern: str) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def train(patterns: dict[tuple[str, str, str], int], steps: int = 400, rate: float = 2.0) -> dict[tuple[str, str, str], float]:
-    """The classifier's probability for each (kind, votes, features) seen: logistic regression on all three, fitted to the posteriors of the votes with the counts as weights."""
-    by_votes: dict[tuple[str, str], int] = {}
-    for (k, v, _), n in patterns.items():
-        by_votes[k, v] = by_votes.get((k, v), 0) + n
-    reliability, keys = estimate(by_votes), sorted(patterns)
+def _names(kind: str, votes: str, features: str) -> list[str]:
+    """The classifier's inputs: the kind, and by kind each vote and each feature."""
+    return [f"kind:{kind}", *(f"{kind}:{x}:{y}" for x, y in zip(LABELERS, votes, strict=True) if y != "-"), *(f"{kind}:{x}" for x in features.split(","))]
+
+
+def chance(weights: dict[str, float], kind: str, votes: str, features: str) -> float:
+    """The probability of a span; an input that training did not see counts nothing."""
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(n, 0.0) for n in _names(kind, votes, features))))))
+
+
+def fit(patterns: dict[tuple[str, str, str], int], reliability: dict[str, Reliability], steps: int = 400, rate: float = 2.0) -> dict[str, float]:
+    """The classifier's weight of each input: logistic regression fitted to the posteriors of the votes, with the patterns' counts as weights."""
+    keys = sorted(patterns)
     if not keys:
         return {}
     number: dict[str, int] = {}
     rows, cols = [], []
-    for i, (k, v, f) in enumerate(keys):
-        for name in (f"kind:{k}", *(f"{k}:{x}:{y}" for x, y in zip(LABELERS, v, strict=True) if y != "-"), *(f"{k}:{x}" for x in f.split(","))):
+    for i, key in enumerate(keys):
+        for name in _names(*key):
             rows.append(i)
             cols.append(number.setdefault(name, len(number)))
     rows, cols = np.array(rows), np.array(cols)
@@ -217,7 +228,16 @@ def train(patterns: dict[tuple[str, str, str], int], steps: int = 400, rate: flo
         grad = np.bincount(cols, weights=(n / n.sum() * (y - predict()))[rows], minlength=len(w)) - 1e-5 * w
         squares += grad * grad
         w += rate * grad / np.sqrt(squares) * 0.1
-    return dict(zip(keys, predict().tolist(), strict=True))
+    return dict(zip(number, w.tolist(), strict=True))
+
+
+def train(patterns: dict[tuple[str, str, str], int], steps: int = 400, rate: float = 2.0) -> dict[tuple[str, str, str], float]:
+    """The classifier's probability for each (kind, votes, features), with the reliabilities estimated on the same patterns."""
+    by_votes: dict[tuple[str, str], int] = {}
+    for (k, v, _), n in patterns.items():
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    weights = fit(patterns, estimate(by_votes), steps, rate)
+    return {key: chance(weights, *key) for key in sorted(patterns)}
 
 
 _SPAN = "struct<start:int,kind:string,end:int>"
@@ -242,27 +262,45 @@ def _proposed(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*schema, f"base array<{_SPAN}>", "more array<struct<start:int,kind:string,end:int,votes:string,features:string>>"]))
 
 
-def _judged(proposed: DataFrame) -> dict[tuple[str, str, str], float]:
-    """The classifier's probability for what is known of the candidates; distinct votes and forms are few, whatever the corpus."""
-    counted = proposed.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
-    return train({(r["kind"], r["votes"], r["features"]): r["count"] for r in counted.collect()})
+def _fitted(proposed: DataFrame, most: int) -> dict[str, float]:
+    """The classifier's weights. Reliabilities rest on the votes of all candidates, of which there are at most 3^6 patterns a
+    kind; the classifier is fitted on the most patterns of votes and features that most candidates have, ties by their text."""
+    counted = common.Staged(proposed.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count("*").alias("n")), "pii-patterns")
+    by_votes = {(r["kind"], r["votes"]): r["n"] for r in counted.df.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()}
+    seen = counted.df.orderBy(F.desc("n"), "kind", "votes", "features").limit(most).collect()
+    counted.drop()
+    return fit({(r["kind"], r["votes"], r["features"]): r["n"] for r in seen}, estimate(by_votes))
+
 
+def _accepts(weights: dict[str, float], threshold: float) -> Callable[[str, str, str], bool]:
+    """Whether a candidate counts, remembered for the patterns met last."""
+    return functools.lru_cache(PATTERNS)(lambda kind, votes, features: chance(weights, kind, votes, features) >= threshold)
 
-def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = PATTERNS) -> DataFrame:
     """(id_col, base, spans) of every row: arrays of (start, kind, end) in code points, end exclusive, by start then
-    kind's place in KINDS; spans holds the base spans and the candidates that the classifier accepts.
+    kind's place in KINDS; spans holds the base spans and the candidates that the classifier accepts. Every candidate is
+    judged; most bounds the patterns that the classifier is fitted on, and with them the weights that tasks are sent.
 
     Null counts as the empty text and has no spans; repeated rows stay; an empty table gives an empty result;
-    extra columns are ignored.
+    extra columns are ignored; a text of any length is one value of its row, and its candidates are sought in time that grows with it.
     """
     common.prepare(docs.sparkSession)
-    rows = common.stage(_proposed(docs, [id_col], text_col), "pii-spans")
-    yes = [F.lit("|".join(key)) for key, p in _judged(rows).items() if p >= threshold]
-    accepted = F.filter("more", lambda c: F.concat_ws("|", c["kind"], c["votes"], c["features"]).isin(*yes)) if yes else F.filter("more", lambda c: F.lit(False))
-    added = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    order = lambda x: F.struct(x["start"], F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]), x["end"])
-    spans = F.transform(F.sort_array(F.transform(F.concat("base", added), lambda x: F.struct(order(x).alias("o"), x.alias("x")))), lambda y: y["x"])
-    return rows.select(id_col, "base", spans.alias("spans"))
+    scratch = common.Scratch()
+    rows = scratch.stage(_proposed(docs, [id_col], text_col), "pii-spans")
+    weights, place = _fitted(rows, most), {k: i for i, k in enumerate(KINDS)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = _accepts(weights, threshold)
+        for b in batches:
+            base, spans = b.column("base"), []
+            for own, more in zip(base.to_pylist(), b.column("more").to_pylist(), strict=True):
+                found = own + [{x: c[x] for x in ("start", "kind", "end")} for c in more if accepts(c["kind"], c["votes"], c["features"])]
+                spans.append(sorted(found, key=lambda s: (s["start"], place[s["kind"]], s["end"])))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), base, pa.array(spans, type=base.type)], [id_col, "base", "spans"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return scratch.result(rows.mapInArrow(run, f"`{id_col}` {kind}, base array<{_SPAN}>, spans array<{_SPAN}>"), "pii-found")
 
 
 def joined(spans: Column | str) -> Column:
@@ -270,18 +308,19 @@ def joined(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", most: int = PATTERNS) -> DataFrame:
     """docs with every span found replaced by its kind in square brackets; overlapping spans become one, named by the first.
-    The candidates' votes over all of docs decide, as in find(); columns as they came, null texts stay null."""
+    The candidates' votes over all of docs decide, as in find(). Columns of any name stay as they came; null and empty texts
+    stay as they are, repeated rows are each redacted, an empty table stays empty, and a text of any length is read whole."""
     common.prepare(docs.sparkSession)
-    yes = {key for key, p in _judged(_proposed(docs, [], text_col)).items() if p >= threshold}
+    weights = _fitted(_proposed(docs, [], text_col), most)
     at = docs.columns.index(text_col)
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, accepts: Callable[[str, str, str], bool]) -> str | None:
         if not text:
             return text
         base = base_spans(text)
-        spans = sorted([*base, *((s, k, e) for s, k, e, v, f in candidates(text, base) if (KINDS[k], v, f) in yes)])
+        spans = sorted([*base, *((s, k, e) for s, k, e, v, f in candidates(text, base) if accepts(KINDS[k], v, f))])
         out, last = [], 0
         for s, k, e in spans:
             if s >= last:
@@ -290,9 +329,10 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
         return "".join([*out, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = _accepts(weights, threshold)
         for b in batches:
             cols = list(b.columns)
-            cols[at] = pa.array([clean(t) for t in cols[at].to_pylist()], type=cols[at].type)
+            cols[at] = pa.array([clean(t, accepts) for t in cols[at].to_pylist()], type=cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,23 @@ def test_spelt_mails_and_the_classifier():
     assert like_good > like_bad  # equal votes, told apart by the span
 
 
+def test_pii_judges_all_candidates_by_a_bounded_fit(spark):
+    good = [f"card 4556.7375.8689.{k:04d} was used, call (020) 555 {k:04d}" for k in range(40)]
+    rows = [(k, t) for k, t in enumerate([*good, "order 1234567890123 of 2020", "", None, "item 555 1234 9999"])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    spans = lambda most: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(df, most=most).collect()}
+    full, few = spans(pii.PATTERNS), spans(3)
+    assert set(full) == set(few) == {k for k, _ in rows}
+    assert full[41] == full[42] == []
+    weights = pii._fitted(pii._proposed(df, [], "text"), 3)
+    assert 0 < len(weights) <= 3 * (1 + len(pii.LABELERS) + 4)
+    for k, t in rows:  # each candidate is judged by the weights, seen in training or not
+        base = pii.base_spans(t or "")
+        want = sorted([*base, *((s, j, e) for s, j, e, v, f in pii.candidates(t or "", base) if pii.chance(weights, pii.KINDS[j], v, f) >= 0.5)])
+        assert [(s, pii.KINDS[j], e) for s, j, e in want] == few[k]
+    assert pii._fitted(pii._proposed(df.limit(0), [], "text"), 3) == {}
+
+
 def test_exact_dedup_by_row(spark):
     rows = [(4, "unique text", "a"), (4, "Shared", "b"), (9, "shared", "c"), (1, "twin", "d"), (1, "twin", "d"), (None, "nul", "e"), (None, "nul", "f"), (2, None, "g"), (3, "", "h"), (None, "shared", "i")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
