@@ -3,17 +3,20 @@ side, pairwise information, spanning trees for choosing the next comparisons, an
 
 from __future__ import annotations
 
+import math
+import random
 from collections import deque
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
 from . import ordering
-from . import ordering
 
 
 def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0) -> DataFrame:
@@ -210,12 +213,39 @@ def effect_summary(values: DataFrame, keys: list[str], value: str, edge: float =
     return out
 
 
+def set_of_rank(rank: int, n: int, k: int) -> list[int]:
+    """The places of the set with that rank, from 0, among the k-sets of n places in dictionary order."""
+    out, at = [], 0
+    for left in range(k, 0, -1):
+        while rank >= (skip := math.comb(n - at - 1, left - 1)):
+            rank -= skip
+            at += 1
+        out.append(at)
+        at += 1
+    return out
+
+
+def drawn_ranks(total: int, most: int, seed: str) -> list[int]:
+    """All ranks below total, or most different ones of them, each choice as likely, in order; total may be of any size."""
+    if total <= most:
+        return list(range(total))
+    draw, got = random.Random(seed), set()
+    for j in range(total - most, total):
+        t = draw.randrange(j + 1)
+        got.add(j if t in got else t)
+    return sorted(got)
+
+
 def candidate_sets(items: DataFrame, k: int, most: int, seed: int = 0) -> DataFrame:
-    """(problem, items): all sets of k items of a problem, sorted; of more than most sets those with the least hashes. Problems are small."""
-    sets = items.select("problem", F.array("item").alias("items"))
-    for _ in range(k - 1):
-        sets = sets.join(items.withColumnRenamed("item", "next"), "problem").where(F.col("next") > F.element_at("items", -1))
-        sets = sets.select("problem", F.concat("items", F.array("next")).alias("items"))
-    order = F.md5(F.concat_ws(":", F.array_join(F.col("items").cast("array<string>"), ","), F.lit(str(seed))))
-    n = F.row_number().over(Window.partitionBy("problem").orderBy(order, "items"))
-    return sets.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
+    """(problem, items): the sets of k different items of a problem, sorted: all if there are most at most, else most of them,
+    drawn by the seed. A set is made from its rank among the problem's sets, so no others are made; a problem of fewer than k
+    items has none, null items count as none, and a problem's items are one value of a row."""
+    listed = items.groupBy("problem").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") >= k)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (problem, own) in enumerate(zip(b.column("problem").to_pylist(), b.column("items").to_pylist(), strict=True)):
+                sets = [[own[j] for j in set_of_rank(r, len(own), k)] for r in drawn_ranks(math.comb(len(own), k), most, f"{seed}:{problem}")]
+                yield pa.RecordBatch.from_arrays([b.column("problem").take(pa.array([i] * len(sets), type=pa.int64())), pa.array(sets, type=b.schema.field("items").type)], ["problem", "items"])
+
+    return listed.mapInArrow(draw, listed.schema)

@@ -92,7 +92,7 @@ def primaries_alone(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_regionkey AS problem, list_sort([a, b, c]) AS items FROM (SELECT x.n_regionkey, x.n_nationkey AS a, y.n_nationkey AS b, z.n_nationkey AS c FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey JOIN nation z ON z.n_regionkey = x.n_regionkey AND y.n_nationkey < z.n_nationkey)")
 def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
-    """All sets of three items of a problem, or a hash sample of a thousand where there are more."""
+    """All sets of three items of a problem, or a thousand drawn ones where there are more."""
     return ranking.candidate_sets(table(spark, d, "nation").select(F.col("n_regionkey").alias("problem"), F.col("n_nationkey").alias("item")), 3, 1000)
 
 

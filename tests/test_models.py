@@ -1,10 +1,14 @@
 """The hierarchical model recovers planted effects; the parameter search finds planted optima."""
 
+import collections
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import additive, tuning
+from tessera.operators import additive, ranking, tuning
 from tessera.plans import catalog, evaluation
 
 DATA = "/root/testdata/sf0.001"
@@ -91,3 +95,28 @@ def test_searched_parameters_are_no_worse_than_the_grid(spark):
         wanted = {f"t{q['label']}", f"m{q['label'] % 3}"}
         hits, total = hits + sum(votes.get(s, -1) > edge for s in wanted), total + 2
     assert own["recall"] == pytest.approx(hits / total)
+
+
+def test_ranks_name_every_set_once():
+    for n, k in ((1, 1), (5, 3), (7, 7), (9, 4)):
+        sets = [tuple(ranking.set_of_rank(r, n, k)) for r in range(math.comb(n, k))]
+        assert sets == list(itertools.combinations(range(n), k))
+    assert ranking.drawn_ranks(10, 10, "a") == list(range(10))
+    many = ranking.drawn_ranks(math.comb(500, 60), 50, "a")  # far beyond what can be listed
+    assert len(set(many)) == 50 and many == ranking.drawn_ranks(math.comb(500, 60), 50, "a") != ranking.drawn_ranks(math.comb(500, 60), 50, "b")
+    counts = collections.Counter(r for s in range(3000) for r in ranking.drawn_ranks(6, 3, str(s)))
+    assert all(abs(c / 3000 - 0.5) < 0.05 for c in counts.values())
+
+
+def test_candidate_sets_of_small_and_large_problems(spark):
+    rows = [(1, i) for i in range(4)] + [(1, 2), (1, None)] + [(None, i) for i in range(3)] + [(3, i) for i in range(200)] + [(4, 1)]
+    items = spark.createDataFrame(rows, "problem bigint, item int")
+    got = ranking.candidate_sets(items, 3, 20).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["problem"]].append(tuple(r["items"]))
+    assert sorted(by[1]) == list(itertools.combinations(range(4), 3)) and by[None] == [(0, 1, 2)] and 4 not in by
+    assert len(set(by[3])) == 20 and all(list(s) == sorted(set(s)) and len(s) == 3 for s in by[3])
+    again = ranking.candidate_sets(items.repartition(7), 3, 20).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert ranking.candidate_sets(items.limit(0), 3, 20).count() == 0
