@@ -159,14 +159,17 @@ def organised(options: DataFrame, gold: DataFrame) -> DataFrame:
 
 def first_containing(hits: DataFrame, candidates: DataFrame, keep: str = "best") -> DataFrame:
     """(segment, hit, score): every hit (hit, book, start, end, score) goes to the first candidate (place, book, start, end, segment)
-    that holds it; then each segment keeps its best hit (keep 'best': highest score, then first) or its first one (keep 'first')."""
+    that holds it; then each segment keeps its best hit (keep 'best': highest score, then first) or its first one (keep 'first').
+    Equal ranges are met once: of candidates the first can count only, and hits of one range have the same candidate."""
     from . import intervals
 
-    pairs = intervals.containment_join(candidates, hits)
-    first = pairs.groupBy("b_hit").agg(F.min(F.struct("a_place", "a_segment"))["a_segment"].alias("segment"), F.first("b_score").alias("score"))
-    order = F.struct((-F.col("score")).alias("s"), F.col("b_hit").alias("hit")) if keep == "best" else F.struct(F.col("b_hit").alias("hit"))
-    best = first.groupBy("segment").agg(F.min(order)["hit"].alias("hit"))
-    return best.join(first.select(F.col("b_hit").alias("hit"), "score"), "hit").select("segment", "hit", "score")
+    places = ["book", "start", "end"]
+    outer = candidates.groupBy(*places).agg(F.min(F.struct("place", "segment")).alias("own"))
+    pairs = intervals.containment_join(outer, hits.select(*places).distinct())
+    held = pairs.groupBy(*[F.col(f"b_{c}").alias(c) for c in places]).agg(F.min("a_own").alias("own"))
+    first = hits.join(held, places).groupBy("hit").agg(F.min("own")["segment"].alias("segment"), F.min("score").alias("score"))
+    order = F.struct((-F.col("score")).alias("s"), "hit", "score") if keep == "best" else F.struct("hit", "score")
+    return first.groupBy("segment").agg(F.min(order).alias("b")).select("segment", "b.hit", "b.score")
 
 
 def resolution(rows: DataFrame, single: Column, contains: Column, start: Column, end: Column, size: Column) -> DataFrame:
