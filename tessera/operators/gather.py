@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
 from . import labels
 
 
@@ -45,21 +46,75 @@ def paired(left: DataFrame, right: DataFrame, key: str = "ref") -> DataFrame:
 def closest(rows: DataFrame, centres: DataFrame, most: float = 1.0) -> DataFrame:
     """(id, centre, distance): the centre (centre, v) nearest by cosine to each row (id, v), if nearer than most; the first of equals.
 
-    Centres lie in blocks of bounded size; a row meets each block once and keeps its best there. Ids may recur."""
-    n = centres.count()
-    blocks = max(1, -(-n // BLOCK_CENTRES))
-    dealt = centres.select(F.pmod(F.xxhash64("centre"), F.lit(blocks)).alias("__block"), F.struct("centre", F.transform("v", lambda x: x.cast("double")).alias("v")).alias("c")).groupBy("__block").agg(F.collect_list("c").alias("__centres"))
-    own = rows.select(F.monotonically_increasing_id().alias("__row"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    met = own.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "__block")
-    each = F.transform("__centres", lambda c: F.struct(vector.cosine_distance(F.col("v"), c["v"]).alias("distance"), c["centre"].alias("centre")))
-    best = met.select("__row", "id", F.array_min(F.filter(each, lambda x: x["distance"].isNotNull())).alias("b"))
+    Equal centres count once. Centres lie in blocks of bounded size and rows in lanes; a task multiplies a lane's rows by a
+    block's centres and measures again, term by term, those that are nearest but for rounding. Ids may recur."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    double = lambda df: df.withColumn("v", F.transform("v", lambda x: x.cast("double"))).where(finite & F.exists("v", lambda x: x != 0))
+    own = double(rows.select(F.monotonically_increasing_id().alias("row"), "id", "v"))
+    dealt = double(centres.select("centre", "v")).groupBy("v").agg(F.min("centre").alias("centre"))
+    blocks = max(1, -(-centres.count() // BLOCK_CENTRES))
+    lanes = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-rows.count() // LANE_ROWS))
+    block, lane = F.pmod(F.xxhash64("centre"), F.lit(blocks)), F.pmod(F.xxhash64("row"), F.lit(lanes))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    first = dealt.select(F.size("v").alias("width"), block.alias("block"), every(lanes).alias("lane"), F.lit(False).alias("later"), "centre", F.lit(None).cast("bigint").alias("row"), F.lit(None).alias("id"), "v")
+    then = own.select(F.size("v").alias("width"), every(blocks).alias("block"), lane.alias("lane"), F.lit(True).alias("later"), F.lit(None).alias("centre"), "row", "id", "v")
+    cell = ["width", "block", "lane"]
+    met = first.unionByName(then).repartition(blocks * lanes, *cell).sortWithinPartitions(*cell, "later", "centre")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            at = np.array([b.column(c).to_numpy() for c in cell] + [b.column("later").to_numpy(zero_copy_only=False)], dtype=np.int64)
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if s == e:
+                    continue
+                if tuple(at[:3, s]) != now:
+                    now, held = tuple(at[:3, s]), []
+                for k in range(s, e, STEP_ROWS):
+                    part = b.slice(k, min(STEP_ROWS, e - k))
+                    v = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                    if not at[3, s]:
+                        held.append((part.column("centre"), v))
+                    elif held:
+                        if len(held) > 1:
+                            held = [(pa.concat_arrays([c for c, _ in held]), np.concatenate([x for _, x in held]))]
+                        names, y = held[0]
+                        row, col, far = _nearest(v, y)
+                        row, col = pa.array(row), pa.array(col)
+                        yield pa.RecordBatch.from_arrays([part.column("row").take(row), part.column("id").take(row), names.take(col), pa.array(far)], names=["row", "id", "centre", "distance"])
+
+    kinds = {"id": rows.schema["id"].dataType.simpleString(), "centre": centres.schema["centre"].dataType.simpleString()}
+    best = met.mapInArrow(run, f"row bigint, id {kinds['id']}, centre {kinds['centre']}, distance double")
     if blocks > 1:
-        best = best.groupBy("__row", "id").agg(F.min("b").alias("b"))
-    return best.where(F.col("b.distance") < most).select("id", "b.centre", "b.distance")
-
-
-#: Centres of a block in closest().
-BLOCK_CENTRES = 256
+        best = best.groupBy("row", "id").agg(F.min(F.struct("distance", "centre")).alias("b")).select("id", "b.centre", "b.distance")
+    return best.where(F.col("distance") < most).select("id", "centre", "distance")
+
+
+#: Centres of a block and rows of a lane in closest(), and rows of a step.
+BLOCK_CENTRES, LANE_ROWS, STEP_ROWS = 4096, 65536, 512
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, distance): of each row of x the nearest of y by cosine, the first of equals. Sums go from the first component to the last."""
+    long = lambda v: np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
+    nx, ny = long(x), long(y)
+    with np.errstate(all="ignore"):
+        like = (x / nx[:, None]) @ (y / ny[:, None]).T
+        edge = np.fmax.reduce(like, axis=1) - slack
+        row, col = np.nonzero((like >= edge[:, None]) | np.isnan(like))
+        far = np.empty(len(row))
+        for at in range(0, len(row), 1 << 16):
+            r, c = row[at : at + (1 << 16)], col[at : at + (1 << 16)]
+            below = nx[r] * ny[c]
+            far[at : at + (1 << 16)] = 1 - np.where(below == 0, np.nan, np.cumsum(x[r] * y[c], axis=1)[:, -1] / below)
+    known = ~np.isnan(far)
+    row, col, far = row[known], col[known], far[known]
+    order = np.lexsort((col, far, row))
+    row, col, far = row[order], col[order], far[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    return row[first], col[first], far[first]
 
 
 def example_scores(gold: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
