@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,42 +35,85 @@ def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None,
 
 def gibbs(rankings: list[list[int]], n: int, draws: int = 80, burn_in: int = 80, thin: int = 2, shape: float = 1.5, rate: float = 1.0, seed: int = 0) -> np.ndarray:
     """Log skills [draws, n]; without rankings, draws of the prior."""
-    rng = np.random.default_rng(seed)
-    if not rankings:
-        return np.log(rng.gamma(shape, 1 / rate, (draws, n)))
-    size = np.array([len(r) for r in rankings])
-    col = np.arange(size.max())
-    placed = col < size[:, None]
-    items = np.full(placed.shape, n)
-    items[placed] = np.concatenate([np.asarray(r) for r in rankings])
-    stages = col < size[:, None] - 1
-    wins = shape + np.bincount(items[stages], minlength=n)[:n]
-    skill, out, step = np.ones(n), [], 0
-    while len(out) < draws:
-        own = np.append(skill, 0.0)[items]
-        left = np.cumsum(own[:, ::-1], axis=1)[:, ::-1]  # skills that remain at each stage
-        waits = np.where(stages, rng.standard_exponential(items.shape) / np.where(stages, left, 1.0), 0.0)
-        rates = rate + np.bincount(items[placed], weights=np.cumsum(waits, axis=1)[placed], minlength=n)[:n]
-        skill = rng.gamma(wins, 1 / rates)
+    return gibbs_side_by_side([(rankings, n)], draws, burn_in, thin, shape, rate, seed)[0]
+
+
+def gibbs_side_by_side(problems: list[tuple[list[list[int]], int]], draws: int = 80, burn_in: int = 80, thin: int = 2, shape: float = 1.5, rate: float = 1.0, seed: int = 0) -> list[np.ndarray]:
+    """gibbs() of each (rankings, n), all stepping together. Each has its own generator, and what that gives does not hang
+    on the skills, so a problem's draws are the same whatever stands beside it."""
+    out: list[np.ndarray | None] = [np.log(np.random.default_rng(seed).gamma(shape, 1 / rate, (draws, n))) if not r else None for r, n in problems]
+    own = [(r, n) for r, n in problems if r]
+    if not own:
+        return out
+    rows, counts = np.array([len(r) for r, _ in own]), np.array([n for _, n in own])
+    size = np.array([len(x) for r, _ in own for x in r])
+    wide = np.repeat(np.array([max(map(len, r)) for r, _ in own]), rows)  # of the problem's longest ranking
+    base = np.concatenate(([0], np.cumsum(counts)))
+    total, col = int(base[-1]), np.arange(size.max())
+    placed, stages = col < size[:, None], col < size[:, None] - 1
+    items = np.full(placed.shape, total)
+    items[placed] = np.concatenate([np.asarray(x, dtype=np.int64) for r, _ in own for x in r]) + np.repeat(np.repeat(base[:-1], rows), size)
+    wins = shape + np.bincount(items[stages], minlength=total)[:total]
+    drawn, cells = np.zeros(placed.shape), np.flatnonzero(col < wide[:, None])
+    waiting, gammas = np.empty(len(cells)), np.empty(total)
+    ends = np.concatenate(([0], np.cumsum(np.add.reduceat(wide, np.concatenate(([0], np.cumsum(rows)[:-1]))))))
+    draw = [(g.standard_exponential, waiting[ends[i] : ends[i + 1]], g.standard_gamma, wins[base[i] : base[i + 1]], gammas[base[i] : base[i + 1]]) for i, g in enumerate(np.random.default_rng(seed) for _ in own)]
+    at, skill, kept = items[placed], np.ones(total + 1), []
+    skill[-1] = 0.0
+    for step in range(burn_in + thin * (draws - 1) + 1):
+        for wait, w, gamma, k, x in draw:
+            wait(out=w)
+            gamma(k, out=x)
+        drawn.ravel()[cells] = waiting
+        left = np.cumsum(skill[items][:, ::-1], axis=1)[:, ::-1]  # skills that remain at each stage
+        waits = np.where(stages, drawn / np.where(stages, left, 1.0), 0.0)
+        rates = rate + np.bincount(at, weights=np.cumsum(waits, axis=1)[placed], minlength=total)[:total]
+        skill[:-1] = gammas * (1 / rates)
         if step >= burn_in and (step - burn_in) % thin == 0:
-            out.append(np.log(skill))
-        step += 1
-    return np.array(out)
+            kept.append(np.log(skill[:-1]))
+    scores = np.array(kept).reshape(draws, total)
+    parts = iter(np.split(scores, base[1:-1], axis=1))
+    return [next(parts) if x is None else x for x in out]
 
 
-def posterior(rankings: DataFrame, items: DataFrame, draws: int = 80) -> DataFrame:
-    """(problem, draw, item, score): each problem's sampler runs in one task; problems run side by side."""
+#: Places of rankings that a task samples together.
+STEP_PLACES = 40_000
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(right["item"])
-        place = {x: i for i, x in enumerate(names)}
-        own = [[place[x] for x in r] for _, r in sorted(zip(left["ranking"], left["items"], strict=True))]
-        s = gibbs(own, len(names), draws, seed=0)
-        return pd.DataFrame({"problem": key[0], "draw": np.repeat(np.arange(draws), len(names)), "item": names * draws, "score": s.ravel()})
 
+def posterior(rankings: DataFrame, items: DataFrame, draws: int = 80) -> DataFrame:
+    """(problem, draw, item, score): a problem's sampler runs in one task, many problems side by side."""
     kind = {f.name: f.dataType.simpleString() for f in items.schema}
-    own = items.select(F.col("problem").alias("of"), "item")
-    return rankings.groupBy("problem").cogroup(own.groupBy("of")).applyInPandas(run, f"problem {kind['problem']}, draw bigint, item {kind['item']}, score double")
+    ranked, named = F.struct("ranking", "items").alias("r"), F.col("item").alias("i")
+    both = rankings.select("problem", ranked, F.lit(None).cast(kind["item"]).alias("i")).unionByName(items.select("problem", F.lit(None).cast(rankings.select(ranked).schema["r"].dataType).alias("r"), named))
+    own = both.groupBy("problem").agg(F.array_sort(F.collect_list("r"))["items"].alias("rankings"), F.array_sort(F.collect_list("i")).alias("items"))
+
+    def sampled(problems: pa.Array, names: list[list], found: list[tuple[list[list[int]], int]], type_: pa.DataType) -> pa.RecordBatch:
+        scores = gibbs_side_by_side(found, draws)
+        n = np.array([len(x) for x in names])
+        each = np.repeat(np.arange(len(n)), n * draws)
+        item = pa.array([x for own in names for x in own], type=type_)
+        place = np.concatenate([np.tile(np.arange(a, a + k), draws) for a, k in zip(np.cumsum(n) - n, n, strict=True)])
+        draw = np.concatenate([np.repeat(np.arange(draws), k) for k in n])
+        return pa.RecordBatch.from_arrays([problems.take(pa.array(each)), pa.array(draw), item.take(pa.array(place)), pa.array(np.concatenate([s.ravel() for s in scores]))], names=["problem", "draw", "item", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            type_, start, room, names, found = b.schema.field("items").type.value_type, 0, 0, [], []
+            for i in range(b.num_rows):
+                own = b.column("items")[i].as_py()
+                place = {x: k for k, x in enumerate(own)}
+                ranked = [[place[x] for x in r] for r in b.column("rankings")[i].as_py()]
+                more = len(ranked) * max(map(len, ranked), default=0) + len(own)
+                if names and room + more > STEP_PLACES:
+                    yield sampled(b.column("problem").slice(start, len(names)), names, found, type_)
+                    start, room, names, found = i, 0, [], []
+                names.append(own)
+                found.append((ranked, len(own)))
+                room += more
+            if names:
+                yield sampled(b.column("problem").slice(start, len(names)), names, found, type_)
+
+    return own.mapInArrow(run, f"problem {kind['problem']}, draw bigint, item {kind['item']}, score double")
 
 
 def pair_utilities(draws: DataFrame) -> DataFrame:
