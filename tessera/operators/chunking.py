@@ -100,8 +100,10 @@ def _with_vectors(units: DataFrame, embed: Embedder, batch: int = 64) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [v for at in range(0, b.num_rows, batch) for v in embed(b.column("text").slice(at, batch).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(vectors, pa.list_(pa.float64()))], names=[*rest, "vector"])
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                vectors = embed(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(vectors, pa.list_(pa.float64()))], names=[*rest, "vector"])
 
     schema = ", ".join(f"`{c}` {units.schema[c].dataType.simpleString()}" for c in rest)
     return units.repartition(_tasks(units)).mapInArrow(run, f"{schema}, vector array<double>")
