@@ -15,21 +15,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from ..session import dealt
 from . import ordering
 
 
-def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0) -> DataFrame:
+def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0, rows: int | None = None) -> DataFrame:
     """(problem, item, shape, rate) from rankings (problem, ranking, items) and latent times (ranking, stage, z; 1 each if
-    absent): an item gains shape where it is placed but last, and rate for every stage where it still remains."""
+    absent): an item gains shape where it is placed but last, and rate for every stage where it still remains.
+    rows: how many places there are about, if known; problems are then dealt into tasks of a bounded number."""
     placed = rankings.select("problem", "ranking", F.size("items").alias("n"), F.posexplode("items").alias("pos", "item"))
-    shapes = placed.groupBy("problem", "item").agg(F.sum((F.col("pos") < F.col("n") - 1).cast("double")).alias("s"))
+    gained = F.sum((F.col("pos") < F.col("n") - 1).cast("double")).alias("s")
     if latent is None:
         left = F.least(F.col("pos") + 1, F.col("n") - 1).cast("double")
-        rates = placed.groupBy("problem", "item").agg(F.sum(left).alias("r"))
+        own = placed.select("problem", "item", "pos", "n")
+        out = (own if rows is None else dealt(own, rows, "problem")).groupBy("problem", "item").agg(gained, F.sum(left).alias("r"))
     else:
+        shapes = placed.groupBy("problem", "item").agg(gained)
         stages = placed.join(latent, "ranking").where("stage <= pos and stage < n - 1")
         rates = stages.groupBy("problem", "item").agg(F.sum("z").alias("r"))
-    out = shapes.join(rates, ["problem", "item"], "left")
+        out = shapes.join(rates, ["problem", "item"], "left")
     return out.select("problem", "item", (F.col("s") + shape).alias("shape"), (F.coalesce("r", F.lit(0.0)) + rate).alias("rate"))
 
 
@@ -219,9 +223,11 @@ def main_effects(rows: DataFrame, factors: list[str], value: str) -> DataFrame:
     return out
 
 
-def exposures(rankings: DataFrame) -> DataFrame:
-    """(problem, item, exposure, least): in how many rankings each item stood, and the problem's least."""
-    seen = rankings.select("problem", F.explode("items").alias("item")).groupBy("problem", "item").agg(F.count("*").alias("exposure"))
+def exposures(rankings: DataFrame, rows: int | None = None) -> DataFrame:
+    """(problem, item, exposure, least): in how many rankings each item stood, and the problem's least.
+    rows: how many places there are about, if known; problems are then dealt into tasks of a bounded number."""
+    own = rankings.select("problem", F.explode("items").alias("item"))
+    seen = (own if rows is None else dealt(own, rows, "problem")).groupBy("problem", "item").agg(F.count("*").alias("exposure"))
     return seen.withColumn("least", F.min("exposure").over(Window.partitionBy("problem")))
 
 

@@ -135,7 +135,7 @@ def complete_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT DISTINCT o_custkey AS problem, o_orderkey, l_partkey % 12 AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT problem, item, count(*) AS exposure FROM r GROUP BY ALL) SELECT problem, item, exposure, min(exposure) OVER (PARTITION BY problem) AS least FROM c")
 def exposures(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.exposures(_rankings(spark, d))
+    return ranking.exposures(_rankings(spark, d), table(spark, d, "lineitem").count())
 
 
 @query("WITH s AS (SELECT o_custkey AS topic, o_orderkey AS ref, o_orderpriority IN ('1-URGENT') AS top FROM orders) SELECT topic, ref, CAST(row_number() OVER (PARTITION BY topic ORDER BY (NOT top)::INT, ref) AS INT) AS rank FROM s")

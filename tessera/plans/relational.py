@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text, vector
 from ..operators import intervals, ordering, spans
+from ..session import dealt
 from ..sources import readers, writers
 from .catalog import query, table
 
@@ -299,17 +300,23 @@ SELECT problem, item, sum((i < n - 1)::INT) + 1.5::DOUBLE AS shape, sum(least(i
 def pl_sufficient_stats(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import ranking
 
-    return ranking.sufficient_statistics(_rankings(spark, d))
+    return ranking.sufficient_statistics(_rankings(spark, d), rows=_lines(spark, d))
 
 
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Each order ranks its items for its customer."""
-    li = table(spark, d, "lineitem").withColumn("item", F.col("l_partkey") % 12)
-    p = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
+    """Each order ranks its items for its customer. Orders and lines are dealt once, by order, into tasks of a bounded number of lines."""
+    lines, n = table(spark, d, "lineitem"), _lines(spark, d)
+    orders = dealt(table(spark, d, "orders").select("o_custkey", "o_orderkey"), n, "o_orderkey")
+    li = dealt(lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 12).alias("item")), n, "l_orderkey")
+    p = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "item").agg(F.min("l_linenumber").alias("pos"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
     return p.groupBy(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("ranking")).agg(items.alias("items"))
 
 
+def _lines(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "lineitem").count()
+
+
 @query("SELECT user_id, event_id % 2 AS side, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > 10 GROUP BY ALL")
 def threshold_filter(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").where(F.col("value") > 10)
