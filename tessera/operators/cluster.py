@@ -203,10 +203,11 @@ def members(rows: DataFrame, group: str = "topic", key: str = "id") -> DataFrame
 
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(node, rank) over edges (src, dst) after a fixed number of rounds; the ranks of nodes without exit go to all.
-    The links are dealt by src once and written out, ranks too every few rounds, so that neither the plan nor the cost of a lost executor grows."""
+    The links are written out once, as lists of a bounded length, ranks too every few rounds, so that neither the plan nor the cost of a lost executor grows."""
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("n"))
-    links = cut_lineage(e.join(out, "src").repartition("src"), "links")
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / LINK_ROWS))
+    links = cut_lineage(e.join(out, "src").groupBy("src", "n", part.alias("part")).agg(F.collect_list("dst").alias("to")).select("src", "n", "to"), "links")
     nodes = cut_lineage(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     total = nodes.count()
     if not total:
@@ -215,7 +216,7 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_eve
     none = sinks.isEmpty()
     rank = nodes.withColumn("rank", F.lit(1.0 / total))
     for i in range(rounds):
-        sent = links.join(rank, links["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        sent = links.join(rank, links["src"] == rank["node"]).select(F.explode("to").alias("dst"), (F.col("rank") / F.col("n")).alias("share")).groupBy("dst").agg(F.sum("share").alias("got"))
         base = nodes.join(sent, nodes["node"] == sent["dst"], "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
         if none:
             rank = base.select("node", (F.lit((1 - damping) / total) + damping * F.col("got")).alias("rank"))
@@ -227,6 +228,10 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_eve
     return rank
 
 
+#: Links of a list in page_rank(), about.
+LINK_ROWS = 4096
+
+
 def distance_matrix(rows: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
     """(a, b, distance) by cosine of all pairs, which is the result's own size; null where a vector is zero.
 
