@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 #: The smallest level of bins, as a power of two.
 LEAST_LEVEL = 5
 #: Places of a book whose references are put in order together at first.
@@ -101,7 +103,8 @@ def merge_close(rows: DataFrame, gap: int = 2) -> DataFrame:
     """(book, start, end, n): references at most gap apart become one range. They are merged within stretches of each book
     first, so that only a stretch's ranges, not all of a book's references, are put in order in one place."""
     parts = rows.select("book", "start", "end", F.lit(1).cast("bigint").alias("n"), F.floor(F.col("start") / STRETCH).alias("__bin"))
-    return _merged(_merged(parts, ["book", "__bin"], gap), ["book"], gap)
+    n = rows.count()
+    return _merged(dealt(_merged(dealt(parts, n, "book", "__bin"), ["book", "__bin"], gap), n, "book"), ["book"], gap)
 
 
 def _merged(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:

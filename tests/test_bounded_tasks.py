@@ -63,4 +63,4 @@ def test_ranges_are_merged_in_tasks_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(intervals, "dealt", lambda df, rows, *keys: seen.append((rows, keys)) or dealt(df, rows, *keys))
     rows = spark.range(3000).selectExpr("id % 3 as book", "id * 2 as start", "id * 2 + 1 as end")
     assert sorted(map(tuple, intervals.merge_close(rows).collect())) == [(k, 2 * k + 6 * i, 2 * k + 6 * i + 1, 1) for k in range(3) for i in range(1000)]
-    assert seen == [(3000, ("book", "__bin"))]
+    assert seen == [(3000, ("book", "__bin")), (3000, ("book",))]
