@@ -26,7 +26,9 @@ MEANS_ROUNDS = 5
 def cosine_distances(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     x = x / np.where(n == 0, 1, n)
-    return np.maximum(0.0, 1 - x @ x.T)
+    d = x @ x.T  # of all pairs, so the rest is done in place
+    np.subtract(1, d, out=d)
+    return np.maximum(0.0, d, out=d)
 
 
 def affinity(d: np.ndarray, damping: float = 0.7, rounds: int = 1000, steady: int = 100) -> np.ndarray:
@@ -96,11 +98,11 @@ def best_collapse(centres: np.ndarray, thresholds: tuple[float, ...] = (0.2, 0.2
     return found
 
 
-#: Labels by method, from vectors and their cosine distances. Density works on Euclidean distances.
+#: Labels by method, from vectors. Density works on Euclidean distances, the others on cosine distances.
 METHODS = {
-    "agglomerative": lambda x, d: linkage.best_cut(d)[1],
-    "affinity": lambda x, d: affinity(d),
-    **{name: lambda x, d, own=own: density.labels(x, own) for name, own in density.SETTINGS.items()},
+    "agglomerative": lambda x: linkage.best_cut(lambda: cosine_distances(x), len(x))[1],
+    "affinity": lambda x: affinity(cosine_distances(x)),
+    **{name: lambda x, own=own: density.labels(x, own) for name, own in density.SETTINGS.items()},
 }
 
 
@@ -122,13 +124,12 @@ def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")
         x = np.stack(df["vector"].to_list())
-        d = cosine_distances(x)
 
         def score(label: np.ndarray) -> float:
             ks = np.unique(label[label >= 0])
             return spread_score(cosine_distances(np.stack([x[label == k].mean(axis=0) for k in ks]))) if len(ks) else -1.0
 
-        found = {name: f(x, d) for name, f in METHODS.items() if method in ("best", name)}
+        found = {name: f(x) for name, f in METHODS.items() if method in ("best", name)}
         name = max(found, key=lambda k: score(found[k])) if len(found) > 1 else method
         return pd.DataFrame({"group": df["group"], "part": df["part"], "id": df["id"], "cluster": found[name].astype("int32"), "method": name})
 
@@ -280,8 +281,9 @@ def break_largest(rows: DataFrame, found: DataFrame, least: int = 6, rounds: int
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")
-        d = cosine_distances(np.stack(df["vector"].to_list()))
-        return pd.DataFrame({"group": df["group"], "id": df["id"], "side": linkage.cut(linkage.dendrogram(d), len(df), 2).astype("int32")})
+        x = np.stack(df["vector"].to_list())
+        merges = linkage.dendrogram(lambda: cosine_distances(x))
+        return pd.DataFrame({"group": df["group"], "id": df["id"], "side": linkage.cut(merges, len(df), 2).astype("int32")})
 
     for _ in range(rounds):
         sizes = now.where("cluster >= 0").groupBy("group", "cluster").agg(F.count("*").alias("n"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
+#: Distances, or a function that makes them: what needs them twice then makes them anew and holds one matrix at a time.
+Distances = np.ndarray | Callable[[], np.ndarray]
+
 
-def dendrogram(d: np.ndarray) -> np.ndarray:
+def dendrogram(d: Distances) -> np.ndarray:
     """The n - 1 merges of average linkage over a distance matrix, by growing height: rows (a, b, height), where a and b are points of the two clusters.
 
     A chain goes from a cluster to its nearest and on, until two are nearest to each other; these merge. Average
     linkage never brings a merged cluster nearer to others than its parts were, so the chain before them stays valid.
     """
-    n = len(d)
-    dist = d.astype(float).copy()
+    dist = d() if callable(d) else np.array(d, dtype=float)
+    n = len(dist)
     np.fill_diagonal(dist, np.inf)
     size, gone, merges, chain = np.ones(n), np.zeros(n, dtype=bool), [], []
     start = 0
@@ -56,33 +61,47 @@ def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def silhouettes(d: np.ndarray, merges: np.ndarray, low: int, high: int) -> dict[int, float]:
+def _parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """rows in parts of some hundred, so that what is held beside the matrices does not grow with their square."""
+    yield from np.array_split(rows, max(1, len(rows) // 256))
+
+
+def _sums(d: Distances, label: np.ndarray) -> np.ndarray:
+    """Each point's distances summed by cluster; those that are made here give their place to the sums."""
+    k = int(label.max()) + 1
+    order = np.argsort(label, kind="stable")
+    starts = np.searchsorted(label[order], np.arange(k))
+    d, out = (own := d(), own[:, :k]) if callable(d) else (d, np.empty((len(d), k)))
+    for part in _parts(np.arange(len(d))):
+        out[part] = np.add.reduceat(d[part][:, order], starts, axis=1)
+    return out
+
+
+def silhouettes(d: Distances, merges: np.ndarray, low: int, high: int) -> dict[int, float]:
     """The mean silhouette of the cuts into low to high - 1 clusters.
 
     From the finest cut on, a merge changes only its members and the points whose nearest other cluster was one of
     the two: a merged cluster is never nearer than the nearer of its parts.
     """
-    n = len(d)
+    n = len(merges) + 1
     label = cut(merges, n, high - 1)
-    k = int(label.max()) + 1
-    order = np.argsort(label, kind="stable")
-    sums = np.add.reduceat(d[:, order], np.searchsorted(label[order], np.arange(k)), axis=1)
+    sums = _sums(d, label)
     size = np.bincount(label).astype(float)
-    rows, live = np.arange(n), np.ones(k, dtype=bool)
+    rows, live = np.arange(n), np.ones(len(size), dtype=bool)
     nearest, b, s = np.zeros(n, dtype=int), np.zeros(n), np.zeros(n)
 
-    def anew(which: np.ndarray) -> None:
+    def anew(changed: np.ndarray) -> None:
         """The nearest other clusters of points, and their silhouettes."""
-        means = np.where(live, sums[which] / size, np.inf)
-        means[np.arange(len(which)), label[which]] = np.inf
-        nearest[which] = means.argmin(axis=1)
-        b[which] = means[np.arange(len(which)), nearest[which]]
-        own = size[label[which]]
-        a = sums[which, label[which]] / np.maximum(own - 1, 1)
-        s[which] = np.where(own > 1, (b[which] - a) / np.maximum(np.maximum(a, b[which]), 1e-12), 0.0)
-
-    for part in np.array_split(rows, max(1, n // 512)):
-        anew(part)
+        for which in _parts(changed):
+            means = np.where(live, sums[which] / size, np.inf)
+            means[np.arange(len(which)), label[which]] = np.inf
+            nearest[which] = means.argmin(axis=1)
+            b[which] = means[np.arange(len(which)), nearest[which]]
+            own = size[label[which]]
+            a = sums[which, label[which]] / np.maximum(own - 1, 1)
+            s[which] = np.where(own > 1, (b[which] - a) / np.maximum(np.maximum(a, b[which]), 1e-12), 0.0)
+
+    anew(rows)
     found = {}
     for at in range(n - (high - 1), n - low + 1):
         k = n - at
@@ -99,9 +118,9 @@ def silhouettes(d: np.ndarray, merges: np.ndarray, low: int, high: int) -> dict[
     return found
 
 
-def best_cut(d: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of clusters with the best silhouette, of min(n, 3) to n / 2 (the smallest of equals), and its labels."""
-    n = len(d)
+def best_cut(d: Distances, n: int | None = None) -> tuple[int, np.ndarray]:
+    """The number of clusters with the best silhouette, of min(n, 3) to n / 2 (the smallest of equals), and its labels. n: the number of points, where d is a function."""
+    n = len(d) if n is None else n
     if n <= 1:
         return n, np.zeros(n, dtype=int)
     low, high = min(n, 3), n // 2

@@ -1,10 +1,13 @@
 """What a task or a Python worker holds at once does not grow with the tables."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.operators import chunking, intervals, ranking
+from tessera.operators import chunking, cluster, intervals, linkage, ranking
 from tessera.plans import relational
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +67,25 @@ def test_ranges_are_merged_in_tasks_of_bounded_rows(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id % 3 as book", "id * 2 as start", "id * 2 + 1 as end")
     assert sorted(map(tuple, intervals.merge_close(rows).collect())) == [(k, 2 * k + 6 * i, 2 * k + 6 * i + 1, 1) for k in range(3) for i in range(1000)]
     assert seen == [(3000, ("book", "__bin")), (3000, ("book",))]
+
+
+def most_held(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_average_linkage_holds_about_one_matrix_of_distances():
+    n = 1500
+    x, matrix = np.random.default_rng(3).standard_normal((n, 16)), 8 * n * n
+    d, held = most_held(lambda: cluster.cosine_distances(x))
+    assert held < 1.3 * matrix
+    merges, held = most_held(lambda: linkage.dendrogram(d))
+    assert held < 1.3 * matrix
+    found, held = most_held(lambda: linkage.silhouettes(d, merges, 3, n // 2))
+    assert held < 1.5 * matrix
+    label, held = most_held(lambda: cluster.METHODS["agglomerative"](x))
+    assert held < 1.8 * matrix
+    assert np.array_equal(label, linkage.best_cut(d)[1]) and found == linkage.silhouettes(lambda: cluster.cosine_distances(x), merges, 3, n // 2)
