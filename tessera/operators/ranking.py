@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 import random
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..session import dealt
 from . import ordering
+from .draws import SLACK, stream
 
 
 def sufficient_statistics(rankings: DataFrame, latent: DataFrame | None = None, shape: float = 1.5, rate: float = 1.0, rows: int | None = None) -> DataFrame:
@@ -44,61 +45,144 @@ def gibbs(rankings: list[list[int]], n: int, draws: int = 80, burn_in: int = 80,
 
 def gibbs_side_by_side(problems: list[tuple[list[list[int]], int]], draws: int = 80, burn_in: int = 80, thin: int = 2, shape: float = 1.5, rate: float = 1.0, seed: int = 0) -> list[np.ndarray]:
     """gibbs() of each (rankings, n), all stepping together. Each has its own generator, and what that gives does not hang
-    on the skills, so a problem's draws are the same whatever stands beside it."""
+    on the skills, so a problem's draws are the same whatever stands beside it, and whether they are looked up or drawn."""
     out: list[np.ndarray | None] = [np.log(np.random.default_rng(seed).gamma(shape, 1 / rate, (draws, n))) if not r else None for r, n in problems]
-    own = [(r, n) for r, n in problems if r]
-    if not own:
-        return out
-    rows, counts = np.array([len(r) for r, _ in own]), np.array([n for _, n in own])
-    size = np.array([len(x) for r, _ in own for x in r])
-    wide = np.repeat(np.array([max(map(len, r)) for r, _ in own]), rows)  # of the problem's longest ranking
-    base = np.concatenate(([0], np.cumsum(counts)))
-    total, col = int(base[-1]), np.arange(size.max())
-    placed, stages = col < size[:, None], col < size[:, None] - 1
-    items = np.full(placed.shape, total)
-    items[placed] = np.concatenate([np.asarray(x, dtype=np.int64) for r, _ in own for x in r]) + np.repeat(np.repeat(base[:-1], rows), size)
-    wins = shape + np.bincount(items[stages], minlength=total)[:total]
-    drawn, cells = np.zeros(placed.shape), np.flatnonzero(col < wide[:, None])
-    waiting, gammas = np.empty(len(cells)), np.empty(total)
-    ends = np.concatenate(([0], np.cumsum(np.add.reduceat(wide, np.concatenate(([0], np.cumsum(rows)[:-1]))))))
-    draw = [(g.standard_exponential, waiting[ends[i] : ends[i + 1]], g.standard_gamma, wins[base[i] : base[i + 1]], gammas[base[i] : base[i + 1]]) for i, g in enumerate(np.random.default_rng(seed) for _ in own)]
-    at, skill, kept = items[placed], np.ones(total + 1), []
-    skill[-1] = 0.0
-    for step in range(burn_in + thin * (draws - 1) + 1):
+    steps = burn_in + thin * (draws - 1) + 1
+    looked_up, drawn = [], []
+    for i, (r, n) in enumerate(problems):
+        if r:
+            bits = steps * (2 * len(r) * max(map(len, r)) + 8 * n)
+            (looked_up if bits <= STREAM_BITS and len(r) <= STREAM_SHAPES else drawn).append(i)
+    for some, source in ((looked_up, _looked_up), (drawn, _drawn)):
+        if some:
+            scores = _stepped([problems[i] for i in some], source, steps, burn_in, thin, shape, rate, seed)
+            for i, x in zip(some, scores, strict=True):
+                out[i] = x
+    return out
+
+
+#: Bits of the stream, two times over, and shapes of gammas that a problem may need whose draws are looked up.
+STREAM_BITS, STREAM_SHAPES = 1 << 18, 48
+#: Draws of a step: the exponentials of all stages and the gammas of all items.
+Step = Callable[[], tuple[np.ndarray, np.ndarray]]
+
+
+def _drawn(seed: int, steps: int, cells: np.ndarray, owner: np.ndarray, cell: np.ndarray, counts: np.ndarray, wins: np.ndarray) -> Step:
+    """Draws by a generator of each problem: of so many exponentials, those of the owners' cells are used, and counts gammas of shapes wins."""
+    to, base = np.concatenate(([0], np.cumsum(cells))), np.concatenate(([0], np.cumsum(counts)))
+    waiting, gammas, used = np.empty(to[-1]), np.empty(base[-1]), to[owner] + cell
+    draw = [(g.standard_exponential, waiting[to[i] : to[i + 1]], g.standard_gamma, wins[base[i] : base[i + 1]], gammas[base[i] : base[i + 1]]) for i, g in enumerate(np.random.default_rng(seed) for _ in cells)]
+
+    def step() -> tuple[np.ndarray, np.ndarray]:
         for wait, w, gamma, k, x in draw:
             wait(out=w)
             gamma(k, out=x)
-        drawn.ravel()[cells] = waiting
-        left = np.cumsum(skill[items][:, ::-1], axis=1)[:, ::-1]  # skills that remain at each stage
-        waits = np.where(stages, drawn / np.where(stages, left, 1.0), 0.0)
-        rates = rate + np.bincount(at, weights=np.cumsum(waits, axis=1)[placed], minlength=total)[:total]
-        skill[:-1] = gammas * (1 / rates)
+        return waiting.take(used), gammas
+
+    return step
+
+
+def _looked_up(seed: int, steps: int, cells: np.ndarray, owner: np.ndarray, cell: np.ndarray, counts: np.ndarray, wins: np.ndarray) -> Step:
+    """The draws of _drawn() out of the stream that all its generators share: a problem is a place there."""
+    s = stream(seed).reach(int(steps * (1.1 * cells + 3 * counts + 4).max()) + SLACK, int(cells.max()) + 2)
+    shapes, which = np.unique(wins, return_inverse=True)
+    kind = s.kinds(shapes.tolist())[which]
+    order = np.argsort(-counts, kind="stable")  # so that problems with a k-th item are the first ones
+    base, n, most = (np.cumsum(counts) - counts)[order], counts[order], cells[order]
+    have = [int(np.searchsorted(-n, -k)) for k in range(n[0])]
+    slots = [base[:m] + k for k, m in enumerate(have)]
+    kinds = [kind[x] for x in slots]
+    place, gammas = np.zeros(len(n), dtype=np.int64), np.empty(int(counts.sum()))
+    begins = np.empty(len(n), dtype=np.int64)
+
+    def step() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal s
+        if place.max() >= s.size - s.run - 16 * n[0] - SLACK:
+            s = s.reach(2 * s.size, s.run)
+            kind = s.kinds(shapes.tolist())[which]
+            kinds[:] = [kind[x] for x in slots]
+        begin = s.start.take(place)
+        begins[order] = begin
+        waiting = s.exponential.take(begins.take(owner) + cell)
+        place[:] = s.stands.take(begin + most)
+        gamma, taken, wide = s.gamma.ravel(), s.taken.ravel(), s.gamma.shape[1]
+        for k, m in enumerate(have):
+            at = place[:m] * wide + kinds[k]
+            gammas[slots[k]] = gamma.take(at)
+            place[:m] += taken.take(at)
+        return waiting, gammas
+
+    return step
+
+
+def _stepped(own: list[tuple[list[list[int]], int]], source: Callable[..., Step], steps: int, burn_in: int, thin: int, shape: float, rate: float, seed: int) -> list[np.ndarray]:
+    """Log skills of each problem. Places of rankings stand stage by stage, the longest rankings first, so that a step adds whole stages."""
+    rows, counts = np.array([len(r) for r, _ in own]), np.array([n for _, n in own])
+    size = np.array([len(x) for r, _ in own for x in r])
+    wide = np.array([max(map(len, r)) for r, _ in own])
+    base = np.concatenate(([0], np.cumsum(counts)))
+    total, problem = int(base[-1]), np.repeat(np.arange(len(own)), rows)
+    at = np.concatenate([np.asarray(x, dtype=np.int64) for r, _ in own for x in r]) + np.repeat(base[problem], size)  # ranking by ranking
+    first = np.cumsum(size) - size
+    wins = shape + np.bincount(np.delete(at, (first + size - 1)[size > 0]), minlength=total)[:total]
+    order = np.argsort(-size, kind="stable")
+    longest = size[order]
+    have = [int(np.searchsorted(-longest, -k)) for k in range(int(longest[0]) + 2)]  # rankings with a k-th place
+    ranked = np.concatenate([order[:m] for m in have])
+    stage = np.repeat(np.arange(len(have)), have)
+    where = first[ranked] + stage
+    by_ranking = np.empty(len(at), dtype=np.int64)
+    by_ranking[where] = np.arange(len(at))
+    items, begin = at[where], np.concatenate(([0], np.cumsum(have)))
+    more = np.concatenate([np.arange(b, b + m) for b, m in zip(begin, have[1:], strict=False)])  # places that are not their ranking's last
+    cell = (np.arange(len(size)) - (np.cumsum(rows) - rows)[problem])[ranked] * wide[problem[ranked]] + stage
+    step_draws = source(seed, steps, rows * wide, problem[ranked][more], cell[more], counts, wins)
+    ends = np.concatenate(([0], np.cumsum(have[1:])))
+    skill, passed, kept = np.ones(total), np.zeros(len(at)), []
+    for step in range(steps):
+        waiting, gammas = step_draws()
+        left = skill.take(items)  # then the skills that remain at each stage
+        for k in range(len(have) - 2, -1, -1):
+            left[begin[k] : begin[k] + have[k + 1]] += left[begin[k + 1] : begin[k + 1] + have[k + 1]]
+        waits = waiting / left.take(more)
+        for k in range(len(have) - 1):
+            b, m = begin[k], have[k + 1]
+            if k:
+                np.add(passed[begin[k - 1] : begin[k - 1] + m], waits[ends[k] : ends[k + 1]], out=passed[b : b + m])
+                passed[b + m : b + have[k]] = passed[begin[k - 1] + m : begin[k - 1] + have[k]]
+            else:
+                passed[:m] = waits[:m]
+        rates = rate + np.bincount(at, weights=passed.take(by_ranking), minlength=total)[:total]
+        skill = gammas * (1 / rates)
         if step >= burn_in and (step - burn_in) % thin == 0:
-            kept.append(np.log(skill[:-1]))
-    scores = np.array(kept).reshape(draws, total)
-    parts = iter(np.split(scores, base[1:-1], axis=1))
-    return [next(parts) if x is None else x for x in out]
+            kept.append(np.log(skill))
+    return np.split(np.array(kept).reshape(len(kept), total), base[1:-1], axis=1)
 
 
 #: Places of rankings that a task samples together.
-STEP_PLACES = 40_000
-
-
-def posterior(rankings: DataFrame, items: DataFrame, draws: int = 80) -> DataFrame:
-    """(problem, draw, item, score): a problem's sampler runs in one task, many problems side by side."""
-    kind = {f.name: f.dataType.simpleString() for f in items.schema}
-    ranked, named = F.struct("ranking", "items").alias("r"), F.col("item").alias("i")
-    both = rankings.select("problem", ranked, F.lit(None).cast(kind["item"]).alias("i")).unionByName(items.select("problem", F.lit(None).cast(rankings.select(ranked).schema["r"].dataType).alias("r"), named))
-    own = both.groupBy("problem").agg(F.array_sort(F.collect_list("r"))["items"].alias("rankings"), F.array_sort(F.collect_list("i")).alias("items"))
+STEP_PLACES = 100_000
+
+
+def posterior(rankings: DataFrame, items: DataFrame | None, draws: int = 80) -> DataFrame:
+    """(problem, draw, item, score): a problem's sampler runs in one task, many problems side by side.
+    items (problem, item) of the problems; without, those of their rankings, which are then read once only."""
+    tasks = int(rankings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as sampling takes long for its bytes
+    ranked = F.struct("ranking", "items").alias("r")
+    if items is None:
+        kind = {"problem": rankings.schema["problem"].dataType.simpleString(), "item": rankings.schema["items"].dataType.elementType.simpleString()}
+        listed = rankings.select("problem", ranked).repartition(tasks, "problem").groupBy("problem").agg(F.array_sort(F.collect_list("r"))["items"].alias("rankings"))
+        own = listed.select("problem", "rankings", F.array_sort(F.array_distinct(F.flatten("rankings"))).alias("items"))
+    else:
+        kind, named = {f.name: f.dataType.simpleString() for f in items.schema}, F.col("item").alias("i")
+        both = rankings.select("problem", ranked, F.lit(None).cast(kind["item"]).alias("i")).unionByName(items.select("problem", F.lit(None).cast(rankings.select(ranked).schema["r"].dataType).alias("r"), named))
+        own = both.repartition(tasks, "problem").groupBy("problem").agg(F.array_sort(F.collect_list("r"))["items"].alias("rankings"), F.array_sort(F.collect_list("i")).alias("items"))
 
     def sampled(problems: pa.Array, names: list[list], found: list[tuple[list[list[int]], int]], type_: pa.DataType) -> pa.RecordBatch:
         scores = gibbs_side_by_side(found, draws)
-        n = np.array([len(x) for x in names])
-        each = np.repeat(np.arange(len(n)), n * draws)
         item = pa.array([x for own in names for x in own], type=type_)
-        place = np.concatenate([np.tile(np.arange(a, a + k), draws) for a, k in zip(np.cumsum(n) - n, n, strict=True)])
-        draw = np.concatenate([np.repeat(np.arange(draws), k) for k in n])
-        return pa.RecordBatch.from_arrays([problems.take(pa.array(each)), pa.array(draw), item.take(pa.array(place)), pa.array(np.concatenate([s.ravel() for s in scores]))], names=["problem", "draw", "item", "score"])
+        each = np.repeat(np.arange(len(names)), [len(x) for x in names])
+        of_item = pa.ListArray.from_arrays(np.arange(len(item) + 1, dtype=np.int32) * draws, np.concatenate([s.T.ravel() for s in scores]))
+        return pa.RecordBatch.from_arrays([problems.take(pa.array(each)), item, of_item], names=["problem", "item", "scores"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +201,9 @@ def posterior(rankings: DataFrame, items: DataFrame, draws: int = 80) -> DataFra
             if names:
                 yield sampled(b.column("problem").slice(start, len(names)), names, found, type_)
 
-    return own.mapInArrow(run, f"problem {kind['problem']}, draw bigint, item {kind['item']}, score double")
+    drawn = own.mapInArrow(run, f"problem {kind['problem']}, item {kind['item']}, scores array<double>")
+    each = drawn.select("problem", "item", F.posexplode("scores").alias("draw", "score"))
+    return each.select("problem", F.col("draw").cast("bigint").alias("draw"), "item", "score")
 
 
 def pair_utilities(draws: DataFrame) -> DataFrame:

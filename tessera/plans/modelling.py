@@ -48,9 +48,7 @@ def source_selection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pl_posterior(spark: SparkSession, d: str) -> DataFrame:
-    r = _rankings(spark, d)
-    items = r.select("problem", F.explode("items").alias("item")).distinct()
-    return ranking.summary(ranking.posterior(r, items))
+    return ranking.summary(ranking.posterior(_rankings(spark, d), None))
 
 
 @query()

@@ -56,3 +56,35 @@ def test_closest_of_copies_scaled_and_odd_vectors(spark, monkeypatch):
     want = each.where("distance is not null").groupBy("row", "id").agg(F.min(F.struct("distance", "centre")).alias("b"))
     want = want.where("b.distance < 1.5").select("id", "b.centre", "b.distance")
     assert sorted(map(tuple, gather.closest(rows, centres, 1.5).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_posterior_of_small_problems_looks_its_draws_up(monkeypatch):
+    """Each problem had two calls of its own generator at every step, which took most of the time of many small ones."""
+    rng = np.random.default_rng(6)
+    problems = [([rng.permutation(12)[: rng.integers(1, 8)].tolist() for _ in range(rng.integers(1, 30))], 12) for _ in range(50)]
+    want, made = [plain(r, n) for r, n in problems], []
+    ranking.gibbs_side_by_side(problems)  # tables are made once
+    generator = np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: made.append(a) or generator(*a))
+    got = ranking.gibbs_side_by_side(problems)
+    assert not made and all(map(np.array_equal, got, want))
+    monkeypatch.setattr(ranking, "STREAM_BITS", 0)
+    assert all(map(np.array_equal, ranking.gibbs_side_by_side(problems), want)) and len(made) == 50
+
+
+def test_draws_of_a_stream_that_must_be_read_further(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.operators import draws
+
+    short = draws.Stream(0).reach(1024, 8)
+    monkeypatch.setattr(ranking, "stream", lambda seed: SimpleNamespace(reach=lambda size, run: short))
+    problems = [([[0, 1, 2], [2, 0]], 3), ([[1, 0]], 2)]
+    assert all(np.array_equal(x, plain(r, n)) for (r, n), x in zip(problems, ranking.gibbs_side_by_side(problems), strict=True))
+    assert short.size > 1024
+
+
+def test_posterior_takes_the_items_of_its_rankings(spark):
+    rankings = spark.createDataFrame([(1, 9, ["b", "a"]), (1, 8, ["c", "b"]), (2, 1, ["a", "c"])], "problem int, ranking int, items array<string>")
+    items = rankings.select("problem", F.explode("items").alias("item")).distinct()
+    assert sorted(map(tuple, ranking.posterior(rankings, None, 5).collect())) == sorted(map(tuple, ranking.posterior(rankings, items, 5).collect()))
