@@ -1,7 +1,8 @@
 """Clustering of groups of vectors (each topic's sources), and the relational steps around it.
 
 A group of bounded size is one call of applyInPandas. In larger ones density clustering builds its tree by joins and
-gives the same clusters; the other methods work on parts that two-means by cosine cuts the group into, and say so.
+gives the same clusters, and so does average linkage where it is to be whole; else it and the other methods work on parts
+that two-means by cosine cuts the group into, and say so.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as vectors
 from ..session import cut_lineage
-from . import density, linkage
+from . import density, linkage, wide_linkage
 
 #: Vectors that are clustered in one task: distances of all pairs are held there, by affinity propagation several times.
 GROUP_ROWS, AFFINITY_ROWS = 5000, 1500
@@ -106,12 +107,12 @@ METHODS = {
 }
 
 
-def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str = "id", vector: str = "vector", named: bool = False) -> DataFrame:
+def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str = "id", vector: str = "vector", named: bool = False, whole: bool = False) -> DataFrame:
     """(group, key, cluster) with every group clustered on its own; cluster -1 is noise, and clusters are numbered from 0.
 
     method 'best' takes, group by group, the method whose clusters score best. named: with the method that a row's
     group went through; that of a group of too many rows for one task ends in '-in-parts', but for density clustering,
-    whose result is the same either way.
+    whose result is the same either way. whole: so is that of method 'agglomerative', which then never works on parts.
     """
     if method != "best" and method not in METHODS:
         raise ValueError(f"unknown method: {method}")
@@ -140,6 +141,8 @@ def cluster_groups(rows: DataFrame, method: str, group: str = "topic", key: str
         big = rows.join(large, "group", "left_semi")
         if method in density.SETTINGS:
             more = density.large_groups(big, density.SETTINGS[method]).withColumn("method", F.lit(method))
+        elif whole and method == "agglomerative":
+            more = wide_linkage.best_cuts(big, most).withColumn("method", F.lit(method))
         else:
             more = _numbered(bisected(big, most).groupBy("group", "part").applyInPandas(run, schema)).withColumn("method", F.concat("method", F.lit("-in-parts")))
         found = found.unionByName(more)
@@ -314,5 +317,5 @@ def settle_noise(rows: DataFrame, found: DataFrame, method: str = "affinity", gr
 
 def with_ignored(rows: DataFrame, method: str, group: str = "topic", key: str = "id") -> DataFrame:
     """(group, key, cluster, reason): rows with a reason are left out of the clustering and come back with a null cluster."""
-    found = cluster_groups(rows.where("reason is null"), method, group, key).withColumn("reason", F.lit(None).cast("string"))
+    found = cluster_groups(rows.where("reason is null"), method, group, key, whole=True).withColumn("reason", F.lit(None).cast("string"))
     return found.unionByName(rows.where("reason is not null").select(group, key, F.lit(None).cast("int").alias("cluster"), "reason"))

@@ -10,8 +10,9 @@ import numpy as np
 Distances = np.ndarray | Callable[[], np.ndarray]
 
 
-def dendrogram(d: Distances) -> np.ndarray:
+def dendrogram(d: Distances, sizes: np.ndarray | None = None) -> np.ndarray:
     """The n - 1 merges of average linkage over a distance matrix, by growing height: rows (a, b, height), where a and b are points of the two clusters.
+    sizes: how many rows each point stands for, if it is a cluster itself.
 
     A chain goes from a cluster to its nearest and on, until two are nearest to each other; these merge. Average
     linkage never brings a merged cluster nearer to others than its parts were, so the chain before them stays valid.
@@ -19,7 +20,7 @@ def dendrogram(d: Distances) -> np.ndarray:
     dist = d() if callable(d) else np.array(d, dtype=float)
     n = len(dist)
     np.fill_diagonal(dist, np.inf)
-    size, gone, merges, chain = np.ones(n), np.zeros(n, dtype=bool), [], []
+    size, gone, merges, chain = np.ones(n) if sizes is None else sizes.astype(float), np.zeros(n, dtype=bool), [], []
     start = 0
     while len(merges) < n - 1:
         if not chain:

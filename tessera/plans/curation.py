@@ -131,7 +131,7 @@ def labelled_members(spark: SparkSession, d: str) -> DataFrame:
 def collapsed_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Near clusters of every topic merged at the threshold that spreads them best."""
     rows = _topics(spark, d)
-    found = cluster.cluster_groups(rows, "agglomerative").join(rows, ["topic", "id"])
+    found = cluster.cluster_groups(rows, "agglomerative", whole=True).join(rows, ["topic", "id"])
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         ks = sorted(df["cluster"].unique())
@@ -160,7 +160,7 @@ def noise_settled(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def largest_broken_up(spark: SparkSession, d: str) -> DataFrame:
     rows = _topics(spark, d)
-    return cluster.break_largest(rows, cluster.cluster_groups(rows, "agglomerative"))
+    return cluster.break_largest(rows, cluster.cluster_groups(rows, "agglomerative", whole=True))
 
 
 @query()
@@ -174,7 +174,7 @@ def sidebar_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chosen_in_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Choices made again until all chosen sources are interesting."""
-    rows = cluster.cluster_groups(_topics(spark, d), "agglomerative").where("cluster >= 0")
+    rows = cluster.cluster_groups(_topics(spark, d), "agglomerative", whole=True).where("cluster >= 0")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")

@@ -22,12 +22,12 @@ for _m in ("agglomerative", "affinity", "density", "density_leaf", "best"):
 
     @query(name=f"cluster_{_m}")
     def _cluster(spark: SparkSession, d: str, method: str = _m) -> DataFrame:
-        return cluster.cluster_groups(_topics(spark, d), method, named=True)
+        return cluster.cluster_groups(_topics(spark, d), method, named=True, whole=True)
 
 
 @query()
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.members(cluster.cluster_groups(_topics(spark, d), "agglomerative"))
+    return cluster.members(cluster.cluster_groups(_topics(spark, d), "agglomerative", whole=True))
 
 
 @query()
@@ -35,7 +35,7 @@ def source_selection(spark: SparkSession, d: str) -> DataFrame:
     """A choice of sources for every topic; topics are solved side by side."""
     import pandas as pd
 
-    rows = cluster.cluster_groups(_topics(spark, d), "agglomerative").where("cluster >= 0")
+    rows = cluster.cluster_groups(_topics(spark, d), "agglomerative", whole=True).where("cluster >= 0")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")

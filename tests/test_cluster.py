@@ -222,3 +222,19 @@ def test_queries_equal_plain_versions(spark):
             assert own[name] == plain_density(x, settings).tolist()
         d = cluster.cosine_distances(x)
         assert own["agglomerative"] == linkage.best_cut(d)[1].tolist()
+
+
+def test_whole_linkage_of_large_groups_is_that_of_one_task(spark, monkeypatch):
+    from tessera.operators import wide_linkage
+
+    x = np.concatenate([_bundles(3, 150), _bundles(5, 30)])
+    odd = np.concatenate([_bundles(8, 60), np.repeat(_bundles(9, 1), 20, axis=0), np.zeros((3, 6))])
+    groups = {1: x, 2: _bundles(6, 45), 3: odd, 4: np.random.default_rng(1).standard_normal((99, 6)), 5: _bundles(7, 20)}
+    rows = _frame(spark, groups).withColumn("reason", F.when(F.col("id") % 10 == 3, "no text"))
+    want = {(r["topic"], r["id"]): r["cluster"] for r in cluster.with_ignored(rows, "agglomerative").collect()}
+    for name, most in (("BLOCK_ROWS", 64), ("MET_ROWS", 16), ("POINTS", 16), ("MERGES", 2)):
+        monkeypatch.setattr(wide_linkage, name, most)
+    monkeypatch.setattr(cluster, "GROUP_ROWS", 40)
+    got = {(r["topic"], r["id"]): r["cluster"] for r in cluster.with_ignored(rows, "agglomerative").collect()}
+    assert got == want
+    assert cluster.cluster_groups(rows.where("topic = 2"), "agglomerative", named=True, whole=True).select("method").distinct().collect() == [("agglomerative",)]
